@@ -3,8 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .chat_format import format_conversations
+from .mixing import mix, words_taken
 from .near_dup import near_duplicates
+from .sharding import shard_documents
+from .url_filter import judge_urls
+
+#: The rules that op3 judges by.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,8 +24,46 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for every page."""
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return words_taken(*mix(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards 0 to 7 of nearly equal bytes."""
+    return shard_documents(table(spark, sf_dir, "documents"), shards=8).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version"
+    )
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations, read back from their formatted text."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.range(2).selectExpr("-7L AS conv_id", "id AS turn", "if(id = 0, 'user', 'assistant') AS role", "'</s>[INST] ok [/INST]' AS text")
+    done = format_conversations(turns.unionByName(hard))
+    said = F.array_join(F.transform(F.filter("parsed", lambda t: t.role == "assistant"), lambda t: t.text), "")
+    told = F.array_join(F.transform("parsed", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
+    return done.select(
+        "conv_id",
+        F.size("parsed").cast("long").alias("n_turns"),
+        F.sha2(told, 256).alias("turns_sha256"),
+        F.length(said).cast("long").alias("loss_chars"),
+        F.sha2(said, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 QUERIES = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_url_filter": op3_url_filter,
+    "op6_source_mixing": op6_source_mixing,
+    "op7_slot_sharding": op7_slot_sharding,
+    "op9_chat_format": op9_chat_format,
 }
 
 ORACLES = {
@@ -38,5 +84,56 @@ m AS (SELECT node, min(seen) AS component FROM c GROUP BY node)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(m.component, d.doc_id)) AS component_id,
        d.doc_id = least(d.doc_id, coalesce(m.component, d.doc_id)) AS kept
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.node = d.doc_id
+""",
+    "op3_url_filter": r"""
+WITH RECURSIVE u AS (
+  SELECT page_id, url, html, CASE WHEN url LIKE '%://%' THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT *, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
+p AS (
+  SELECT page_id, url, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+k AS (
+  SELECT *, CASE WHEN url LIKE '%://%' THEN regexp_replace(host, ':(80|443)$', '') || regexp_replace(regexp_replace(path, '(/index)?\.html?$', ''), '/+$', '') || '?' ||
+         array_to_string(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)')), '&') END AS key FROM p),
+r(action, rule, rhost, rpath) AS (VALUES ('block', 'net/', 'net', '/'), ('allow', 'example.net/en/', 'example.net', '/en/'), ('block', 'example.com/de/', 'example.com', '/de/'), ('allow', 'org/fr/', 'org', '/fr/')),
+f AS (
+  SELECT k.page_id, k.url, k.host, k.path, k.key, max(struct_pack(n := length(rule), rule := rule, action := action)) FILTER (rule IS NOT NULL) AS best
+  FROM k LEFT JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY ALL),
+a AS (SELECT key, CASE WHEN bool_or(best.action = 'allow') THEN 'allow' WHEN bool_or(best.action = 'block') THEN 'block' END AS alias FROM f WHERE key IS NOT NULL GROUP BY key)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.action, alias, 'allow') AS verdict FROM f LEFT JOIN a ON f.key = a.key
+""",
+    "op6_source_mixing": r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS digest FROM documents),
+s AS (SELECT source, sum(size)::HUGEINT AS s, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM d GROUP BY source),
+w AS (SELECT *, [3, 1, 2][sid % 3 + 1]::HUGEINT AS w FROM s),
+o AS (SELECT *, 200 * s AS cap, 150 * sum(s) OVER () - coalesce(sum(200 * s) OVER (ORDER BY s / w, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lft,
+             sum(w) OVER (ORDER BY s / w, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS opn FROM w),
+g AS (SELECT *, cap * opn > lft * w AS free FROM o),
+l AS (SELECT arg_min(lft, s / w) AS lft, arg_min(opn, s / w) AS opn FROM g WHERE free),
+t AS (SELECT g.source, g.s::BIGINT AS source_size, CASE WHEN free THEN (g.w * l.lft)::DOUBLE / (100.0::DOUBLE * l.opn::DOUBLE) ELSE (2 * g.s)::DOUBLE END AS target FROM g LEFT JOIN l ON true),
+c AS (
+  SELECT d.*, source_size, target, floor(target + 0.5)::BIGINT AS goal,
+         (sum(size) OVER (PARTITION BY d.source ORDER BY digest, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size)::BIGINT AS cum
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       (greatest(0, least(cum + size, goal) - cum) + greatest(0, least(source_size + cum + size, goal) - source_size - cum))::BIGINT AS taken FROM c
+""",
+    "op9_chat_format": r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+b AS (
+  SELECT *, bool_or(CASE role WHEN 'user' THEN contains(text, ' [/INST]') WHEN 'assistant' THEN contains(text, ' </s>') ELSE contains(text, ' [/ROLE]') OR contains(role, chr(10)) END) OVER (PARTITION BY conv_id) AS bad FROM t),
+e AS (
+  SELECT *, bad AND (regexp_matches(text, '\[/?INST|\[/?ROLE|</?s\*?>') OR (role NOT IN ('user', 'assistant') AND regexp_matches(role, '\[/?INST|\[/?ROLE|</?s\*?>|\n'))) AS esc FROM b),
+x AS (
+  SELECT *, length(text) + CASE WHEN esc THEN 1 + length(text) - length(translate(text, '~[<' || chr(10), '')) ELSE 0 END AS body,
+         length(role) + CASE WHEN esc THEN length(role) - length(translate(role, '~[<' || chr(10), '')) ELSE 0 END AS head FROM e)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(body + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 9 ELSE head + 16 + 0 END)::BIGINT AS formatted_chars
+FROM x GROUP BY conv_id
 """,
 }
