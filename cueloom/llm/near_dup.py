@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec
-from .graph import connected_components
+from .lsh import linked_components
 from .scratch import Scratch
 
 #: Bands and rows of each band. A pair of similarity 0.8 shares none of 40 bands
@@ -137,6 +137,25 @@ def confirm(pairs: DataFrame, k: int, percent: int) -> DataFrame:
     return pairs.select("a", "b", "ta", "tb").mapInArrow(work, "a long, b long")
 
 
+def hashed_sets(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id and the sorted distinct 32-bit hashes of the k-word shingles; equal shingles have equal hashes."""
+
+    def work(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            data, offsets = textvec.string_buffers(batch.column(1))
+            for i, j in textvec.blocks(offsets):
+                h, bounds, _, _ = textvec.words(data, offsets[i : j + 1])
+                s, sb = textvec.shingles(h, bounds, k)
+                v, vb = textvec.distinct((s >> np.uint64(32)).astype(np.uint32), sb)
+                values = pa.ListArray.from_arrays(pa.array(vb.astype(np.int32)), pa.array(v.view(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), values], names=["doc_id", "hashes"])
+
+    return docs.mapInArrow(work, "doc_id long, hashes array<int>")
+
+
 def near_duplicates(
     docs: DataFrame,
     k: int = 5,
@@ -152,11 +171,8 @@ def near_duplicates(
     Documents are linked when 100 * intersection >= percent * union of their
     sets of k-word shingles (A-Z folded); components are the classes of linked
     documents and each keeps its smallest doc_id. Copies share a class from the
-    start. Of each band bucket the smallest member is compared with the others;
-    then members that are still in different components are compared with each
-    other, so that no link between components is left out and buckets of
-    mutual near copies never expand into all pairs. Candidates pass the
-    Bayesian signature batches and then the comparison of their full sets.
+    start. Candidates share a band of their signatures and pass the Bayesian
+    batches; every link is confirmed on the full sets.
 
     Null or empty text: an empty set, linked with nothing. Rows that share a
     doc_id are one node; a row without doc_id is its own class (component_id
@@ -172,39 +188,31 @@ def near_duplicates(
     )
     reps = sig.where("n_shingles > 0").join(classes.select(F.col("rep").alias("doc_id"), "n_shingles", "d1", "d2"), ["doc_id", "n_shingles", "d1", "d2"], "left_semi")
     reps = scratch.cut(reps.dropDuplicates(["doc_id", "d1", "d2"]), "reps")
-    members = reps.select("doc_id", "n_shingles", F.posexplode("band_keys").alias("band", "key"))
-    leaders = members.groupBy("band", "key").agg(F.min("doc_id").alias("leader"), F.count("*").alias("members")).where("members > 1")
-    buckets = scratch.cut(members.join(leaders.select("band", "key", "leader"), ["band", "key"]), "buckets")
-    near = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-
-    def verified(pairs: DataFrame, tag: str) -> DataFrame:
-        """Links among distinct pairs(a, b)."""
+    members = reps.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.posexplode("band_keys").alias("band", "key"))
+    def likely(pairs: DataFrame) -> DataFrame:
+        """Of distinct pairs(a, b) those that the signatures leave."""
         light = reps.select("doc_id", "signature", "n_shingles")
         sized = (
             pairs.join(light.select(F.col("doc_id").alias("a"), F.col("signature").alias("sa"), F.col("n_shingles").alias("na")), "a")
             .join(light.select(F.col("doc_id").alias("b"), F.col("signature").alias("sb"), F.col("n_shingles").alias("nb")), "b")
-            .where(near)
+            .where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
         )
-        likely = scratch.cut(bayes_prune(sized, bands * rows, percent / 100, batch, miss).distinct(), f"likely-{tag}")
-        ids = scratch.cut(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"ids-{tag}")
+        return bayes_prune(sized, bands * rows, percent / 100, batch, miss)
+
+    def confirmed(pairs: DataFrame, tag: str) -> DataFrame:
+        """Links among distinct pairs(a, b)."""
+        pairs = scratch.cut(pairs, f"pairs-{tag}")
+        ids = scratch.cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"ids-{tag}")
         texts = scratch.cut(docs.join(ids, "doc_id", "left_semi"), f"texts-{tag}")
-        full = likely.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(
+        full = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(
             texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a"
         )
         return scratch.cut(confirm(full, k, percent), f"links-{tag}")
 
-    first = buckets.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = verified(first, "leaders").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    label = connected_components(links, scratch, "cc-leaders")
-
-    tagged = buckets.join(label.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = tagged.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band", "key")
-    rest = scratch.cut(tagged.join(mixed, ["band", "key"], "left_semi").where("doc_id <> leader"), "rest")
-    left = rest.select("band", "key", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"))
-    right = rest.select("band", "key", F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"))
-    second = left.join(right, ["band", "key"]).where(f"a < b and ca <> cb and {near}").select("a", "b").distinct()
-    links = links.unionByName(verified(second, "others").select(F.col("a").alias("u"), F.col("b").alias("v")))
-    label = connected_components(links, scratch, "cc-all")
+    def hashed(ids: DataFrame) -> DataFrame:
+        return hashed_sets(docs.join(ids.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), k).withColumnRenamed("doc_id", "node")
+
+    label = linked_components(members, scratch, percent, likely, confirmed, hashed)
 
     return (
         sig.select("doc_id", "n_shingles", "d1", "d2")
