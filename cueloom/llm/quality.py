@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textvec
 from .near_dup import bounded_batches
@@ -46,7 +47,7 @@ def fit(rows: list, labels, epochs: int = 12, c: float = 1.0, smooth: float = 1.
     """(ratios, weights, bias, slope, shift) from feature lists and 0/1 labels.
 
     Dual coordinate descent on the hinge loss of unit vectors r * x, each class
-    weighing the same. Every fifth row is kept back to fit the slope and shift
+    weighing the same. Every fifth row of each class is kept back to fit the slope and shift
     that turn a margin into a probability.
     """
     import numpy as np
@@ -56,7 +57,9 @@ def fit(rows: list, labels, epochs: int = 12, c: float = 1.0, smooth: float = 1.
     for x, positive in zip(rows, y):
         counts[int(positive), x] += 1
     ratio = (np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())).astype(np.float32)
-    back = np.arange(len(rows)) % 5 == 4
+    back = np.zeros(len(rows), bool)
+    for kind in (True, False):
+        back[np.flatnonzero(y == kind)[4::5]] = True
     if min(y[~back].sum(), (~y[~back]).sum()) == 0 or min(y[back].sum(), (~y[back]).sum()) == 0:
         share = (y.sum() + 1.0) / (len(y) + 2.0)
         return ratio, np.zeros(BUCKETS, np.float32), 0.0, 0.0, float(np.log(share / (1 - share)))
@@ -145,8 +148,8 @@ def train(docs: DataFrame, labelled: DataFrame, max_labelled: int = MAX_LABELLED
     return np.frombuffer(row.ratio, np.float32), np.frombuffer(row.w, np.float32), *row.rest
 
 
-def score(docs: DataFrame, model: tuple, threshold: float = 0.3) -> DataFrame:
-    """doc_id, score, predicted for every row of ``docs(doc_id, text)``.
+def score(docs: DataFrame, model: tuple, threshold: float = 0.3, carry: list[str] | None = None) -> DataFrame:
+    """doc_id (or the columns ``carry``), score, predicted for every row of ``docs(doc_id, text)``.
 
     Null and empty texts get the score of a text without features. Repeated rows
     are scored alike, other columns are ignored, no rows give no rows.
@@ -168,9 +171,15 @@ def score(docs: DataFrame, model: tuple, threshold: float = 0.3) -> DataFrame:
                 part = total[bounds[1:]] - total[bounds[:-1]]
                 size = np.sqrt(np.maximum(norm[bounds[1:]] - norm[bounds[:-1]], 1e-12))
                 p = 1 / (1 + np.exp(-np.clip(slope * (part / size + bias) + shift, -30, 30)))
-                yield pa.RecordBatch.from_arrays([rb.column(0).slice(i, j - i), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, "doc_id long, score double, predicted int")
+                kept = [rb.column(c).slice(i, j - i) for c in range(rb.num_columns) if c != 1 or "text" in carry]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*carry, "score", "predicted"])
+
+    carry = carry or ["doc_id"]
+    text = docs.withColumn("text", F.col("text").cast("string"))
+    chosen = text.select(carry[0], "text", *(c for c in carry[1:] if c != "text"))
+    carry = [c for c in chosen.columns if c in carry]
+    schema = T.StructType([*chosen.select(*carry).schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    return chosen.mapInArrow(work, schema)
 
 
 def held_out(doc_id):

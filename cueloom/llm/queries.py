@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import quality
 from .chat_format import format_conversations
+from .decontaminate import find_leaks
+from .fuzzy_lines import fuzzy_lines, lines_by_document
+from .media import edited_copies
 from .mixing import mix, words_taken
 from .near_dup import near_duplicates
+from .secrets import scan_secrets, span_digest
 from .sharding import shard_documents
 from .url_filter import judge_urls
 
@@ -19,6 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item or a paraphrase of one, with the item."""
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents linked on 2-word shingles at a similarity of 0.8."""
     return near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
@@ -29,6 +39,19 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document."""
+    return span_digest(scan_secrets(table(spark, sf_dir, "documents")))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score of every document, learned from the labels that aren't held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    learned = labels.where(~quality.held_out(F.col("doc_id"))).select("doc_id", F.col("quality").alias("label"))
+    scored = quality.score(docs, quality.train(docs, learned))
+    return scored.select("doc_id", F.coalesce(quality.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     return words_taken(*mix(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
@@ -41,6 +64,11 @@ def op7_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which images cropped and edited copies of every fiftieth image are found to come from."""
+    return edited_copies(table(spark, sf_dir, "embeddings"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of all conversations, read back from their formatted text."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -58,12 +86,23 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that repeat an earlier line, exactly or nearly."""
+    docs = table(spark, sf_dir, "documents")
+    return lines_by_document(docs, fuzzy_lines(docs))
+
+
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_url_filter": op3_url_filter,
+    "op4_secret_scan": op4_secret_scan,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_source_mixing": op6_source_mixing,
     "op7_slot_sharding": op7_slot_sharding,
+    "op8_media_copies": op8_media_copies,
     "op9_chat_format": op9_chat_format,
+    "op10_fuzzy_lines": op10_fuzzy_lines,
 }
 
 ORACLES = {
@@ -76,8 +115,8 @@ s AS (
   UNION
   SELECT doc_id, unnest(w[1:len(w) - 1]) AS x, unnest(w[2:len(w)]) AS y FROM w WHERE len(w) > 1),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM s a JOIN s b ON a.x = b.x AND a.y = b.y AND a.doc_id < b.doc_id GROUP BY ALL),
-l AS (SELECT a, b FROM p JOIN n m ON m.doc_id = a JOIN n o ON o.doc_id = b WHERE 100 * both >= 80 * (m.n + o.n - both)),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.x = b.x AND a.y = b.y AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n m ON m.doc_id = a JOIN n o ON o.doc_id = b WHERE 100 * k >= 80 * (m.n + o.n - k)),
 e AS (SELECT a AS u, b AS v FROM l UNION SELECT b, a FROM l),
 c AS (SELECT u AS node, v AS seen FROM e UNION SELECT c.node, e.v FROM c JOIN e ON c.seen = e.u),
 m AS (SELECT node, min(seen) AS component FROM c GROUP BY node)
