@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import importlib
+
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
+for _name in ("interval_queries", "quality_queries"):
+    _module = importlib.import_module(f"cueloom.plans.{_name}")
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The summary of cue issues for each media file."""
