@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for _name in ("interval_queries", "quality_queries"):
+for _name in ("interval_queries", "quality_queries", "text_queries"):
     _module = importlib.import_module(f"cueloom.plans.{_name}")
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
