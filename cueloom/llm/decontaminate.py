@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from dataclasses import dataclass
 
@@ -34,6 +35,14 @@ def answer_words(text: str | None, answer: str | None = None) -> list[str]:
     return fold_words(parts[-1]) if len(parts) > 1 else []
 
 
+def word_hashes(words: list[str]) -> list[int]:
+    """The 64-bit hashes by which words are compared."""
+    import pyarrow as pa
+
+    data, offsets = textvec.string_buffers(pa.array([" ".join(words)], pa.large_string()))
+    return textvec.words(data, offsets)[0].tolist()
+
+
 def lcs_length(a: list, b: list) -> int:
     """Length of the longest common subsequence, by bit rows."""
     places: dict = {}
@@ -48,17 +57,23 @@ def lcs_length(a: list, b: list) -> int:
 
 
 def compare(item: list, answer: list, region: list) -> tuple[float, float]:
-    """Best shares of the item's and its answer's words in order, over stretches of 5/4 of the item's length."""
-    size = max(1, len(item) * 5 // 4)
-    step = max(1, len(item) // 8)
+    """Best shares of the item's and its answer's words in order, over stretches of 5/4 of the item's length.
+
+    ``region`` has (place, word) of the words that the item holds too; other
+    words can't be in a common subsequence.
+    """
+    size, step = max(1, len(item) * 5 // 4), max(1, len(item) // 8)
     best, at = 0, 0
-    for i in range(0, max(1, len(region) - size + step), step):
-        got = lcs_length(item, region[i : i + size])
+    places = [p for p, _ in region]
+    for i in range(places[0], places[-1] + 1, step):
+        lo, hi = bisect.bisect_left(places, i), bisect.bisect_left(places, i + size)
+        if hi - lo <= best:
+            continue
+        got = lcs_length(item, [w for _, w in region[lo:hi]])
         if got > best:
             best, at = got, i
-    if not best:
-        return 0.0, 0.0
-    found = lcs_length(answer, region[at : at + size + step]) / len(answer) if answer else 1.0
+    stop = at + size + step
+    found = lcs_length(answer, [w for p, w in region if at <= p < stop]) / len(answer) if answer else 1.0
     return best / len(item), found
 
 
@@ -79,7 +94,7 @@ class Index:
         """(row, item id, cosine, lcs, answer) of the texts between the offsets."""
         import numpy as np
 
-        h, bounds, starts, ends = textvec.words(data, offsets)
+        h, bounds, _, _ = textvec.words(data, offsets)
         term = (h >> np.uint64(64 - 17)).astype(np.int64)
         col = self.column[term]
         known = col >= 0
@@ -107,29 +122,30 @@ class Index:
         vec[joined] += sums[joined + 1]
         total[joined] += norm[joined + 1]
         vec /= np.sqrt(np.maximum(total, 1e-9))[:, None]
-        text = memoryview(data)
+        best: dict = {}
         for a in range(0, len(vec), 8192):
-            near = vec[a : a + 8192] @ self.vectors
-            where, item = np.nonzero(near >= cosine)
-            if not len(where):
-                continue
-            best: dict = {}
-            for p, q in zip(where, item):
-                p = int(p)
-                c = float(near[p, q])
-                r = int(row[a + p])
-                middle = int(begin[a + p])
-                size = len(self.words[q])
-                lo, hi = max(int(bounds[r]), middle - size), min(int(bounds[r + 1]), middle + 2 * HALF + size)
-                if np.isin(h[lo:hi], self.hashes[q]).sum() < share * size * 0.8:
+            where, item = np.nonzero(vec[a : a + 8192] @ self.vectors >= cosine)
+            for p, q in zip((where + a).tolist(), item.tolist()):
+                r = int(row[p])
+                known = best.get((r, q))
+                if known and known[0] >= 1.0:
+                    continue
+                size = self.sizes[q]
+                lo, hi = max(int(bounds[r]), int(begin[p]) - size), min(int(bounds[r + 1]), int(begin[p]) + 2 * HALF + size)
+                at = np.searchsorted(self.hashes[q], h[lo:hi])
+                shared = self.hashes[q].take(at, mode="clip") == h[lo:hi]
+                if np.minimum(np.bincount(at[shared], minlength=len(self.counts[q])), self.counts[q]).sum() < share * size:
+                    continue
+                places = np.flatnonzero(shared)
+                words = h[lo:hi][places].tolist()
+                if lcs_length(self.words[q], words) < share * size:
                     continue
-                region = [bytes(text[s:e]).decode("utf-8", "replace").translate(FOLD) for s, e in zip(starts[lo:hi], ends[lo:hi])]
-                got, answer = compare(self.words[q], self.answers[q], region)
+                got, answer = compare(self.words[q], self.answers[q], list(zip(places.tolist(), words)))
                 if got >= share and (answer >= answer_share or got >= 0.85):
-                    key = (r, int(q))
-                    best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (got, answer, c))
-            for (r, q), (got, answer, c) in best.items():
-                yield r, self.ids[q], c, got, answer
+                    c = float(vec[p] @ self.vectors[:, q])
+                    best[r, q] = max(known or (0.0, 0.0, 0.0), (got, answer, c))
+        for (r, q), (got, answer, c) in best.items():
+            yield r, self.ids[q], c, got, answer
 
 
 def randomised_svd(rows: DataFrame, columns: int, rank: int, extra: int = EXTRA, passes: int = 2, seed: int = 11):
@@ -238,9 +254,12 @@ def build_index(docs: DataFrame, items: DataFrame, rank: int = RANK) -> Index |
     basis = randomised_svd(spark.createDataFrame(sparse, "idx array<int>, val array<double>"), len(present), min(rank, len(rows)))
     vectors = np.stack([np.asarray(v) @ basis[i] for i, v in sparse])
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-    index = Index([r.item_id for r in rows], [fold_words(r.text) for r in rows], [answer_words(r.text, r.answer) for r in rows], column, idf, float(idf.max()), basis, vectors.T.astype(np.float32))
+    hashed = [h[bounds[i] : bounds[i + 1]] for i in range(len(rows))]
+    answers = [word_hashes(answer_words(r.text, r.answer)) for r in rows]
+    index = Index([r.item_id for r in rows], [x.tolist() for x in hashed], answers, column, idf, float(idf.max()), basis, vectors.T.astype(np.float32))
     index.scaled = (basis * idf[:, None]).astype(np.float32)
-    index.hashes = [np.unique(h[bounds[i] : bounds[i + 1]]) for i in range(len(rows))]
+    index.hashes, index.counts = zip(*(np.unique(x, return_counts=True) for x in hashed))
+    index.sizes = [len(x) for x in hashed]
     return index
 
 
