@@ -48,3 +48,31 @@ def test_files_and_journals(spark, tmp_path):
     j.mkdir()
     (j / "x.jsonl").write_text('{"type": "a", "segment_id": 1, "seq": 1, "payload": {"k": "v"}}\n\nnot json\n')
     assert [(r.segment_id, r.payload) for r in sb.read_journal(spark, str(j)).collect()] == [(1, {"k": "v"})]
+
+
+def test_nearby_batches(spark):
+    from cueloom.operators.alignment import nearby_batches
+
+    rows = [(1, 1, 0, 1000, 1, "a"), (1, 2, 1200, 2000, 1, "b"), (1, 3, 2100, 3000, 1, "c"), (1, 4, 3100, 4000, 2, "d")]
+    c = spark.createDataFrame(rows, "media_id long, cue_id long, start_ms long, end_ms long, seg_idx long, text string")
+    got = {r.cue_id: r.batch for r in nearby_batches(c, 2, 500).collect()}
+    assert got[1] == got[2] and len({got[1], got[3], got[4]}) == 3
+
+
+def test_sentence_units_share_the_time(spark):
+    from cueloom.operators.alignment import sentence_units
+
+    c = spark.createDataFrame([(1, 1, 0, 100, "aaaa. bbbbbb"), (1, 2, 200, 202, "a. b. c. d"), (1, 3, 300, 400, "whole")], "media_id long, cue_id long, start_ms long, end_ms long, text string")
+    got = [(r.cue_id, r.start_ms, r.end_ms, r.text) for r in sentence_units(c).orderBy("cue_id", "unit_no").collect()]
+    assert got[:2] == [(1, 0, 40, "aaaa"), (1, 40, 100, "bbbbbb")] and got[-1] == (3, 300, 400, "whole")
+    assert all(e > s for _, s, e, _ in got)
+
+
+def test_retention(spark):
+    from cueloom.operators.alignment import content_retention
+
+    schema = "media_id long, cue_id long, text string"
+    a = spark.createDataFrame([(1, 1, "abcdefghij"), (2, 1, "same")], schema)
+    b = spark.createDataFrame([(1, 1, "abcxefg"), (2, 1, "Same!")], schema)
+    got = {r.media_id: (r.retention, r.status) for r in content_retention(a, b).collect()}
+    assert got == {1: (0.6, "FAIL"), 2: (1.0, "PASS")}
