@@ -140,6 +140,31 @@ f AS (
   FROM k LEFT JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY ALL),
 a AS (SELECT key, CASE WHEN bool_or(best.action = 'allow') THEN 'allow' WHEN bool_or(best.action = 'block') THEN 'block' END AS alias FROM f WHERE key IS NOT NULL GROUP BY key)
 SELECT page_id, host, path, best.rule AS rule, coalesce(best.action, alias, 'allow') AS verdict FROM f LEFT JOIN a ON f.key = a.key
+""",
+    "op4_secret_scan": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+k(kind, i, p) AS (VALUES ('assign', 0, '(?i)(?:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+'), ('access', 1, 'AKIA[A-Z0-9]{16,}'), ('hex', 2, '[0-9a-f]{24,}'), ('run', 3, '[A-Za-z0-9+/_=-]{20,}')),
+m AS (SELECT doc_id, kind, i, string_split_regex(t, p) AS g, regexp_extract_all(t, p) AS h FROM d, k),
+u AS (SELECT *, unnest(range(1, len(h) + 1)) AS n FROM m),
+x AS (SELECT doc_id, kind, i, h[n] AS hit, (list_sum(list_transform(g[1:n], lambda v: length(v))) + coalesce(list_sum(list_transform(h[1:n - 1], lambda v: length(v))), 0))::BIGINT AS s FROM u),
+b AS (SELECT *, s + length(hit) AS e FROM x WHERE kind NOT IN ('assign', 'run') OR (kind = 'assign' AND length(regexp_extract(hit, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2)) >= 6)),
+r AS (SELECT doc_id, hit, s, s + length(hit) AS e FROM x WHERE kind = 'run' AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = x.doc_id AND b.s < x.s + length(x.hit) AND x.s < b.e)),
+z AS (SELECT sha256(range::VARCHAR) AS q FROM range(2048)),
+l AS (SELECT 1 AS secret, q AS string FROM z UNION ALL SELECT 1, rtrim(to_base64(unhex(q)), '=') FROM z
+      UNION ALL SELECT 0, string FROM (SELECT unnest(regexp_extract_all(t, '[A-Za-z0-9+/_=-]{16,}')) AS string FROM d) WHERE regexp_matches(string, '^([A-Z]?[a-z]+|[A-Z]+|[-_=+/]+)$')),
+w AS (SELECT secret, substr(string, i, 2) AS pair, count(*) AS n FROM (SELECT *, unnest(range(1, length(string))) AS i FROM l) GROUP BY ALL),
+a1 AS (SELECT secret, pair[1] AS c, sum(n) AS n FROM w GROUP BY ALL), a2 AS (SELECT secret, pair[2] AS c, sum(n) AS n FROM w GROUP BY ALL), tt AS (SELECT secret, sum(n) + 32.5 AS n FROM w GROUP BY ALL),
+y AS (SELECT doc_id, s, e, substr(hit, i, 2) AS pair FROM (SELECT *, unnest(range(1, length(hit))) AS i FROM r)),
+o AS (SELECT DISTINCT pair, v AS secret FROM y, (VALUES (0), (1)) c(v)),
+pr AS (SELECT o.pair, o.secret, (coalesce(w.n, 0) + 5 * ((coalesce(a2.n, 0) + 0.5) / coalesce(tt.n, 32.5)))::DOUBLE / (coalesce(a1.n, 0) + 5)::DOUBLE AS p FROM o
+  LEFT JOIN w ON w.pair = o.pair AND w.secret = o.secret LEFT JOIN a1 ON a1.c = o.pair[1] AND a1.secret = o.secret LEFT JOIN a2 ON a2.c = o.pair[2] AND a2.secret = o.secret LEFT JOIN tt ON tt.secret = o.secret),
+lr AS (SELECT p1.pair, round(1000 * ln(p1.p / p0.p)) AS v FROM pr p1 JOIN pr p0 ON p0.pair = p1.pair AND p0.secret = 0 WHERE p1.secret = 1),
+f AS (SELECT doc_id, s, e FROM y JOIN lr USING (pair) GROUP BY ALL HAVING sum(v) >= 7000),
+ff AS (SELECT doc_id, kind, i, s, e FROM b UNION ALL SELECT doc_id, 'markov', 3, s, e FROM f),
+j AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, i) FILTER (i < 3), '') AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, i) AS spans FROM ff GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN j ON j.doc_id = d.doc_id
 """,
     "op6_source_mixing": r"""
 WITH d AS (
