@@ -26,7 +26,7 @@ def scored(s, f):
 def checks(s, f):
     i = ql.media_summary(normalised(s, f), ql.readability_issues(normalised(s, f))).select("media_id", F.lit("readability").alias("check"), "status")
     t = ql.translation_checks(d.cues(s, f), d.translated_cues(s, f)).select("media_id", F.lit("translation").alias("check"), "status")
-    o = d.cues(s, f).select("media_id").distinct().select("media_id", F.lit("mfa").alias("check"), F.lit("SKIP").alias("status"))
+    o = d.cues(s, f).select("media_id").distinct().select("media_id", F.lit("realign").alias("check"), F.lit("SKIP").alias("status"))
     return i.unionByName(t).unionByName(o)
 
 
