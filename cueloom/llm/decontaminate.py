@@ -17,7 +17,7 @@ TERMS, RANK, EXTRA, HALF = 1 << 17, 128, 10, 16
 #: Least cosine of a candidate, least share of an item's words found in order, share of its answer.
 COSINE, LCS, ANSWER = 0.30, 0.70, 0.5
 #: Benchmark items handled in one scan of the documents; more go in further scans.
-ITEMS = 20_000
+ITEMS = 4_000
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FOLD = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -87,8 +87,11 @@ class Index:
     column: object
     idf: object
     other_idf: float
-    basis: object
+    scaled: object
     vectors: object
+    hashes: tuple
+    counts: tuple
+    sizes: list
 
     def hits(self, data, offsets, cosine: float, share: float, answer_share: float):
         """(row, item id, cosine, lcs, answer) of the texts between the offsets."""
@@ -108,7 +111,7 @@ class Index:
         begin = bounds[:-1][row] + (np.arange(first[-1]) - first[:-1][row]) * HALF
         norm = np.add.reduceat(weight * weight, begin)
         kept = np.flatnonzero(known)
-        sums = np.zeros((len(begin), self.basis.shape[1]), np.float32)
+        sums = np.zeros((len(begin), self.scaled.shape[1]), np.float32)
         if len(kept):
             half = np.searchsorted(begin, kept, side="right") - 1
             cut = np.flatnonzero(np.concatenate([[True], half[1:] != half[:-1]]))
@@ -123,8 +126,9 @@ class Index:
         total[joined] += norm[joined + 1]
         vec /= np.sqrt(np.maximum(total, 1e-9))[:, None]
         best: dict = {}
-        for a in range(0, len(vec), 8192):
-            where, item = np.nonzero(vec[a : a + 8192] @ self.vectors >= cosine)
+        step = max(256, (1 << 21) // len(self.ids))
+        for a in range(0, len(vec), step):
+            where, item = np.nonzero(vec[a : a + step] @ self.vectors >= cosine)
             for p, q in zip((where + a).tolist(), item.tolist()):
                 r = int(row[p])
                 known = best.get((r, q))
@@ -196,7 +200,7 @@ def document_frequencies(docs: DataFrame, column) -> tuple[int, object]:
         import numpy as np
         import pyarrow as pa
 
-        total, n = np.zeros(columns + 1, np.int64), 0
+        total, n = np.zeros(columns, np.int64), 0
         for rb in batches:
             data, offsets = textvec.string_buffers(rb.column(0))
             n += rb.num_rows
@@ -204,10 +208,9 @@ def document_frequencies(docs: DataFrame, column) -> tuple[int, object]:
                 h, bounds, _, _ = textvec.words(data, offsets[i : j + 1])
                 col = column[(h >> np.uint64(64 - 17)).astype(np.int64)]
                 row = np.repeat(np.arange(j - i), np.diff(bounds))
-                pair = np.zeros((j - i, columns + 1), bool)
-                pair[row, col] = True
-                total += pair.sum(axis=0)
-        at = np.flatnonzero(total[:columns])
+                pair = np.unique(row[col >= 0] * columns + col[col >= 0])
+                total += np.bincount(pair % columns, minlength=columns)
+        at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(total[at], n))], names=["term", "n"])
 
     got = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
@@ -256,11 +259,11 @@ def build_index(docs: DataFrame, items: DataFrame, rank: int = RANK) -> Index |
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
     hashed = [h[bounds[i] : bounds[i + 1]] for i in range(len(rows))]
     answers = [word_hashes(answer_words(r.text, r.answer)) for r in rows]
-    index = Index([r.item_id for r in rows], [x.tolist() for x in hashed], answers, column, idf, float(idf.max()), basis, vectors.T.astype(np.float32))
-    index.scaled = (basis * idf[:, None]).astype(np.float32)
-    index.hashes, index.counts = zip(*(np.unique(x, return_counts=True) for x in hashed))
-    index.sizes = [len(x) for x in hashed]
-    return index
+    hashes, counts = zip(*(np.unique(x, return_counts=True) for x in hashed))
+    return Index(
+        [r.item_id for r in rows], [x.tolist() for x in hashed], answers, column, idf, float(idf.max()),
+        (basis * idf[:, None]).astype(np.float32), vectors.T.astype(np.float32), hashes, counts, [len(x) for x in hashed],
+    )
 
 
 def item_blocks(benchmark: DataFrame, items: int = ITEMS):
