@@ -128,7 +128,7 @@ def nearby_batches(cues: DataFrame, size: int = 4, max_gap_ms: int = 500) -> Dat
 
 def sentence_units(cues: DataFrame) -> DataFrame:
     """Cues cut at sentence marks, the time shared by normalised length, each unit 1 ms at least."""
-    parts = F.filter(F.transform(F.regexp_extract_all("text", F.lit(r"[^.。！？!?…]+[.。！？!?…]*"), F.lit(0)), F.trim), lambda p: norm_latin(p) != "")
+    parts = F.filter(F.transform(F.regexp_extract_all("text", F.lit(r"[^.。！？!?…]+[.。！？!?…]*"), F.lit(0)), lambda p: F.trim(p)), lambda p: norm_latin(p) != "")
     c = cues.withColumn("parts", parts).withColumn("parts", F.when(F.size("parts") <= 1, F.array("text")).otherwise(F.col("parts")))
     u = c.select("media_id", "cue_id", "start_ms", "end_ms", F.size("parts").alias("n"), F.posexplode("parts").alias("i", "unit"))
     w = Window.partitionBy("media_id", "cue_id")

@@ -76,3 +76,21 @@ def test_retention(spark):
     b = spark.createDataFrame([(1, 1, "abcxefg"), (2, 1, "Same!")], schema)
     got = {r.media_id: (r.retention, r.status) for r in content_retention(a, b).collect()}
     assert got == {1: (0.6, "FAIL"), 2: (1.0, "PASS")}
+
+
+def test_responses_pair_with_the_nearest_unused(spark):
+    from cueloom.operators.words import pair_responses
+
+    schema = "media_id long, cue_id long, start_ms long, text string"
+    a = spark.createDataFrame([(1, 1, 1000, "yes"), (1, 2, 1500, "Yes!"), (1, 3, 9000, "yes"), (1, 4, 0, "no")], schema)
+    b = spark.createDataFrame([(1, 11, 1600, "yes"), (1, 12, 3000, "yes"), (1, 13, 20000, "yes")], schema)
+    got = {r.cue_id: r.matched_id for r in pair_responses(a, b).collect()}
+    assert got == {1: 11, 2: 12, 3: None, 4: None}
+
+
+def test_tokens_group_by_pause_and_mark(spark):
+    from cueloom.operators.words import group_tokens
+
+    rows = [(1, 1, 0, "a", 0, 900), (1, 1, 1, "b.", 900, 1000), (1, 1, 2, "c", 1000, 2000), (1, 1, 3, "d", 4000, 4100), (2, 1, 0, "e", 0, 10)]
+    got = [(r.media_id, r.cue_no, r.text) for r in group_tokens(spark.createDataFrame(rows, "media_id long, cue_id long, pos long, token string, start_ms long, end_ms long")).orderBy("media_id", "cue_no").collect()]
+    assert got == [(1, 1, "a b."), (1, 2, "c"), (1, 3, "d"), (2, 1, "e")]
