@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from .near_dup import bounded_batches
 from .scratch import Scratch
 
-#: Side of the derived images, scales (powers of 1.25), corners kept of each image and scale, tests of a descriptor, and tables.
-SIDE, SCALES, CORNERS, TESTS, TABLES = 64, 3, 14, 120, 5
+#: Side of the derived images, scales and the step between them, corners of each image and scale, tests of a descriptor, and tables.
+SIDE, SCALES, STEP, CORNERS, TESTS, TABLES = 64, 4, 1.1, 14, 120, 5
 #: Most differing tests of a match, and least matches that agree on one similarity transform.
 DISTANCE, AGREE = 14, 7
 
@@ -63,7 +63,7 @@ def describe(images):
     patterns = _patterns()
     rows = []
     for level in range(SCALES):
-        factor = 1.25**level
+        factor = STEP**level
         side = int(round(images.shape[1] / factor))
         small = _smooth(images if level == 0 else _resize(images, side))
         gx, gy = np.zeros_like(small), np.zeros_like(small)
@@ -96,17 +96,15 @@ def describe(images):
 
 
 def derived_images(vectors, side: int = SIDE):
-    """A grey image for each vector: its values are the heights of a coarse grid under fixed blocks and a smooth ramp."""
+    """A grey image for each vector: its values weigh fixed patterns of smoothed noise, drawn by rule from a seeded generator."""
     import numpy as np
 
     n, d = vectors.shape
-    grid = int(np.ceil(np.sqrt(d)))
-    cells = np.zeros((n, grid * grid), np.float32)
-    cells[:, :d] = vectors
-    scale = np.maximum(np.abs(cells).max(axis=1, keepdims=True), 1e-9)
-    cells = (cells / scale).reshape(n, grid, grid)
-    step = side // grid
-    return np.repeat(np.repeat(cells, step, axis=1), step, axis=2)[:, :side, :side] * 100 + 128
+    noise = np.random.Generator(np.random.PCG64(8)).standard_normal((d, side, side)).astype(np.float32)
+    basis = _smooth(_smooth(_smooth(noise))).reshape(d, -1)
+    images = vectors.astype(np.float32) @ basis
+    images /= np.maximum(images.std(axis=1, keepdims=True), 1e-9)
+    return (images * 40 + 128).reshape(n, side, side)
 
 
 def edited(images, crop: int = 6, gain: float = 0.8, lift: float = 20.0):
@@ -162,8 +160,8 @@ def find_copies(queries: DataFrame, index: DataFrame, distance: int = DISTANCE,
         first = first & ~e
     met = q.join(d, ["n", "key"]).where((apart <= distance) & first)
     turn = (F.col("angle") - F.col("qangle")) / 6.283185307179586 * 12
-    zoom = F.log(F.col("scale") / F.col("qscale")) / F.log(F.lit(1.25))
-    ratio = F.pow(F.lit(1.25), F.round(zoom))
+    zoom = F.log(F.col("scale") / F.col("qscale")) / F.log(F.lit(STEP))
+    ratio = F.pow(F.lit(STEP), F.round(zoom))
     cosine, sine = F.cos(F.round(turn) * 0.5235987755982988), F.sin(F.round(turn) * 0.5235987755982988)
     sx = F.col("x") - ratio * (cosine * F.col("qx") - sine * F.col("qy"))
     sy = F.col("y") - ratio * (sine * F.col("qx") + cosine * F.col("qy"))
