@@ -184,6 +184,37 @@ def test_decontamination(docs, none, spark):
     assert decontaminate.find_leaks(none, bench).count() == 0 and decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_copies_of_many_and_of_long_items(spark):
+    rnd = random.Random(6)
+    words = [f"v{i}" for i in range(3000)]
+    weights = [1 / (i + 1) ** 0.7 for i in range(3000)]
+    items = [(i, rnd.choices(words, weights, k=rnd.randrange(20, 60))) for i in range(1200)] + [(5000 + i, rnd.choices(words, weights, k=900)) for i in range(8)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    plants = items[::5] + items[1200:]
+    rows = []
+    for i, w in plants:
+        host = rnd.choices(words, weights, k=200)
+        at = rnd.randrange(200)
+        rows.append((i, " ".join(host[:at] + w + host[at:])))
+    leaks = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench)
+    got = {(r.doc_id, r.item_id) for r in leaks.where("lcs = 1").collect()}
+    assert {(i, i) for i, _ in plants} <= got
+    assert sum(len(range(0, n, 32)) == len(decontaminate.passage_starts(n)) for n in range(1, 200)) == 199
+    assert sum(b.count() for b in decontaminate.item_blocks(bench, passages=500)) == len(items)
+
+
+def test_decontamination_finds_items_whatever_their_cosine(spark):
+    rnd = random.Random(8)
+    item = [f"common{i % 8}" for i in range(24)] + [f"r{i}" for i in range(8)]
+    kept = [w for i, w in enumerate(item) if i < 24]
+    rows = [(1, " ".join(f"x{rnd.randrange(10**9)}" for _ in range(90)))] * 1
+    rows.append((2, " ".join([f"y{i}" for i in range(24)] + kept + [f"z{i}" for i in range(24)])))
+    rows += [(10 + i, " ".join(f"common{j}" for j in range(8))) for i in range(300)]
+    bench = spark.createDataFrame([(1, " ".join(item), "common0")], "item_id long, text string, answer string")
+    leaks = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert [(r.doc_id, r.lcs) for r in leaks] == [(2, 0.75)] and leaks[0].cosine < decontaminate.COSINE
+
+
 def test_subsequence_length_equals_table():
     rnd = random.Random(3)
     for _ in range(200):
