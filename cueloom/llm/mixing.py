@@ -69,11 +69,11 @@ def schedule(sources: DataFrame, slots: int, block: int = BLOCK) -> DataFrame:
     return ranked.select("sid", (F.col("before") + F.col("rank") - 1).alias("block"), "slot")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int = 150, most: int = 2, block: int = BLOCK, seed: str = "") -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int = 150, most: int = 2, block: int = BLOCK, seed: str = "", carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Two tables: the documents with their place, and the pieces of the mix.
 
     documents: row (unique), doc_id, source, size, sid, source_size, target,
-    goal, cum. pieces: slot, sid, block, row, epoch, first_word, n_words, at
+    goal, cum, and the columns named in ``carry``. pieces: slot, sid, block, row, epoch, first_word, n_words, at
     most one for each block that an epoch of a document touches.
 
     Each source's documents are shuffled by the MD5 of ``seed`` and doc_id and
@@ -84,8 +84,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int = 15
     comes after its last slot.
 
     Null text has size 0 and takes nothing; null doc_id is hashed as an empty
-    string; null is a source; rows with equal ids are ordered by size. No rows
-    give no rows. Other columns are ignored.
+    string; null is a source; rows with equal ids are ordered by size, then by
+    the carried columns. No rows give no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
@@ -95,6 +95,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int = 15
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         digest.alias("digest"),
+        *carry,
     ).withColumn("range", F.substring("digest", 1, 3))
     sized = scratch.cut(sized, "sizes")
     ranges = sized.groupBy("source", "range").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
@@ -107,7 +108,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int = 15
         F.col("range").alias("r"),
         F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("words_before"),
     ).join(sources, F.col("s").eqNullSafe(F.col("source"))).drop("source")
-    inside = Window.partitionBy("source", "range").orderBy("digest", "doc_id", "size")
+    inside = Window.partitionBy("source", "range").orderBy("digest", "doc_id", "size", *carry)
     placed = (
         sized.withColumn("rank", F.row_number().over(inside))
         .withColumn("within", F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -115,7 +116,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int = 15
         .select(
             F.concat_ws("/", F.col("sid").cast("string"), "range", F.col("rank").cast("string")).alias("row"),
             "doc_id", "source", "size", "sid", "source_size", "target", "goal",
-            (F.col("words_before") + F.col("within")).alias("cum"),
+            (F.col("words_before") + F.col("within")).alias("cum"), *carry,
         )
     )
     placed = scratch.cut(placed, "placed")

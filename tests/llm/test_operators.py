@@ -241,6 +241,22 @@ def test_mixing(docs, none):
     assert words_taken(*mix(none)).count() == 0
 
 
+def test_pipeline_mixes_rows_not_ids(spark):
+    import corpus_pipeline
+
+    sizes = {"a": [5] * 38, "b": [300], "c": [5] * 28, "d": [5] * 38, "e": [5] * 9, "f": [5] * 27}
+    rows = [(None if i % 3 == 0 else i % 10, " ".join([f"{s}{i}"] * n), "en", s, 0) for s, v in sizes.items() for i, n in enumerate(v)]
+    rows.append((7, "", "en", "a", 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    goals = {r.source: r.goal for r in mix(docs)[0].select("source", "goal").distinct().collect()}
+    out = corpus_pipeline.mixing(spark, docs, SF)
+    got = {r.source: r.words for r in out.groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("words")).collect()}
+    assert 0 < goals["b"] < 150 and got.pop("b") == 300
+    assert all(abs(got[s] - goals[s]) <= 2.5 for s in "acdef") and len(got) == 5
+    assert out.where("text = ''").count() == 0
+    assert out.groupBy("text").count().where("count > 2").count() == 0
+
+
 def test_schedule_is_even(docs):
     _, pieces = mix(docs, block=7)
     rows = sorted((r.slot, r.sid) for r in pieces.select("slot", "sid", "block").distinct().collect())
