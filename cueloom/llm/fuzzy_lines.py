@@ -11,25 +11,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
+from .bits import bitmap, is_set
 from .lsh import linked_components
 from .near_dup import bounded_batches
 from .scratch import Scratch
 
 #: Characters of a shingle; bands and rows: a pair of similarity 0.8 shares no band with probability 0.004.
 WIDTH, BANDS, ROWS = 5, 14, 5
+SEED = 77
 
 
-def _line_sets(texts, width: int):
-    """Row, number, distinct shingle hashes and bounds of the non-blank lines of some texts; and the lines."""
+def _lines(texts):
+    """Row, number, 64-bit name and text of each non-blank line of some texts."""
+    import hashlib
+
     import numpy as np
 
-    rows, numbers, lines = [], [], []
+    rows, numbers, names, lines = [], [], [], []
     for r, t in enumerate(texts):
         for n, line in enumerate((t or "").split("\n")):
             if line.strip(" \t\r\f\v"):
                 rows.append(r)
                 numbers.append(n)
+                names.append(hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest())
                 lines.append(line)
+    return np.array(rows, np.int64), np.array(numbers, np.int32), np.frombuffer(b"".join(names), np.int64), lines
+
+
+def _shingle_sets(lines, width: int):
+    """Distinct shingle hashes of some lines, and their bounds."""
+    import numpy as np
+
     sizes = np.array([len(x) for x in lines], np.int64)
     points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     ends = np.cumsum(sizes)
@@ -39,8 +51,7 @@ def _line_sets(texts, width: int):
     for j in range(width):
         acc *= np.uint64(0x9E3779B97F4A7C15)
         acc += padded[j : j + len(points)] + np.uint64(1)
-    short = np.flatnonzero(sizes < width)
-    for i in short:
+    for i in np.flatnonzero(sizes < width):
         h = 0
         for c in points[starts[i] : ends[i]]:
             h = (h * 0x9E3779B97F4A7C15 + int(c) + 1) & 0xFFFFFFFFFFFFFFFF
@@ -49,8 +60,7 @@ def _line_sets(texts, width: int):
     count = np.maximum(1, sizes - width + 1)
     bounds = np.concatenate([[0], np.cumsum(count)])
     at = np.repeat(starts - bounds[:-1], count) + np.arange(bounds[-1]) if len(lines) else np.zeros(0, np.int64)
-    values, vb = textvec.distinct(acc[at], bounds)
-    return np.array(rows, np.int64), np.array(numbers, np.int32), values, vb, lines
+    return textvec.distinct(acc[at], bounds)
 
 
 def _pieces(rb, column: int, size: int = 1 << 20):
@@ -60,34 +70,67 @@ def _pieces(rb, column: int, size: int = 1 << 20):
         yield i, rb.column(column).slice(i, j - i).to_pylist()
 
 
-def line_signatures(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, seed: int = 77) -> DataFrame:
-    """doc_id, line_no, n (size of the shingle set), band_keys of every non-blank line of ``docs(doc_id, text)``."""
+def line_keys(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """row, doc_id, digest, line_no, node, keys of every non-blank line of ``docs(row, doc_id, digest, text)``.
+
+    node names the line's text. keys are the line's bands, null where a line is
+    repeated within about a megabyte of text. A text without such lines has one
+    row, with line_no null.
+    """
 
     def work(batches):
         import numpy as np
         import pyarrow as pa
 
         for rb in batches:
-            for i, texts in _pieces(rb, 1):
-                row, number, values, bounds, lines = _line_sets(texts, width)
-                sig = textvec.min_hashes(values, bounds, bands * rows, seed)
-                keys = np.zeros((len(lines), bands), np.uint64)
+            for i, texts in _pieces(rb, 3):
+                row, number, node, lines = _lines(texts)
+                _, first, of = np.unique(node, return_index=True, return_inverse=True)
+                sig = textvec.min_hashes(*_shingle_sets([lines[k] for k in first], width), bands * rows, SEED)
+                keys = np.zeros((len(first), bands), np.uint64)
                 for r in range(rows):
                     keys = textvec.mix(keys * np.uint64(0xD6E8FEB86659FD93) + sig[:, r::rows][:, :bands].astype(np.uint64) + np.uint64(1))
-                keys = (keys >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                keys = (keys >> np.uint64(16)).astype(np.uint64).view(np.int64)
+                there = np.zeros(len(lines), bool)
+                there[first] = True
+                listed = np.concatenate([[0], np.cumsum(there * bands)]).astype(np.int32)
+                packed = pa.ListArray.from_arrays(pa.array(listed), pa.array(keys[of[there]].ravel()))
+                blank = np.setdiff1d(np.arange(len(texts)), row)
+                at = pa.array(np.concatenate([row, blank]) + i)
+                pad = [None] * len(blank)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        rb.column(0).take(pa.array(row + i)),
-                        pa.array(number),
-                        pa.array(lines, pa.string()),
-                        pa.array(np.diff(bounds).astype(np.int32)),
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(lines) + 1, dtype=np.int32) * bands), pa.array(keys.ravel())),
+                        *(rb.column(c).take(at) for c in range(3)),
+                        pa.concat_arrays([pa.array(number), pa.array(pad, pa.int32())]),
+                        pa.concat_arrays([pa.array(node), pa.array(pad, pa.int64())]),
+                        pa.concat_arrays([packed, pa.array([[] for _ in pad], pa.list_(pa.int64()))]),
                     ],
-                    names=["doc_id", "line_no", "line", "n", "band_keys"],
+                    names=["row", "doc_id", "digest", "line_no", "node", "keys"],
                 )
 
-    out = docs.mapInArrow(work, "doc_id long, line_no int, line string, n int, band_keys array<int>")
-    return out.select("doc_id", "line_no", F.xxhash64("line").alias("node"), "n", "band_keys")
+    return docs.select("row", "doc_id", "digest", "text").mapInArrow(work, "row long, doc_id long, digest long, line_no int, node long, keys array<long>")
+
+
+def named_lines(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(node, line) of the lines of ``docs(text)`` that ids(node) names.
+
+    A bitmap of fixed size leaves out other lines before they are shuffled.
+    """
+    wanted = bitmap(ids.select(F.col("node").alias("key")))
+
+    def work(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for rb in batches:
+            for _, texts in _pieces(rb, 0):
+                _, _, node, lines = _lines(texts)
+                _, first = np.unique(node, return_index=True)
+                first = first[is_set(wanted.value, node[first])]
+                yield pa.RecordBatch.from_arrays([pa.array(node[first]), pa.array([lines[k] for k in first], pa.string())], names=["node", "line"])
+
+    found = docs.select("text").mapInArrow(work, "node long, line string").join(ids, "node", "left_semi")
+    return found.groupBy("node").agg(F.min("line").alias("line"))
 
 
 def _confirm(pairs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -103,6 +146,8 @@ def _confirm(pairs: DataFrame, width: int, percent: int) -> DataFrame:
             keep = []
             for row, (x, y) in enumerate(zip(rb.column(2).to_pylist(), rb.column(3).to_pylist())):
                 x, y = full_set(x), full_set(y)
+                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+                    continue
                 both = len(x & y)
                 if 100 * both >= percent * (len(x) + len(y) - both):
                     keep.append(row)
@@ -112,8 +157,8 @@ def _confirm(pairs: DataFrame, width: int, percent: int) -> DataFrame:
     return pairs.select("a", "b", "ta", "tb").mapInArrow(work, "a long, b long")
 
 
-def _hashed(lines: DataFrame, width: int) -> DataFrame:
-    """node, hashes (32 bits, sorted distinct) of lines(node, line)."""
+def _signed(lines: DataFrame, width: int, n_hashes: int) -> DataFrame:
+    """node, n (size of the shingle set), signature (16 bits a hash) of lines(node, line)."""
 
     def work(batches):
         import numpy as np
@@ -121,60 +166,64 @@ def _hashed(lines: DataFrame, width: int) -> DataFrame:
 
         for rb in batches:
             for i, texts in _pieces(rb, 1):
-                row, _, values, bounds, _ = _line_sets([t.replace("\n", " ") for t in texts], width)
-                v, vb = textvec.distinct((values >> np.uint64(32)).astype(np.uint32), bounds)
-                yield pa.RecordBatch.from_arrays(
-                    [rb.column(0).take(pa.array(row + i)), pa.ListArray.from_arrays(pa.array(vb.astype(np.int32)), pa.array(v.view(np.int32)))], names=["node", "hashes"]
-                )
+                values, bounds = _shingle_sets(texts, width)
+                low = np.ascontiguousarray((textvec.min_hashes(values, bounds, n_hashes, SEED) >> np.uint32(8)).astype(np.uint16))
+                packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * n_hashes), len(texts), [None, pa.py_buffer(low.tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([rb.column(0).slice(i, len(texts)), pa.array(np.diff(bounds)), packed], names=["node", "n", "signature"])
 
-    return lines.select("node", "line").mapInArrow(work, "node long, hashes array<int>")
+    return lines.select("node", "line").mapInArrow(work, "node long, n long, signature binary")
 
 
-def fuzzy_lines(docs: DataFrame, width: int = WIDTH, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, line_no (from 0), component and kept for every non-blank line of ``docs(doc_id, text)``.
+def fuzzy_lines(docs: DataFrame, width: int = WIDTH, percent: int = 80, bands: int = BANDS, rows: int = ROWS, miss: float = 1e-6) -> DataFrame:
+    """row, doc_id, line_no (from 0), component and kept for every non-blank line of ``docs(doc_id, text)``.
 
     Lines (split at line feeds) are linked when the sets of their
     ``width``-character shingles have 100 * intersection >= percent * union; a
     shorter line is one shingle. Of each component of equal or linked lines the
-    first (smallest doc_id, then line_no) is kept. Lines are known by a 64-bit
-    hash: among n different lines two share one with probability n * n / 2^65.
-
-    Null, empty and blank texts have no rows, and blank lines are never
-    dropped. Rows that share a doc_id keep the same line numbers. Null ids sort
-    first. Other columns are ignored. No rows give no rows.
+    first is kept: that of the smallest doc_id, then (among rows that share it)
+    of the smallest hash of the text, then of the smallest line_no. row numbers
+    the rows of ``docs``, so repeated rows are told apart, and only one of
+    their copies is kept. Lines are known by a 64-bit hash: among n different
+    lines two share one with probability n * n / 2^65.
+
+    Null, empty and blank texts have one row, with line_no, component and kept
+    null; blank lines are never dropped. Null ids sort first. Other columns are
+    ignored. No rows give no rows.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     scratch = Scratch(spark, "fuzzy-lines")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = scratch.cut(line_signatures(docs, width, bands, rows), "lines")
-    members = table.select("node", "n", F.posexplode("band_keys").alias("band", "key"))
-
-    def texts(ids: DataFrame) -> DataFrame:
-        """(node, line) of the lines that ids(node) names."""
-        every = docs.select(F.explode(F.split("text", "\n")).alias("line")).select(F.xxhash64("line").alias("node"), "line")
-        return every.join(ids, "node", "left_semi").groupBy("node").agg(F.first("line").alias("line"))
+    text = F.col("text").cast("string")
+    docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), text.alias("text"))
+    table = scratch.cut(line_keys(docs, width, bands, rows), "lines")
+    members = table.where("size(keys) > 0").select("node", F.posexplode("keys").alias("band", "key")).select(F.shiftleft("key", 8).bitwiseXOR(F.xxhash64("band")).alias("bucket"), "node")
 
     def confirmed(pairs: DataFrame, tag: str) -> DataFrame:
         pairs = scratch.cut(pairs, f"pairs-{tag}")
         ids = scratch.cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"ids-{tag}")
-        known = scratch.cut(texts(ids), f"texts-{tag}")
+        known = scratch.cut(named_lines(docs, ids), f"texts-{tag}")
         full = pairs.join(known.select(F.col("node").alias("b"), F.col("line").alias("tb")), "b").join(known.select(F.col("node").alias("a"), F.col("line").alias("ta")), "a")
         return scratch.cut(_confirm(full, width, percent), f"links-{tag}")
 
-    label = linked_components(members, scratch, percent, lambda pairs: pairs, confirmed, lambda ids: _hashed(texts(ids), width))
-    placed = table.select("doc_id", "line_no", "node").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = scratch.cut(placed, "placed")
-    first = placed.groupBy("component").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
-    return placed.join(first, "component").select(
-        "doc_id", "line_no", "component", (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no"))).alias("kept")
+    def signed(ids: DataFrame) -> DataFrame:
+        return _signed(named_lines(docs, scratch.cut(ids, "ids-signed")), width, bands * rows)
+
+    label = linked_components(members, scratch, percent, lambda pairs: pairs, confirmed, signed, bands * rows, rows * 2, miss)
+    order = F.struct("doc_id", "digest", "row", "line_no")
+    nodes = table.where("line_no is not null").groupBy("node").agg(F.min(order).alias("first"), F.count("*").alias("n"))
+    shared = nodes.join(label, "node", "left").where("n > 1 or component is not null").withColumn("component", F.coalesce("component", "node"))
+    shared = scratch.cut(shared.select("node", "component", "first"), "shared")
+    first = shared.groupBy("component").agg(F.min("first").alias("first"))
+    known = shared.select("node", "component").join(first, "component").select(F.col("node").alias("shared"), "component", F.col("first.row").alias("first_row"), F.col("first.line_no").alias("first_line"))
+    kept = F.when(F.col("shared").isNull(), F.lit(True)).otherwise((F.col("row") == F.col("first_row")) & (F.col("line_no") == F.col("first_line")))
+    placed = table.select("row", "doc_id", "line_no", "node")
+    return placed.join(known, F.col("node") == F.col("shared"), "left").select(
+        "row", "doc_id", "line_no", F.coalesce("component", "node").alias("component"), F.when(F.col("line_no").isNotNull(), kept).alias("kept")
     )
 
 
-def lines_by_document(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_kept and dropped (line numbers, comma-joined) for every row of ``docs``."""
-    dropped = F.array_join(F.array_sort(F.collect_set(F.when(~F.col("kept"), F.col("line_no")))), ",")
-    each = lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if("kept").alias("n_kept"), dropped.alias("dropped"))
-    return docs.select(F.col("doc_id").cast("long").alias("id")).join(each, F.col("id").eqNullSafe(F.col("doc_id")), "left").select(
-        F.col("id").alias("doc_id"), F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("n_kept", F.lit(0)).alias("n_kept"), F.coalesce("dropped", F.lit("")).alias("dropped")
-    )
+def lines_by_document(lines: DataFrame) -> DataFrame:
+    """doc_id, n_lines, n_kept and dropped (line numbers, comma-joined) for every row of the documents of ``fuzzy_lines``."""
+    gone = F.array_join(F.array_sort(F.collect_list(F.when(~F.col("kept"), F.col("line_no")))), ",")
+    each = lines.groupBy("row", "doc_id").agg(F.count("line_no").alias("n_lines"), F.count_if("kept").alias("n_kept"), gone.alias("dropped"))
+    return each.select("doc_id", "n_lines", "n_kept", "dropped")

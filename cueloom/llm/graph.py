@@ -7,20 +7,39 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
+#: Edges from which nodes of very many neighbours are looked for, and the share of the edges that makes one.
+LARGE, SHARE = 5_000, 500
+
 
 def _state(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
     return row.n, row.h
 
 
+def _with_least(rows: DataFrame, least: DataFrame, n_edges: int) -> DataFrame:
+    """rows(u, v) with m of least(u, m, degree).
+
+    A node whose neighbours are more than 1 / SHARE of all edges is joined by
+    broadcast (fewer than 2 * SHARE such nodes exist), so that its rows stay
+    where they are; the others are joined by a shuffle in which no key is large.
+    """
+    if n_edges < LARGE:
+        return rows.join(least.drop("degree"), "u")
+    most = n_edges // SHARE
+    hubs = least.where(F.col("degree") > most).select("u", "m")
+    rest = least.where(F.col("degree") <= most).select("u", "m")
+    others = rows.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(rest, "u")
+    return rows.join(F.broadcast(hubs), "u").unionByName(others)
+
+
 def connected_components(edges: DataFrame, scratch: Scratch, tag: str = "cc", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges(u, v)``; the component is its smallest node.
 
     Alternates the large-star and small-star steps until the edges are stars
     around the smallest nodes. Each round's edges are written to the shared
     folder, so lineage stays one round long. Minima are pre-aggregated on the
-    map side and joined back, so a node with very many neighbours is split by
-    AQE. Null ends and self loops are ignored; no edges give no rows.
+    map side, and nodes of very many neighbours are joined by broadcast. Null
+    ends and self loops are ignored; no edges give no rows.
     """
     e = (
         edges.where("u is not null and v is not null and u <> v")
@@ -31,11 +50,13 @@ def connected_components(edges: DataFrame, scratch: Scratch, tag: str = "cc", ma
     state = _state(e)
     for _ in range(max_rounds if state[0] else 0):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low2, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")).select("u", F.least("u", "m").alias("m"), "degree")
+        large = _with_least(both.where("v > u"), low, 2 * state[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        low2 = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+        small = _with_least(large, low2, 2 * state[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        before = scratch.last.get(tag)
         e = scratch.cut(small.unionByName(low2.select("u", F.col("m").alias("v"))).distinct(), tag)
+        scratch.delete(before)
         now = _state(e)
         if now == state:
             break

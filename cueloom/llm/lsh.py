@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -10,42 +11,214 @@ from pyspark.sql import functions as F
 from .graph import connected_components
 from .scratch import Scratch
 
+#: About how many members of a bucket are compared as one block with another block.
+MEMBERS = 256
+#: Pairs whose signatures are compared at once in a task.
+PAIRS = 1 << 20
+
+
+def accept_table(n: int, batch: int, threshold: float, miss: float) -> list[int]:
+    """Fewest agreeing hashes, after each batch of a signature, at which a pair stays.
+
+    With a uniform prior the posterior of the similarity after m agreements in
+    n is Beta(m + 1, n - m + 1). A pair is pruned when the posterior chance of
+    a similarity of ``threshold`` or more is below its share of ``miss``, the
+    chosen chance to lose a true pair over all batches. That tail is the
+    binomial P(Bin(n + 1, threshold) <= m).
+    """
+    steps = range(batch, n + 1, batch)
+    share = miss / len(steps)
+    out = []
+    for size in steps:
+        total, m = 0.0, 0
+        while m <= size:
+            total += math.comb(size + 1, m) * threshold**m * (1 - threshold) ** (size + 1 - m)
+            if total >= share:
+                break
+            m += 1
+        out.append(m)
+    return out
+
+
+def passing(left, right, a, b, least: list[int], batch: int):
+    """Which of the pairs left[a], right[b] of 16-bit signatures pass every batch: indices into a."""
+    import numpy as np
+
+    alive, agreed = np.arange(len(a)), np.zeros(len(a), np.int64)
+    for step, need in enumerate(least):
+        part = slice(step * batch, (step + 1) * batch)
+        agreed[alive] += (left[a[alive], part] == right[b[alive], part]).sum(axis=1)
+        alive = alive[agreed[alive] >= need]
+    return alive
+
+
+def bayes_prune(pairs: DataFrame, n_hashes: int, threshold: float, batch: int, miss: float) -> DataFrame:
+    """Of pairs(a, b, sa, sb) keeps (a, b) whose signatures pass every batch."""
+    least = accept_table(n_hashes, batch, threshold, miss)
+
+    def work(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for rb in batches:
+            if not rb.num_rows:
+                continue
+            sa, sb = (np.frombuffer(b"".join(rb.column(c).to_pylist()), np.uint16).reshape(rb.num_rows, n_hashes) for c in (2, 3))
+            every = np.arange(rb.num_rows)
+            alive = pa.array(passing(sa, sb, every, every, least, batch))
+            yield pa.RecordBatch.from_arrays([rb.column(0).take(alive), rb.column(1).take(alive)], names=["a", "b"])
+
+    return pairs.select("a", "b", "sa", "sb").mapInArrow(work, "a long, b long")
+
+
+def bucket_chains(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """(bucket, node, prev) of the nodes of ``members(bucket, node)`` that share their bucket; prev is the next smaller node there.
+
+    The rows are cut into ranges of (bucket, node) and sorted, so a bucket of
+    any size is spread over tasks, and each task streams its rows. Where a
+    bucket runs on from one task into the next, the ends of the tasks' ranges
+    (two rows of each) are chained on the driver. Repeated rows count once. An
+    end that is alone in its bucket may be among the rows, with prev null.
+    """
+
+    def chain(batches):
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+
+        def rows(bucket, node, prev, has, edge):
+            return pa.RecordBatch.from_arrays(
+                [pa.array(bucket), pa.array(node), pa.array(prev, mask=~has), pa.array(np.full(len(node), part, np.int32)), pa.array(edge.astype(np.int32))],
+                names=["bucket", "node", "prev", "part", "edge"],
+            )
+
+        held = None  # the newest row, which waits for its successor: bucket, node, prev, has prev, first of the task
+        for rb in batches:
+            b, n = (rb.column(c).to_numpy() for c in (0, 1))
+            if held is not None:
+                b, n = np.concatenate([[held[0]], b]), np.concatenate([[held[1]], n])
+            if not len(b):
+                continue
+            new = np.concatenate([[True], (b[1:] != b[:-1]) | (n[1:] != n[:-1])])
+            b, n = b[new], n[new]
+            same = np.concatenate([[False], b[1:] == b[:-1]])
+            prev = np.concatenate([n[:1], n[:-1]])
+            edge = np.zeros(len(b), bool)
+            if held is None:
+                edge[0] = True
+            else:
+                prev[0], same[0], edge[0] = held[2], held[3], held[4]
+            keep = same | edge
+            keep[:-1] |= same[1:]
+            keep[-1] = False
+            if keep.any():
+                yield rows(b[keep], n[keep], prev[keep], same[keep], edge[keep])
+            held = (b[-1], n[-1], prev[-1], same[-1], edge[-1])
+        if held is not None:
+            one = [np.array([x]) for x in held]
+            yield rows(*one[:4], one[4] + 2)
+
+    placed = members.select("bucket", "node").repartitionByRange("bucket", "node").sortWithinPartitions("bucket", "node")
+    found = scratch.cut(placed.mapInArrow(chain, "bucket long, node long, prev long, part int, edge int"), "chains")
+    ends = sorted((r.part, r.bucket, r.node) for r in found.where("edge > 0").select("part", "bucket", "node").collect())
+    joints = [(y[1], y[2], x[2]) for x, y in zip(ends, ends[1:]) if x[0] < y[0] and x[1] == y[1]]
+    out = found.select("bucket", "node", "prev")
+    return out.unionByName(scratch.spark.createDataFrame(joints, "bucket long, node long, prev long")) if joints else out
+
+
+def compare_blocks(rest: DataFrame, percent: int, n_hashes: int, batch: int, miss: float) -> DataFrame:
+    """Distinct (a, b) of the members of a bucket, in different components, whose signatures pass the Bayesian batches.
+
+    ``rest(bucket, node, component, blocks, n, signature)``: each bucket is cut
+    into ``blocks`` blocks by a hash of the node and every two blocks meet in a
+    task; their pairs are compared there and only what passes leaves it.
+    """
+    least = accept_table(n_hashes, batch, percent / 100, miss)
+
+    def work(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def compared(group, side, split, node, component, n, sig):
+            """Pairs within the groups, between the sides where a group has two."""
+            stop = np.searchsorted(group, group, side="right")
+            many = stop - np.arange(len(group)) - 1
+            upto = np.concatenate([[0], np.cumsum(many)])
+            at = 0
+            while at < len(group):
+                to = max(at + 1, int(np.searchsorted(upto, upto[at] + PAIRS, side="right")) - 1)
+                count = many[at:to]
+                a = np.repeat(np.arange(at, to), count)
+                b = a + 1 + np.arange(len(a)) - np.repeat(upto[at:to] - upto[at], count)
+                ok = (component[a] != component[b]) & (~split[a] | (side[a] != side[b]))
+                ok &= 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
+                a, b = a[ok], b[ok]
+                alive = passing(sig, sig, a, b, least, batch)
+                a, b = node[a[alive]], node[b[alive]]
+                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                at = to
+
+        held = None
+        for rb in batches:
+            if not rb.num_rows:
+                continue
+            bucket, lo, hi, side, node, component, n = (rb.column(c).to_numpy(zero_copy_only=False) for c in range(7))
+            sig = np.frombuffer(b"".join(rb.column(7).to_pylist()), np.uint16).reshape(rb.num_rows, n_hashes)
+            new = [np.stack([bucket, lo, hi], axis=1).astype(np.int64), side, lo != hi, node, component, n, sig]
+            if held is not None:
+                new = [np.concatenate(x) for x in zip(held, new)]
+            key = new[0]
+            change = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+            if not len(change):
+                held = new
+                continue
+            last = change[-1]
+            group = np.zeros(last, np.int64)
+            group[change[:-1]] = 1
+            yield from compared(np.cumsum(group), *(x[:last] for x in new[1:]))
+            held = [x[last:] for x in new]
+        if held is not None:
+            yield from compared(np.zeros(len(held[0]), np.int64), *held[1:])
+
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    met = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).alias("side"), "node", "component", "n", "signature")
+    return met.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInArrow(work, "a long, b long").distinct()
+
 
 def linked_components(
     members: DataFrame,
     scratch: Scratch,
     percent: int,
-    candidates: Callable[[DataFrame], DataFrame],
+    likely: Callable[[DataFrame], DataFrame],
     confirm: Callable[[DataFrame, str], DataFrame],
-    hashed: Callable[[DataFrame], DataFrame],
+    signed: Callable[[DataFrame], DataFrame],
+    n_hashes: int,
+    batch: int,
+    miss: float,
 ) -> DataFrame:
-    """(node, component) of the nodes that have a link, from ``members(node, n, band, key)``; n is the size of the node's set.
-
-    The smallest member of each bucket is compared with the others:
-    ``candidates`` thins these pairs(a, b) and ``confirm`` compares them in
-    full. Members of a bucket that are still in different components are
-    compared with each other inside the join, on the sets that ``hashed`` gives
-    for the ids(node) (node, hashes; equal elements have equal hashes, so a
-    similarity can only be overstated), and what passes is compared in full.
-    So no link between components is left out and no bucket expands into all
-    its pairs.
+    """(node, component) of the nodes that have a link, from ``members(bucket, node)``.
+
+    First each member of a bucket is compared with the next smaller one:
+    ``likely`` thins these pairs(a, b) and ``confirm`` compares them in full.
+    Members of a bucket that are still in different components then meet
+    each other, in blocks, by the signatures that ``signed`` gives for
+    ids(node) (node, n, signature), and what passes is compared in full. So no
+    link between components is left out, and no bucket expands into its pairs.
     """
-    near = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    leaders = members.groupBy("band", "key").agg(F.min("node").alias("leader"), F.max("node").alias("other")).where("leader <> other")
-    buckets = scratch.cut(members.join(leaders.select("band", "key", "leader"), ["band", "key"]), "buckets")
-    first = buckets.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    links = confirm(candidates(first), "leaders").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    label = connected_components(links, scratch, "cc-leaders")
-
-    tagged = buckets.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = tagged.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band", "key")
-    rest = scratch.cut(tagged.join(mixed, ["band", "key"], "left_semi").select("band", "key", "node", "component", "n").distinct(), "rest")
-    ids = scratch.cut(rest.select("node").distinct(), "ids-rest")
-    rest = rest.join(scratch.cut(hashed(ids), "sets"), "node")
-    left = rest.select("band", "key", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("hashes").alias("ha"))
-    right = rest.select("band", "key", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("hashes").alias("hb"))
-    alike = f"{100 + percent} * (size(array_intersect(ha, hb)) + abs(size(ha) - na) + abs(size(hb) - nb)) >= {percent} * (na + nb)"
-    met = (F.col("l.band") == F.col("r.band")) & (F.col("l.key") == F.col("r.key"))
-    second = left.alias("l").join(right.alias("r"), met & F.expr(f"a < b and ca <> cb and {near} and {alike}")).select("a", "b").distinct()
-    links = links.unionByName(confirm(second, "others").select(F.col("a").alias("u"), F.col("b").alias("v")))
-    return connected_components(links, scratch, "cc-all")
+    chains = bucket_chains(members, scratch)
+    first = chains.where("prev is not null").select(F.col("prev").alias("a"), F.col("node").alias("b")).distinct()
+    links = confirm(likely(first), "chains").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    label = scratch.cut(connected_components(links, scratch, "cc-chains"), "labels")
+
+    tagged = chains.select("bucket", "node").distinct().join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    tagged = scratch.cut(tagged, "tagged")
+    mixed = tagged.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo <> hi")
+    rest = scratch.cut(tagged.join(mixed.select("bucket", F.ceil(F.col("members") / MEMBERS).cast("int").alias("blocks")), "bucket"), "rest")
+    signatures = signed(rest.select("node").distinct())
+    second = compare_blocks(rest.join(signatures, "node"), percent, n_hashes, batch, miss)
+    more = confirm(second, "blocks").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return connected_components(label.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), scratch, "cc-all")

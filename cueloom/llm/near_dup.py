@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec
-from .lsh import linked_components
+from .lsh import bayes_prune, linked_components
 from .scratch import Scratch
 
 #: Bands and rows of each band. A pair of similarity 0.8 shares none of 40 bands
@@ -43,6 +41,7 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int, seed: int) -> Dat
                 keys = np.zeros((j - i, bands), np.uint64)
                 for r in range(rows):
                     keys = textvec.mix(keys * np.uint64(0xD6E8FEB86659FD93) + sig[:, r::rows][:, :bands].astype(np.uint64) + np.uint64(1))
+                keys = textvec.mix(keys + np.arange(bands, dtype=np.uint64))
                 width = 2 * bands * rows
                 low = np.ascontiguousarray((sig >> np.uint32(8)).astype(np.uint16))
                 yield pa.RecordBatch.from_arrays(
@@ -61,51 +60,6 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int, seed: int) -> Dat
     return docs.mapInArrow(work, schema)
 
 
-def accept_table(n: int, batch: int, threshold: float, miss: float) -> list[int]:
-    """Fewest agreeing hashes, after each batch of a signature, at which a pair stays.
-
-    With a uniform prior the posterior of the similarity after m agreements in
-    n is Beta(m + 1, n - m + 1). A pair is pruned when the posterior chance of
-    a similarity of ``threshold`` or more is below its share of ``miss``, the
-    chosen chance to lose a true pair over all batches. That tail is the
-    binomial P(Bin(n + 1, threshold) <= m).
-    """
-    steps = range(batch, n + 1, batch)
-    share = miss / len(steps)
-    out = []
-    for size in steps:
-        total, m = 0.0, 0
-        while m <= size:
-            total += math.comb(size + 1, m) * threshold**m * (1 - threshold) ** (size + 1 - m)
-            if total >= share:
-                break
-            m += 1
-        out.append(m)
-    return out
-
-
-def bayes_prune(pairs: DataFrame, n_hashes: int, threshold: float, batch: int, miss: float) -> DataFrame:
-    """Of pairs(a, b, sa, sb) keeps (a, b) whose signatures pass every batch."""
-    least = accept_table(n_hashes, batch, threshold, miss)
-
-    def work(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for rb in batches:
-            if not rb.num_rows:
-                continue
-            sa, sb = (np.frombuffer(b"".join(rb.column(c).to_pylist()), np.uint16).reshape(rb.num_rows, n_hashes) for c in (2, 3))
-            alive, agreed = np.arange(rb.num_rows), np.zeros(rb.num_rows, np.int64)
-            for step, need in enumerate(least):
-                part = slice(step * batch, (step + 1) * batch)
-                agreed[alive] += (sa[alive, part] == sb[alive, part]).sum(axis=1)
-                alive = alive[agreed[alive] >= need]
-            yield pa.RecordBatch.from_arrays([rb.column(0).take(pa.array(alive)), rb.column(1).take(pa.array(alive))], names=["a", "b"])
-
-    return pairs.select("a", "b", "sa", "sb").mapInArrow(work, "a long, b long")
-
-
 def confirm(pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """Of pairs(a, b, ta, tb) keeps (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
 
@@ -137,25 +91,6 @@ def confirm(pairs: DataFrame, k: int, percent: int) -> DataFrame:
     return pairs.select("a", "b", "ta", "tb").mapInArrow(work, "a long, b long")
 
 
-def hashed_sets(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id and the sorted distinct 32-bit hashes of the k-word shingles; equal shingles have equal hashes."""
-
-    def work(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            data, offsets = textvec.string_buffers(batch.column(1))
-            for i, j in textvec.blocks(offsets):
-                h, bounds, _, _ = textvec.words(data, offsets[i : j + 1])
-                s, sb = textvec.shingles(h, bounds, k)
-                v, vb = textvec.distinct((s >> np.uint64(32)).astype(np.uint32), sb)
-                values = pa.ListArray.from_arrays(pa.array(vb.astype(np.int32)), pa.array(v.view(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), values], names=["doc_id", "hashes"])
-
-    return docs.mapInArrow(work, "doc_id long, hashes array<int>")
-
-
 def near_duplicates(
     docs: DataFrame,
     k: int = 5,
@@ -172,7 +107,8 @@ def near_duplicates(
     sets of k-word shingles (A-Z folded); components are the classes of linked
     documents and each keeps its smallest doc_id. Copies share a class from the
     start. Candidates share a band of their signatures and pass the Bayesian
-    batches; every link is confirmed on the full sets.
+    batches of ``batch`` hashes, which lose a true pair with a chance of ``miss``;
+    every link is confirmed on the full sets.
 
     Null or empty text: an empty set, linked with nothing. Rows that share a
     doc_id are one node; a row without doc_id is its own class (component_id
@@ -188,7 +124,8 @@ def near_duplicates(
     )
     reps = sig.where("n_shingles > 0").join(classes.select(F.col("rep").alias("doc_id"), "n_shingles", "d1", "d2"), ["doc_id", "n_shingles", "d1", "d2"], "left_semi")
     reps = scratch.cut(reps.dropDuplicates(["doc_id", "d1", "d2"]), "reps")
-    members = reps.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.posexplode("band_keys").alias("band", "key"))
+    members = reps.select(F.explode("band_keys").alias("bucket"), F.col("doc_id").alias("node"))
+
     def likely(pairs: DataFrame) -> DataFrame:
         """Of distinct pairs(a, b) those that the signatures leave."""
         light = reps.select("doc_id", "signature", "n_shingles")
@@ -209,10 +146,11 @@ def near_duplicates(
         )
         return scratch.cut(confirm(full, k, percent), f"links-{tag}")
 
-    def hashed(ids: DataFrame) -> DataFrame:
-        return hashed_sets(docs.join(ids.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), k).withColumnRenamed("doc_id", "node")
+    def signed(ids: DataFrame) -> DataFrame:
+        known = reps.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "signature")
+        return known.join(ids, "node", "left_semi")
 
-    label = linked_components(members, scratch, percent, likely, confirmed, hashed)
+    label = linked_components(members, scratch, percent, likely, confirmed, signed, bands * rows, batch, miss)
 
     return (
         sig.select("doc_id", "n_shingles", "d1", "d2")

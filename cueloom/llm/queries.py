@@ -88,8 +88,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document that repeat an earlier line, exactly or nearly."""
-    docs = table(spark, sf_dir, "documents")
-    return lines_by_document(docs, fuzzy_lines(docs))
+    return lines_by_document(fuzzy_lines(table(spark, sf_dir, "documents")))
 
 
 QUERIES = {

@@ -45,10 +45,8 @@ class Scratch:
         self.last[tag] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def discard(self, tag: str) -> None:
-        """Deletes the newest table of this tag; only for tables that no later plan reads."""
-        path = self.last.pop(tag, None)
+    def delete(self, path: str | None) -> None:
+        """Deletes a table of this run that no later plan reads."""
         if path:
-            jvm = self.spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -6,13 +6,14 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from cueloom.llm import decontaminate, quality
+from cueloom.llm import decontaminate, lsh, quality
 from cueloom.llm.chat_format import format_conversations
 from cueloom.llm.fuzzy_lines import fuzzy_lines, lines_by_document
 from cueloom.llm.graph import connected_components
 from cueloom.llm.media import edited_copies
 from cueloom.llm.mixing import mix, words_taken
-from cueloom.llm.near_dup import accept_table, near_duplicates
+from cueloom.llm.lsh import accept_table
+from cueloom.llm.near_dup import near_duplicates
 from cueloom.llm.queries import ORACLES, QUERIES
 from cueloom.llm.scratch import Scratch
 from cueloom.llm.secrets import scan_secrets, span_digest
@@ -61,7 +62,9 @@ def test_near_duplicates(docs, none):
     assert near_duplicates(none, k=2).count() == 0
 
 
-def test_near_duplicates_equal_brute_force_in_dense_groups(spark):
+@pytest.mark.parametrize("members", [256, 8])
+def test_near_duplicates_equal_brute_force_in_dense_groups(spark, monkeypatch, members):
+    monkeypatch.setattr(lsh, "MEMBERS", members)
     rnd = random.Random(5)
     base = [f"t{i}" for i in range(60)]
     rows = []
@@ -299,11 +302,24 @@ def test_chat_round_trip(spark):
 
 def test_fuzzy_lines(docs, none):
     lines = fuzzy_lines(docs)
-    got = {r.doc_id: r for r in lines_by_document(docs.where("doc_id <> 9"), lines).collect()}
+    rows = lines_by_document(lines).collect()
+    assert sorted((r.doc_id is not None, r.doc_id) for r in rows) == sorted((r.doc_id is not None, r.doc_id) for r in docs.collect())
+    got = {r.doc_id: r for r in rows}
     assert got[11].dropped == "3" and got[11].n_lines == 3
-    assert got[4].n_lines == got[5].n_lines == got[8].n_lines == 0
+    assert got[4].n_lines == got[5].n_lines == got[8].n_lines == 0 and got[4].dropped == ""
     assert got[2].dropped == "0"
-    assert fuzzy_lines(none).count() == 0
+    assert sorted((r.n_lines, r.n_kept, r.dropped) for r in rows if r.doc_id == 9) == [(1, 0, "0"), (1, 1, "")]
+    assert lines_by_document(fuzzy_lines(none)).count() == 0
+
+
+def test_fuzzy_lines_of_repeated_ids_and_long_texts(spark):
+    long = "\n".join(f"line {i} has the number {i * i}" for i in range(20_000))
+    rows = [(1, "same line in both\nonly one", 5), (1, "another\nsame line in both", 5), (None, "only one", 5), (2, long, 5), (3, long, 5), (3, long, 5)]
+    got = lines_by_document(fuzzy_lines(spark.createDataFrame(rows, "doc_id long, text string, row int").repartition(3))).collect()
+    assert sum(r.n_lines for r in got) == 4 + 1 + 60_000
+    first = {r.doc_id: r for r in got}
+    assert first[None].n_kept == 1 and first[3].n_kept == 0
+    assert sorted(r.n_kept for r in got if r.doc_id == 1) in ([0, 2], [1, 1])
 
 
 def test_fuzzy_lines_equal_brute_force(spark):
@@ -335,7 +351,7 @@ def test_fuzzy_lines_equal_brute_force(spark):
                 part[y] = x
     kept = {flat[i][:2] for i in range(len(flat)) if root(i) == i}
     got = {(r.doc_id, r.line_no) for r in fuzzy_lines(spark.createDataFrame(texts, "doc_id long, text string")).where("kept").collect()}
-    assert len(got ^ kept) <= 2
+    assert got == kept
 
 
 def test_media_copies(spark):
