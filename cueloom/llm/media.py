@@ -2,16 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bits import bitmap, is_set
 from .near_dup import bounded_batches
 from .scratch import Scratch
 
-#: Side of the derived images, scales and the step between them, corners of each image and scale, tests of a descriptor, and tables.
-SIDE, SCALES, STEP, CORNERS, TESTS, TABLES = 64, 4, 1.1, 14, 120, 5
+#: Side of the derived images, step between scales, scales of an image and of an edited copy (which may be enlarged), corners of each scale.
+SIDE, STEP, SCALES, QUERY_SCALES, CORNERS = 96, 1.1, 4, 8, 28
+#: Tests of a descriptor, tables that they are dealt to, and tests of a table.
+TESTS, TABLES, BITS = 120, 5, 24
+#: Distance of corners from the border, and of the points of a test from their corner.
+EDGE, RADIUS = 11, 9
 #: Most differing tests of a match, and least matches that agree on one similarity transform.
-DISTANCE, AGREE = 14, 7
+DISTANCE, AGREE = 20, 5
+#: The edits of the query images: zoom, turn in degrees, shift of the centre as shares of the side, gain, lift, and share of the side under a banner.
+EDITS = {
+    "crop 10 %": (1 / 0.9, 0, 0.04, -0.03, 0.8, 20, 0),
+    "crop 25 %": (1 / 0.75, 0, -0.1, 0.1, 1.0, 0, 0),
+    "crop 40 %": (1 / 0.6, 0, 0.1, 0.05, 1.1, -10, 0),
+    "quarter turn": (1.0, 90, 0, 0, 1.0, 0, 0),
+    "turn by 20 degrees": (1.05, 20, 0, 0, 0.9, 5, 0),
+    "banner and contrast": (1.0, 0, 0, 0, 1.3, -20, 0.25),
+}
+
+
+def _sample(images, y, x):
+    """Bilinear values of a stack of images at points, those outside taken from the border."""
+    import numpy as np
+
+    n = images.shape[1]
+    y, x = np.clip(y, 0, n - 1), np.clip(x, 0, n - 1)
+    y0, x0 = np.minimum(y.astype(int), n - 2), np.minimum(x.astype(int), n - 2)
+    fy, fx = (y - y0).astype(np.float32), (x - x0).astype(np.float32)
+    top = images[:, y0, x0] * (1 - fx) + images[:, y0, x0 + 1] * fx
+    low = images[:, y0 + 1, x0] * (1 - fx) + images[:, y0 + 1, x0 + 1] * fx
+    return top * (1 - fy) + low * fy
 
 
 def _resize(images, side: int):
@@ -35,63 +64,91 @@ def _smooth(images):
     return sum(k[i] * rows[:, :, i : i + images.shape[2]] for i in range(5))
 
 
-def _patterns():
-    """Test point pairs for 30 orientations; drawn by rule from a seeded generator."""
+def _corners(images, count: int):
+    """Image, y, x and angle of the ``count`` strongest corners of each of some smoothed images.
+
+    Corners are local maxima of the Harris measure; their angle is the direction of the intensity centroid.
+    """
     import numpy as np
 
-    rng = np.random.Generator(np.random.PCG64(4))
-    points = np.clip(rng.normal(0, 3.2, (TESTS, 4)), -7, 7)
-    out = []
+    side = images.shape[1]
+    gx, gy = np.zeros_like(images), np.zeros_like(images)
+    gx[:, :, 1:-1] = images[:, :, 2:] - images[:, :, :-2]
+    gy[:, 1:-1] = images[:, 2:] - images[:, :-2]
+    a, b, c = _smooth(gx * gx), _smooth(gy * gy), _smooth(gx * gy)
+    harris = a * b - c * c - 0.05 * (a + b) ** 2
+    inner = harris[:, EDGE:-EDGE, EDGE:-EDGE]
+    wide = harris[:, EDGE - 2 : side - EDGE + 2, EDGE - 2 : side - EDGE + 2]
+    across = np.max([wide[:, :, d : d + inner.shape[2]] for d in range(5)], axis=0)
+    around = np.max([across[:, d : d + inner.shape[1]] for d in range(5)], axis=0)
+    peak = np.where((inner >= around) & (inner > 1e-6), inner, 0).reshape(len(images), -1)
+    best = np.argsort(-peak, axis=1, kind="stable")[:, :count]
+    img, flat = np.repeat(np.arange(len(images)), best.shape[1]), best.ravel()
+    keep = peak[img, flat] > 0
+    img, flat = img[keep], flat[keep]
+    y, x = flat // inner.shape[2] + EDGE, flat % inner.shape[2] + EDGE
+    dy, dx = np.mgrid[-5:6, -5:6]
+    disc = (dx * dx + dy * dy <= 25).ravel()
+    dy, dx = dy.ravel()[disc], dx.ravel()[disc]
+    patch = images[img[:, None], y[:, None] + dy, x[:, None] + dx]
+    return img, y, x, np.arctan2((patch * dy).sum(1), (patch * dx).sum(1))
+
+
+def _answers(images, img, y, x, angle, points):
+    """Whether the first point of each test, turned by a corner's angle (in steps of 12 degrees), is darker than the second."""
+    import numpy as np
+
+    turned = []
     for k in range(30):
-        a = 2 * np.pi * k / 30
-        c, s = np.cos(a), np.sin(a)
+        c, s = np.cos(2 * np.pi * k / 30), np.sin(2 * np.pi * k / 30)
         x1, y1, x2, y2 = points.T
-        out.append(np.rint(np.stack([c * x1 - s * y1, s * x1 + c * y1, c * x2 - s * y2, s * x2 + c * y2])).astype(int))
-    return np.stack(out)
+        turned.append(np.rint(np.stack([c * x1 - s * y1, s * x1 + c * y1, c * x2 - s * y2, s * x2 + c * y2])).astype(int))
+    p = np.stack(turned)[np.rint(angle / (2 * np.pi) * 30).astype(int) % 30]
+    lim = images.shape[1] - 1
+    at = lambda px, py: images[img[:, None], np.clip(y[:, None] + py, 0, lim), np.clip(x[:, None] + px, 0, lim)]
+    return at(p[:, 0], p[:, 1]) < at(p[:, 2], p[:, 3])
 
 
-def describe(images):
-    """Corners of a stack of square images: image, x, y, scale, angle and TESTS bits of each.
+@functools.cache
+def binary_tests():
+    """TESTS pairs of points that answer evenly and independently of one another, so that table keys are spread.
 
-    At each scale the image is smoothed, corners are local maxima of the Harris
-    measure, their orientation is the direction of the intensity centroid and
-    the tests compare smoothed intensities at points turned by it.
+    Chosen from 3,000 random pairs by their answers at the corners of images of
+    random vectors: nearest to an even split first, each with a correlation to
+    the earlier ones below the least limit that leaves TESTS of them.
     """
     import numpy as np
 
+    rng = np.random.Generator(np.random.PCG64(4))
+    points = rng.uniform(-1, 1, (12_000, 4)) * RADIUS
+    fits = (np.hypot(points[:, 0], points[:, 1]) <= RADIUS) & (np.hypot(points[:, 2], points[:, 3]) <= RADIUS) & (np.hypot(points[:, 0] - points[:, 2], points[:, 1] - points[:, 3]) >= 3)
+    points = points[fits][:3000]
+    images = _smooth(derived_images(rng.standard_normal((100, 64)).astype(np.float32)))
+    bits = _answers(images, *_corners(images, CORNERS), points)
+    mean = bits.mean(axis=0)
+    z = ((bits - mean) / np.maximum(bits.std(axis=0), 1e-6)).astype(np.float32)
+    order = np.argsort(np.abs(mean - 0.5), kind="stable")
+    for limit in np.arange(0.2, 1.01, 0.05):
+        chosen: list = []
+        for k in order:
+            if not chosen or np.abs(z[:, chosen].T @ z[:, k]).max() / len(z) < limit:
+                chosen.append(k)
+                if len(chosen) == TESTS:
+                    return points[np.array(chosen).reshape(BITS, TABLES).T.ravel()]
+    return points[order[:TESTS]]
+
+
+def describe(images, tests, scales: int = SCALES):
+    """Corners of a stack of square images: image, x, y, scale number, angle and answers to the tests of each."""
+    import numpy as np
+
     images = images.astype(np.float32)
-    patterns = _patterns()
     rows = []
-    for level in range(SCALES):
+    for level in range(scales):
         factor = STEP**level
-        side = int(round(images.shape[1] / factor))
-        small = _smooth(images if level == 0 else _resize(images, side))
-        gx, gy = np.zeros_like(small), np.zeros_like(small)
-        gx[:, :, 1:-1] = small[:, :, 2:] - small[:, :, :-2]
-        gy[:, 1:-1] = small[:, 2:] - small[:, :-2]
-        a, b, c = _smooth(gx * gx), _smooth(gy * gy), _smooth(gx * gy)
-        harris = a * b - c * c - 0.05 * (a + b) ** 2
-        edge = 11
-        inner = harris[:, edge:-edge, edge:-edge]
-        around = np.max([harris[:, edge + dy : side - edge + dy, edge + dx : side - edge + dx] for dy in (-2, -1, 0, 1, 2) for dx in (-2, -1, 0, 1, 2)], axis=0)
-        peak = np.where((inner >= around) & (inner > 1e-6), inner, 0).reshape(len(images), -1)
-        best = np.argsort(-peak, axis=1, kind="stable")[:, :CORNERS]
-        img = np.repeat(np.arange(len(images)), best.shape[1])
-        flat = best.ravel()
-        keep = peak[img, flat] > 0
-        img, flat = img[keep], flat[keep]
-        y, x = flat // (side - 2 * edge) + edge, flat % (side - 2 * edge) + edge
-        dy, dx = np.mgrid[-5:6, -5:6]
-        disc = (dx * dx + dy * dy <= 25).ravel()
-        dy, dx = dy.ravel()[disc], dx.ravel()[disc]
-        patch = small[img[:, None], y[:, None] + dy, x[:, None] + dx]
-        angle = np.arctan2((patch * dy).sum(1), (patch * dx).sum(1))
-        turn = np.rint(angle / (2 * np.pi) * 30).astype(int) % 30
-        p = patterns[turn]
-        lim = side - 1
-        at = lambda px, py: small[img[:, None], np.clip(y[:, None] + py, 0, lim), np.clip(x[:, None] + px, 0, lim)]
-        bits = at(p[:, 0], p[:, 1]) < at(p[:, 2], p[:, 3])
-        rows.append((img, x * factor, y * factor, np.full(len(img), factor), angle, bits))
+        small = _smooth(images if level == 0 else _resize(images, int(round(images.shape[1] / factor))))
+        img, y, x, angle = _corners(small, CORNERS)
+        rows.append((img, x * factor, y * factor, np.full(len(img), level), angle, _answers(small, img, y, x, angle, tests)))
     return tuple(np.concatenate([r[i] for r in rows]) for i in range(6))
 
 
@@ -107,80 +164,111 @@ def derived_images(vectors, side: int = SIDE):
     return (images * 40 + 128).reshape(n, side, side)
 
 
-def edited(images, crop: int = 6, gain: float = 0.8, lift: float = 20.0):
-    """Cropped by ``crop`` pixels at the top left, enlarged to the old size, and changed in contrast and brightness."""
-    return _resize(images[:, crop:, crop:], images.shape[1]) * gain + lift
+def edited(images, kind: str):
+    """Images after one of the EDITS."""
+    import numpy as np
+
+    zoom, degrees, right, down, gain, lift, banner = EDITS[kind]
+    side = images.shape[1]
+    mid = (side - 1) / 2
+    c, s = np.cos(np.radians(degrees)), np.sin(np.radians(degrees))
+    y, x = np.mgrid[0:side, 0:side] - mid
+    out = _sample(images, mid + down * side + (s * x + c * y) / zoom, mid + right * side + (c * x - s * y) / zoom) * gain + lift
+    if banner:
+        out[:, side - int(banner * side) :] = 255.0
+    return out
+
+
+def edit_of(id, every: int):  # noqa: A002
+    """Which edit the query image of this id undergoes."""
+    return list(EDITS)[id // every % len(EDITS)]
 
 
-def descriptors(vectors: DataFrame, edit: bool = False) -> DataFrame:
-    """id, x, y, scale, angle, b0..b4 (24 tests each) of the images derived from vectors(id, v)."""
+def descriptors(vectors: DataFrame, every: int = 0, wanted=None) -> DataFrame:
+    """id, x, y, scale, angle, lo, hi (60 tests each), slots (tables and their keys) of the images derived from vectors(id, v).
+
+    With ``every`` the images are edited copies. With ``wanted``, a broadcast
+    bitmap of slots, only these slots are listed and descriptors without any are
+    left out.
+    """
+    tests = binary_tests()
 
     def work(batches):
         import numpy as np
         import pyarrow as pa
 
         for rb in batches:
-            for a in range(0, rb.num_rows, 256):
-                part = rb.slice(a, 256)
-                values = part.column(1).to_pylist()
-                ok = [i for i, v in enumerate(values) if v]
-                by_size: dict = {}
-                for i in ok:
-                    by_size.setdefault(len(values[i]), []).append(i)
-                for rows in by_size.values():
+            for a in range(0, rb.num_rows, 128):
+                part = rb.slice(a, 128)
+                ids, values = part.column(0).to_pylist(), part.column(1).to_pylist()
+                groups: dict = {}
+                for i, v in enumerate(values):
+                    if v:
+                        groups.setdefault((len(v), edit_of(ids[i], every) if every else None), []).append(i)
+                for (_, kind), rows in groups.items():
                     images = derived_images(np.nan_to_num(np.array([[x if x is not None else 0.0 for x in values[i]] for i in rows], np.float32)))
-                    img, x, y, s, angle, bits = describe(edited(images) if edit else images)
-                    weights = 1 << np.arange(TESTS // TABLES)
-                    codes = (bits.reshape(len(bits), TABLES, -1) * weights).sum(axis=2).astype(np.int32)
+                    img, x, y, s, angle, bits = describe(edited(images, kind), tests, QUERY_SCALES) if kind else describe(images, tests)
+                    weights = np.int64(1) << np.arange(60, dtype=np.int64)
+                    lo, hi = bits[:, :60] @ weights, bits[:, 60:] @ weights
+                    keys = bits.reshape(len(bits), TABLES, BITS) @ weights[:BITS] + (np.arange(TABLES, dtype=np.int64) << BITS)
+                    hit = is_set(wanted.value, keys) if wanted else np.ones(keys.shape, bool)
+                    some = hit.any(axis=1)
+                    slots = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(hit[some].sum(axis=1))]).astype(np.int32)), pa.array(keys[hit]))
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(pa.array(np.array(rows, np.int64)[img]))] + [pa.array(np.asarray(c, np.float64)) for c in (x, y, s, angle)] + [pa.array(codes[:, t]) for t in range(TABLES)],
-                        names=["id", "x", "y", "scale", "angle", *(f"b{t}" for t in range(TABLES))],
+                        [
+                            part.column(0).take(pa.array(np.array(rows, np.int64)[img[some]])), *(pa.array(np.asarray(c[some], np.float32)) for c in (x, y, s, angle)),
+                            pa.array(lo[some]), pa.array(hi[some]), slots,
+                        ],
+                        names=["id", "x", "y", "scale", "angle", "lo", "hi", "slots"],
                     )
 
-    fields = ", ".join(f"b{t} int" for t in range(TABLES))
-    return vectors.select("id", "v").mapInArrow(work, f"id long, x double, y double, scale double, angle double, {fields}")
+    return vectors.select("id", "v").mapInArrow(work, "id long, x float, y float, scale float, angle float, lo long, hi long, slots array<long>")
+
+
+def _wrapped(turn: Column, n: int) -> Column:
+    return F.pmod(turn.cast("int"), F.lit(n))
 
 
 def find_copies(queries: DataFrame, index: DataFrame, distance: int = DISTANCE, agree: int = AGREE) -> DataFrame:
-    """(query, id, agreeing): pairs of images of which ``agree`` or more corner matches fit one similarity transform.
+    """(query, id, agreeing): pairs of images of which ``agree`` or more corners match and fit one similarity transform.
 
     Descriptors meet in TABLES tables of 24 tests each, so every pair of
     descriptors that differs in fewer than TABLES tests meets for certain, and
     others meet where one table agrees; matches differ in ``distance`` tests at
     most. Each match votes for its turn, zoom and shift in overlapping cells;
-    the fullest cell counts.
+    a corner of the query counts once in a cell, and the fullest cell counts.
     """
-    tables = lambda d: d.withColumn("t", F.explode(F.array(*(F.struct(F.lit(t).alias("n"), F.col(f"b{t}").alias("key")) for t in range(TABLES)))))
-    q = tables(queries).select("t.n", "t.key", F.col("id").alias("query"), *(F.col(c).alias(f"q{c}") for c in ("x", "y", "scale", "angle")), *(F.col(f"b{t}").alias(f"q{t}") for t in range(TABLES)))
-    d = tables(index).select("t.n", "t.key", "id", "x", "y", "scale", "angle", *(f"b{t}" for t in range(TABLES)))
-    apart = sum((F.bit_count(F.col(f"q{t}").bitwiseXOR(F.col(f"b{t}"))) for t in range(1, TABLES)), F.bit_count(F.col("q0").bitwiseXOR(F.col("b0"))))
-    earlier = [(F.col("n") > t) & (F.col(f"q{t}") == F.col(f"b{t}")) for t in range(TABLES - 1)]
-    first = ~earlier[0]
-    for e in earlier[1:]:
-        first = first & ~e
-    met = q.join(d, ["n", "key"]).where((apart <= distance) & first)
-    turn = (F.col("angle") - F.col("qangle")) / 6.283185307179586 * 12
-    zoom = F.log(F.col("scale") / F.col("qscale")) / F.log(F.lit(STEP))
-    ratio = F.pow(F.lit(STEP), F.round(zoom))
-    cosine, sine = F.cos(F.round(turn) * 0.5235987755982988), F.sin(F.round(turn) * 0.5235987755982988)
+    q = queries.select(F.explode("slots").alias("slot"), F.col("id").alias("query"), *(F.col(c).alias(f"q{c}") for c in ("x", "y", "scale", "angle", "lo", "hi")))
+    d = index.select(F.explode("slots").alias("slot"), "id", "x", "y", "scale", "angle", "lo", "hi")
+    apart = F.bit_count(F.col("qlo").bitwiseXOR(F.col("lo"))) + F.bit_count(F.col("qhi").bitwiseXOR(F.col("hi")))
+    met = q.join(d, "slot").where(apart <= distance)
+    turn = F.round((F.col("angle") - F.col("qangle")) / 6.283185307179586 * 12)
+    zoom = F.col("scale") - F.col("qscale")
+    ratio = F.pow(F.lit(STEP), zoom)
+    cosine, sine = F.cos(turn * 0.5235987755982988), F.sin(turn * 0.5235987755982988)
     sx = F.col("x") - ratio * (cosine * F.col("qx") - sine * F.col("qy"))
     sy = F.col("y") - ratio * (sine * F.col("qx") + cosine * F.col("qy"))
     cell = lambda v, w: F.array(F.floor(v / w), F.floor(v / w + 0.5) + 100000)
-    votes = met.select("query", "id", "qx", "qy", F.pmod(F.round(turn).cast("int"), F.lit(12)).alias("turn"), F.round(zoom).cast("int").alias("zoom"), cell(sx, 12.0).alias("cx"), cell(sy, 12.0).alias("cy"))
+    corner = F.floor("qx") * 65536 + F.floor("qy")
+    votes = met.select("query", "id", corner.alias("corner"), _wrapped(turn, 12).alias("turn"), F.floor((zoom + 100) / 2).cast("int").alias("zoom"), cell(sx, 16.0).alias("cx"), cell(sy, 16.0).alias("cy"))
     votes = votes.withColumn("cx", F.explode("cx")).withColumn("cy", F.explode("cy"))
-    counts = votes.groupBy("query", "id", "turn", "zoom", "cx", "cy", "qx", "qy").agg(F.lit(1).alias("one")).groupBy("query", "id", "turn", "zoom", "cx", "cy").agg(F.sum("one").alias("agreeing"))
+    counts = votes.groupBy("query", "id", "turn", "zoom", "cx", "cy", "corner").agg(F.lit(1).alias("one")).groupBy("query", "id", "turn", "zoom", "cx", "cy").agg(F.sum("one").alias("agreeing"))
     return counts.groupBy("query", "id").agg(F.max("agreeing").alias("agreeing")).where(F.col("agreeing") >= agree)
 
 
 def edited_copies(embeddings: DataFrame, every: int = 50) -> DataFrame:
-    """query_id, rep_id, agreeing, copies: which images an edited copy of each query image is found to come from.
+    """query_id, edit, rep_id, agreeing, copies: which images an edited copy of each query image is found to come from.
 
     The images are derived from ``embeddings(vec_id, embedding)``. Queries are the rows whose
-    vec_id is divisible by ``every``; each is cropped, enlarged and changed in
-    contrast, and searched for among all images. Images of equal vectors are one
+    vec_id is divisible by ``every``; each undergoes one of the EDITS, by turns
+    of their ids, and is searched for among all images. Images of equal vectors are one
     class, searched once under its smallest vec_id, with the number of its
-    members. Null ids, and null or empty vectors, are left out; null values
-    count as 0. No rows give no rows.
+    members. A query without a find has one row, with rep_id null. Descriptors
+    of the index that share no table entry with any query are left out where
+    they are made, by a bitmap of all table entries (10 MB whatever the input).
+
+    Null ids, and null or empty vectors, are left out; null values
+    count as 0; repeated rows are members of their class. Other columns are ignored. No rows give no rows.
     """
     spark = embeddings.sparkSession
     bounded_batches(spark)
@@ -188,15 +276,18 @@ def edited_copies(embeddings: DataFrame, every: int = 50) -> DataFrame:
     v = F.col("embedding").cast("array<float>")
     rows = embeddings.select(F.col("vec_id").cast("long").alias("id"), v.alias("v")).where("id is not null and size(v) > 0")
     rows = rows.withColumn("content", F.sha2(F.array_join(F.transform("v", lambda x: F.coalesce(x.cast("string"), F.lit("0"))), ","), 256))
-    classes = scratch.cut(rows.groupBy("content").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.bool_or(F.col("id") % every == 0).alias("asked")), "classes")
-    reps = rows.join(classes.select("content", F.col("rep").alias("id"), "asked"), ["content", "id"]).dropDuplicates(["content"])
-    reps = scratch.cut(reps.select("id", "v", "asked"), "reps")
-    index = scratch.cut(descriptors(reps), "index")
-    queries = scratch.cut(descriptors(reps.where("asked"), edit=True), "queries")
+    classes = scratch.cut(rows.groupBy("content").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
+    reps = rows.join(classes.select("content", F.col("rep").alias("id")), ["content", "id"]).dropDuplicates(["content"]).select("id", "v")
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = scratch.cut(rows.where(F.col("id") % every == 0).dropDuplicates(["id", "content"]), "asked")
+    queries = scratch.cut(descriptors(asked.repartition(shuffles, "id"), every), "queries")
+    wanted = bitmap(queries.select(F.explode("slots").alias("key")))
+    index = descriptors(reps.repartition(shuffles, "id"), wanted=wanted)
     found = scratch.cut(find_copies(queries, index), "found")
-    asked = rows.where(F.col("id") % every == 0).select("id", "content").join(classes.select("content", "rep"), "content")
+    edit = F.element_at(F.array(*map(F.lit, EDITS)), (F.floor(F.col("query_id") / every) % len(EDITS)).cast("int") + 1)
     return (
-        asked.join(found, asked.rep == found["query"], "left")
-        .join(classes.select(F.col("rep").alias("found_rep"), "copies"), found.id == F.col("found_rep"), "left")
-        .select(asked.id.alias("query_id"), F.col("found_rep").alias("rep_id"), "agreeing", "copies")
+        asked.select(F.col("id").alias("query_id"))
+        .join(found.withColumnRenamed("query", "query_id"), "query_id", "left")
+        .join(classes.select(F.col("rep").alias("id"), "copies"), "id", "left")
+        .select("query_id", edit.alias("edit"), F.col("id").alias("rep_id"), "agreeing", "copies")
     )
