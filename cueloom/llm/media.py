@@ -12,13 +12,15 @@ from .near_dup import bounded_batches
 from .scratch import Scratch
 
 #: Side of the derived images, step between scales, scales of an image and of an edited copy (which may be enlarged), corners of each scale.
-SIDE, STEP, SCALES, QUERY_SCALES, CORNERS = 96, 1.1, 4, 8, 28
+SIDE, STEP, SCALES, QUERY_SCALES, CORNERS = 96, 1.1, 2, 8, 40
 #: Tests of a descriptor, tables that they are dealt to, and tests of a table.
 TESTS, TABLES, BITS = 120, 5, 24
-#: Distance of corners from the border, and of the points of a test from their corner.
-EDGE, RADIUS = 11, 9
+#: Distance of corners from the border, distance of the points of a test from their corner, and steps of their orientation.
+EDGE, RADIUS, STEPS = 13, 11, 60
 #: Most differing tests of a match, and least matches that agree on one similarity transform.
-DISTANCE, AGREE = 20, 5
+DISTANCE, AGREE = 16, 4
+#: Turns of a whole circle that matches vote for.
+TURNS = 24
 #: The edits of the query images: zoom, turn in degrees, shift of the centre as shares of the side, gain, lift, and share of the side under a banner.
 EDITS = {
     "crop 10 %": (1 / 0.9, 0, 0.04, -0.03, 0.8, 20, 0),
@@ -95,15 +97,15 @@ def _corners(images, count: int):
 
 
 def _answers(images, img, y, x, angle, points):
-    """Whether the first point of each test, turned by a corner's angle (in steps of 12 degrees), is darker than the second."""
+    """Whether the first point of each test, turned by a corner's angle (in STEPS of a whole turn), is darker than the second."""
     import numpy as np
 
     turned = []
-    for k in range(30):
-        c, s = np.cos(2 * np.pi * k / 30), np.sin(2 * np.pi * k / 30)
+    for k in range(STEPS):
+        c, s = np.cos(2 * np.pi * k / STEPS), np.sin(2 * np.pi * k / STEPS)
         x1, y1, x2, y2 = points.T
         turned.append(np.rint(np.stack([c * x1 - s * y1, s * x1 + c * y1, c * x2 - s * y2, s * x2 + c * y2])).astype(int))
-    p = np.stack(turned)[np.rint(angle / (2 * np.pi) * 30).astype(int) % 30]
+    p = np.stack(turned)[np.rint(angle / (2 * np.pi) * STEPS).astype(int) % STEPS]
     lim = images.shape[1] - 1
     at = lambda px, py: images[img[:, None], np.clip(y[:, None] + py, 0, lim), np.clip(x[:, None] + px, 0, lim)]
     return at(p[:, 0], p[:, 1]) < at(p[:, 2], p[:, 3])
@@ -225,33 +227,31 @@ def descriptors(vectors: DataFrame, every: int = 0, wanted=None) -> DataFrame:
     return vectors.select("id", "v").mapInArrow(work, "id long, x float, y float, scale float, angle float, lo long, hi long, slots array<long>")
 
 
-def _wrapped(turn: Column, n: int) -> Column:
-    return F.pmod(turn.cast("int"), F.lit(n))
-
-
 def find_copies(queries: DataFrame, index: DataFrame, distance: int = DISTANCE, agree: int = AGREE) -> DataFrame:
     """(query, id, agreeing): pairs of images of which ``agree`` or more corners match and fit one similarity transform.
 
     Descriptors meet in TABLES tables of 24 tests each, so every pair of
     descriptors that differs in fewer than TABLES tests meets for certain, and
     others meet where one table agrees; matches differ in ``distance`` tests at
-    most. Each match votes for its turn, zoom and shift in overlapping cells;
+    most. Each match votes for its turn (the two nearest of TURNS), zoom and shift, in overlapping cells;
     a corner of the query counts once in a cell, and the fullest cell counts.
     """
     q = queries.select(F.explode("slots").alias("slot"), F.col("id").alias("query"), *(F.col(c).alias(f"q{c}") for c in ("x", "y", "scale", "angle", "lo", "hi")))
     d = index.select(F.explode("slots").alias("slot"), "id", "x", "y", "scale", "angle", "lo", "hi")
     apart = F.bit_count(F.col("qlo").bitwiseXOR(F.col("lo"))) + F.bit_count(F.col("qhi").bitwiseXOR(F.col("hi")))
     met = q.join(d, "slot").where(apart <= distance)
-    turn = F.round((F.col("angle") - F.col("qangle")) / 6.283185307179586 * 12)
     zoom = F.col("scale") - F.col("qscale")
-    ratio = F.pow(F.lit(STEP), zoom)
-    cosine, sine = F.cos(turn * 0.5235987755982988), F.sin(turn * 0.5235987755982988)
-    sx = F.col("x") - ratio * (cosine * F.col("qx") - sine * F.col("qy"))
-    sy = F.col("y") - ratio * (sine * F.col("qx") + cosine * F.col("qy"))
+    part = (F.col("angle") - F.col("qangle")) / 6.283185307179586 * TURNS
+    met = met.withColumn("turn", F.explode(F.array(F.floor(part), F.floor(part) + 1)))
+    ratio, a = F.pow(F.lit(STEP), zoom), F.col("turn") * (6.283185307179586 / TURNS)
+    qx, qy, mid = F.col("qx") - SIDE / 2, F.col("qy") - SIDE / 2, SIDE / 2
+    sx = F.col("x") - mid - ratio * (F.cos(a) * qx - F.sin(a) * qy)
+    sy = F.col("y") - mid - ratio * (F.sin(a) * qx + F.cos(a) * qy)
     cell = lambda v, w: F.array(F.floor(v / w), F.floor(v / w + 0.5) + 100000)
     corner = F.floor("qx") * 65536 + F.floor("qy")
-    votes = met.select("query", "id", corner.alias("corner"), _wrapped(turn, 12).alias("turn"), F.floor((zoom + 100) / 2).cast("int").alias("zoom"), cell(sx, 16.0).alias("cx"), cell(sy, 16.0).alias("cy"))
-    votes = votes.withColumn("cx", F.explode("cx")).withColumn("cy", F.explode("cy"))
+    votes = met.select("query", "id", corner.alias("corner"), F.pmod("turn", F.lit(TURNS)).alias("turn"), F.array(F.floor(zoom / 2), F.floor((zoom + 1) / 2) + 1000).alias("zoom"), cell(sx, 16.0).alias("cx"), cell(sy, 16.0).alias("cy"))
+    for axis in ("zoom", "cx", "cy"):
+        votes = votes.withColumn(axis, F.explode(axis))
     counts = votes.groupBy("query", "id", "turn", "zoom", "cx", "cy", "corner").agg(F.lit(1).alias("one")).groupBy("query", "id", "turn", "zoom", "cx", "cy").agg(F.sum("one").alias("agreeing"))
     return counts.groupBy("query", "id").agg(F.max("agreeing").alias("agreeing")).where(F.col("agreeing") >= agree)
 
