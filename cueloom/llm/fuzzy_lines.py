@@ -18,6 +18,8 @@ from .scratch import Scratch
 
 #: Characters of a shingle; bands and rows: a pair of similarity 0.8 shares no band with probability 0.004.
 WIDTH, BANDS, ROWS = 5, 14, 5
+#: Most differing bits of the 64-bit sketches of a link: a pair of similarity 0.8 exceeds it with probability 2e-6.
+APART = 20
 SEED = 77
 
 
@@ -38,8 +40,8 @@ def _lines(texts):
     return np.array(rows, np.int64), np.array(numbers, np.int32), np.frombuffer(b"".join(names), np.int64), lines
 
 
-def _shingle_sets(lines, width: int):
-    """Distinct shingle hashes of some lines, and their bounds."""
+def _shingles(lines, width: int):
+    """Shingle hashes of some lines, repeats included, and their bounds."""
     import numpy as np
 
     sizes = np.array([len(x) for x in lines], np.int64)
@@ -60,7 +62,7 @@ def _shingle_sets(lines, width: int):
     count = np.maximum(1, sizes - width + 1)
     bounds = np.concatenate([[0], np.cumsum(count)])
     at = np.repeat(starts - bounds[:-1], count) + np.arange(bounds[-1]) if len(lines) else np.zeros(0, np.int64)
-    return textvec.distinct(acc[at], bounds)
+    return acc[at], bounds
 
 
 def _pieces(rb, column: int, size: int = 1 << 20):
@@ -71,9 +73,10 @@ def _pieces(rb, column: int, size: int = 1 << 20):
 
 
 def line_keys(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """row, doc_id, digest, line_no, node, keys of every non-blank line of ``docs(row, doc_id, digest, text)``.
+    """row, doc_id, digest, line_no, node, sketch, keys of every non-blank line of ``docs(row, doc_id, digest, text)``.
 
-    node names the line's text. keys are the line's bands, null where a line is
+    node names the line's text. keys are the hashes of the line's bands and
+    sketch has the lowest bits of 64 hash functions; keys are empty where a line is
     repeated within about a megabyte of text. A text without such lines has one
     row, with line_no null.
     """
@@ -86,11 +89,12 @@ def line_keys(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int
             for i, texts in _pieces(rb, 3):
                 row, number, node, lines = _lines(texts)
                 _, first, of = np.unique(node, return_index=True, return_inverse=True)
-                sig = textvec.min_hashes(*_shingle_sets([lines[k] for k in first], width), bands * rows, SEED)
+                sig = textvec.min_hashes(*_shingles([lines[k] for k in first], width), bands * rows, SEED)
+                sketch = ((sig[:, -64:] >> np.uint32(16)).astype(np.uint64) & np.uint64(1)) @ (np.uint64(1) << np.arange(min(64, bands * rows), dtype=np.uint64))
                 keys = np.zeros((len(first), bands), np.uint64)
                 for r in range(rows):
                     keys = textvec.mix(keys * np.uint64(0xD6E8FEB86659FD93) + sig[:, r::rows][:, :bands].astype(np.uint64) + np.uint64(1))
-                keys = (keys >> np.uint64(16)).astype(np.uint64).view(np.int64)
+                keys = (keys >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 there = np.zeros(len(lines), bool)
                 there[first] = True
                 listed = np.concatenate([[0], np.cumsum(there * bands)]).astype(np.int32)
@@ -103,12 +107,13 @@ def line_keys(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int
                         *(rb.column(c).take(at) for c in range(3)),
                         pa.concat_arrays([pa.array(number), pa.array(pad, pa.int32())]),
                         pa.concat_arrays([pa.array(node), pa.array(pad, pa.int64())]),
-                        pa.concat_arrays([packed, pa.array([[] for _ in pad], pa.list_(pa.int64()))]),
+                        pa.concat_arrays([pa.array(sketch[of].view(np.int64)), pa.array(pad, pa.int64())]),
+                        pa.concat_arrays([packed, pa.array([[] for _ in pad], pa.list_(pa.int32()))]),
                     ],
-                    names=["row", "doc_id", "digest", "line_no", "node", "keys"],
+                    names=["row", "doc_id", "digest", "line_no", "node", "sketch", "keys"],
                 )
 
-    return docs.select("row", "doc_id", "digest", "text").mapInArrow(work, "row long, doc_id long, digest long, line_no int, node long, keys array<long>")
+    return docs.select("row", "doc_id", "digest", "text").mapInArrow(work, "row long, doc_id long, digest long, line_no int, node long, sketch long, keys array<int>")
 
 
 def named_lines(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -157,8 +162,8 @@ def _confirm(pairs: DataFrame, width: int, percent: int) -> DataFrame:
     return pairs.select("a", "b", "ta", "tb").mapInArrow(work, "a long, b long")
 
 
-def _signed(lines: DataFrame, width: int, n_hashes: int) -> DataFrame:
-    """node, n (size of the shingle set), signature (16 bits a hash) of lines(node, line)."""
+def _hashed(lines: DataFrame, width: int) -> DataFrame:
+    """node and the distinct hashes of the shingles of lines(node, line)."""
 
     def work(batches):
         import numpy as np
@@ -166,15 +171,14 @@ def _signed(lines: DataFrame, width: int, n_hashes: int) -> DataFrame:
 
         for rb in batches:
             for i, texts in _pieces(rb, 1):
-                values, bounds = _shingle_sets(texts, width)
-                low = np.ascontiguousarray((textvec.min_hashes(values, bounds, n_hashes, SEED) >> np.uint32(8)).astype(np.uint16))
-                packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * n_hashes), len(texts), [None, pa.py_buffer(low.tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([rb.column(0).slice(i, len(texts)), pa.array(np.diff(bounds)), packed], names=["node", "n", "signature"])
+                v, vb = textvec.distinct(*_shingles(texts, width))
+                values = pa.ListArray.from_arrays(pa.array(vb.astype(np.int32)), pa.array(v.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([rb.column(0).slice(i, len(texts)), values], names=["node", "hashes"])
 
-    return lines.select("node", "line").mapInArrow(work, "node long, n long, signature binary")
+    return lines.select("node", "line").mapInArrow(work, "node long, hashes array<long>")
 
 
-def fuzzy_lines(docs: DataFrame, width: int = WIDTH, percent: int = 80, bands: int = BANDS, rows: int = ROWS, miss: float = 1e-6) -> DataFrame:
+def fuzzy_lines(docs: DataFrame, width: int = WIDTH, percent: int = 80, bands: int = BANDS, rows: int = ROWS, apart: int = APART) -> DataFrame:
     """row, doc_id, line_no (from 0), component and kept for every non-blank line of ``docs(doc_id, text)``.
 
     Lines (split at line feeds) are linked when the sets of their
@@ -196,7 +200,8 @@ def fuzzy_lines(docs: DataFrame, width: int = WIDTH, percent: int = 80, bands: i
     text = F.col("text").cast("string")
     docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), text.alias("text"))
     table = scratch.cut(line_keys(docs, width, bands, rows), "lines")
-    members = table.where("size(keys) > 0").select("node", F.posexplode("keys").alias("band", "key")).select(F.shiftleft("key", 8).bitwiseXOR(F.xxhash64("band")).alias("bucket"), "node")
+    members = table.where("size(keys) > 0").select("node", "sketch", F.posexplode("keys").alias("band", "key"))
+    members = members.select((F.shiftleft(F.col("band").cast("long"), 32) + F.col("key")).alias("bucket"), "node", "sketch")
 
     def confirmed(pairs: DataFrame, tag: str) -> DataFrame:
         pairs = scratch.cut(pairs, f"pairs-{tag}")
@@ -205,10 +210,7 @@ def fuzzy_lines(docs: DataFrame, width: int = WIDTH, percent: int = 80, bands: i
         full = pairs.join(known.select(F.col("node").alias("b"), F.col("line").alias("tb")), "b").join(known.select(F.col("node").alias("a"), F.col("line").alias("ta")), "a")
         return scratch.cut(_confirm(full, width, percent), f"links-{tag}")
 
-    def signed(ids: DataFrame) -> DataFrame:
-        return _signed(named_lines(docs, scratch.cut(ids, "ids-signed")), width, bands * rows)
-
-    label = linked_components(members, scratch, percent, lambda pairs: pairs, confirmed, signed, bands * rows, rows * 2, miss)
+    label = linked_components(members, scratch, percent, lambda pairs: pairs, confirmed, lambda ids: _hashed(named_lines(docs, ids), width), apart=apart)
     order = F.struct("doc_id", "digest", "row", "line_no")
     nodes = table.where("line_no is not null").groupBy("node").agg(F.min(order).alias("first"), F.count("*").alias("n"))
     shared = nodes.join(label, "node", "left").where("n > 1 or component is not null").withColumn("component", F.coalesce("component", "node"))

@@ -71,9 +71,10 @@ def bayes_prune(pairs: DataFrame, n_hashes: int, threshold: float, batch: int, m
     return pairs.select("a", "b", "sa", "sb").mapInArrow(work, "a long, b long")
 
 
-def bucket_chains(members: DataFrame, scratch: Scratch) -> DataFrame:
-    """(bucket, node, prev) of the nodes of ``members(bucket, node)`` that share their bucket; prev is the next smaller node there.
+def bucket_chains(members: DataFrame, scratch: Scratch, apart: int = 64) -> DataFrame:
+    """(bucket, node, sketch, prev) of the nodes of ``members(bucket, node, sketch)`` that share their bucket.
 
+    prev is the next smaller node there, unless its sketch differs in more than ``apart`` bits.
     The rows are cut into ranges of (bucket, node) and sorted, so a bucket of
     any size is spread over tasks, and each task streams its rows. Where a
     bucket runs on from one task into the next, the ends of the tasks' ranges
@@ -88,105 +89,166 @@ def bucket_chains(members: DataFrame, scratch: Scratch) -> DataFrame:
 
         part = TaskContext.get().partitionId()
 
-        def rows(bucket, node, prev, has, edge):
+        def rows(bucket, node, sketch, prev, has, edge):
             return pa.RecordBatch.from_arrays(
-                [pa.array(bucket), pa.array(node), pa.array(prev, mask=~has), pa.array(np.full(len(node), part, np.int32)), pa.array(edge.astype(np.int32))],
-                names=["bucket", "node", "prev", "part", "edge"],
+                [pa.array(bucket), pa.array(node), pa.array(sketch), pa.array(prev, mask=~has), pa.array(np.full(len(node), part, np.int32)), pa.array(edge.astype(np.int32))],
+                names=["bucket", "node", "sketch", "prev", "part", "edge"],
             )
 
-        held = None  # the newest row, which waits for its successor: bucket, node, prev, has prev, first of the task
+        held = None  # the newest row, which waits for its successor: bucket, node, sketch, prev, has prev, first of the task
         for rb in batches:
-            b, n = (rb.column(c).to_numpy() for c in (0, 1))
+            b, n, k = (rb.column(c).to_numpy() for c in (0, 1, 2))
             if held is not None:
-                b, n = np.concatenate([[held[0]], b]), np.concatenate([[held[1]], n])
+                b, n, k = (np.concatenate([[held[c]], x]) for c, x in enumerate((b, n, k)))
             if not len(b):
                 continue
             new = np.concatenate([[True], (b[1:] != b[:-1]) | (n[1:] != n[:-1])])
-            b, n = b[new], n[new]
-            same = np.concatenate([[False], b[1:] == b[:-1]])
+            b, n, k = b[new], n[new], k[new]
+            shared = np.concatenate([[False], b[1:] == b[:-1]])
+            linked = shared.copy()
+            linked[1:] &= np.bitwise_count((k[1:] ^ k[:-1]).view(np.uint64)) <= apart
             prev = np.concatenate([n[:1], n[:-1]])
             edge = np.zeros(len(b), bool)
+            keep = shared.copy()
+            keep[:-1] |= shared[1:]
             if held is None:
-                edge[0] = True
+                edge[0] = keep[0] = True
             else:
-                prev[0], same[0], edge[0] = held[2], held[3], held[4]
-            keep = same | edge
-            keep[:-1] |= same[1:]
-            keep[-1] = False
-            if keep.any():
-                yield rows(b[keep], n[keep], prev[keep], same[keep], edge[keep])
-            held = (b[-1], n[-1], prev[-1], same[-1], edge[-1])
+                prev[0], linked[0], edge[0] = held[3], held[4], held[5]
+                keep[0] |= held[6]
+            if len(b) > 1:
+                out = np.flatnonzero(keep[:-1])
+                if len(out):
+                    yield rows(b[out], n[out], k[out], prev[out], linked[out], edge[out])
+            held = (b[-1], n[-1], k[-1], prev[-1], linked[-1], edge[-1], keep[-1])
         if held is not None:
             one = [np.array([x]) for x in held]
-            yield rows(*one[:4], one[4] + 2)
+            yield rows(*one[:5], one[5] + 2)
 
-    placed = members.select("bucket", "node").repartitionByRange("bucket", "node").sortWithinPartitions("bucket", "node")
-    found = scratch.cut(placed.mapInArrow(chain, "bucket long, node long, prev long, part int, edge int"), "chains")
-    ends = sorted((r.part, r.bucket, r.node) for r in found.where("edge > 0").select("part", "bucket", "node").collect())
-    joints = [(y[1], y[2], x[2]) for x, y in zip(ends, ends[1:]) if x[0] < y[0] and x[1] == y[1]]
-    out = found.select("bucket", "node", "prev")
-    return out.unionByName(scratch.spark.createDataFrame(joints, "bucket long, node long, prev long")) if joints else out
+    placed = members.select("bucket", "node", "sketch").repartitionByRange("bucket", "node").sortWithinPartitions("bucket", "node")
+    found = scratch.cut(placed.mapInArrow(chain, "bucket long, node long, sketch long, prev long, part int, edge int"), "chains")
+    ends = sorted((r.part, r.bucket, r.node, r.sketch) for r in found.where("edge > 0").select("part", "bucket", "node", "sketch").collect())
+    joints = [(y[1], y[2], y[3], x[2]) for x, y in zip(ends, ends[1:]) if x[0] < y[0] and x[1] == y[1]]
+    out = found.select("bucket", "node", "sketch", "prev")
+    return out.unionByName(scratch.spark.createDataFrame(joints, "bucket long, node long, sketch long, prev long")) if joints else out
 
 
-def compare_blocks(rest: DataFrame, percent: int, n_hashes: int, batch: int, miss: float) -> DataFrame:
-    """Distinct (a, b) of the members of a bucket, in different components, whose signatures pass the Bayesian batches.
-
-    ``rest(bucket, node, component, blocks, n, signature)``: each bucket is cut
-    into ``blocks`` blocks by a hash of the node and every two blocks meet in a
-    task; their pairs are compared there and only what passes leaves it.
+def _groups(batches, n_keys: int):
+    """Columns of whole groups (equal values of the first ``n_keys`` columns) of sorted batches, with the number of the group in place of its key."""
+    import numpy as np
+    import pyarrow as pa
+
+    held = None
+    for rb in batches:
+        held = rb if held is None else pa.concat_batches([held, rb])
+        if not held.num_rows:
+            continue
+        key = np.stack([held.column(c).to_numpy().astype(np.int64) for c in range(n_keys)], axis=1)
+        change = np.concatenate([[False], (key[1:] != key[:-1]).any(axis=1)])
+        last = np.flatnonzero(change)
+        if len(last):
+            yield np.cumsum(change[: last[-1]]), held.slice(0, last[-1])
+            held = held.slice(last[-1])
+    if held is not None and held.num_rows:
+        yield np.zeros(held.num_rows, np.int64), held
+
+
+MET = "bucket long, lo int, hi int, side boolean, node long, component long"
+
+
+def likely_members(rest: DataFrame, percent: int, apart: int, n_hashes: int = 0, batch: int = 1, miss: float = 0.0) -> DataFrame:
+    """The members of blocks that may be linked with a member of another component in the block that they meet.
+
+    ``rest(bucket, node, component, blocks, sketch, n, signature)``: each bucket
+    is cut into ``blocks`` blocks by a hash of the node and every two blocks
+    meet in a task. Of the pairs there, those count whose sketches differ in
+    at most ``apart`` bits and, where there are signatures, that pass the
+    Bayesian batches. No pair leaves the task, only the members of such pairs.
     """
-    least = accept_table(n_hashes, batch, percent / 100, miss)
+    least = accept_table(n_hashes, batch, percent / 100, miss) if n_hashes else []
 
     def work(batches):
         import numpy as np
         import pyarrow as pa
 
-        def compared(group, side, split, node, component, n, sig):
-            """Pairs within the groups, between the sides where a group has two."""
-            stop = np.searchsorted(group, group, side="right")
-            many = stop - np.arange(len(group)) - 1
+        for group, rb in _groups(batches, 3):
+            lo, hi, side, component, sketch, n = (rb.column(c).to_numpy(zero_copy_only=False) for c in (1, 2, 3, 5, 6, 7))
+            split = lo != hi
+            sig = np.frombuffer(b"".join(rb.column(8).to_pylist()), np.uint16).reshape(rb.num_rows, n_hashes) if least else None
+            many = np.searchsorted(group, group, side="right") - np.arange(len(group)) - 1
             upto = np.concatenate([[0], np.cumsum(many)])
-            at = 0
+            hit, at = np.zeros(len(group), bool), 0
             while at < len(group):
                 to = max(at + 1, int(np.searchsorted(upto, upto[at] + PAIRS, side="right")) - 1)
-                count = many[at:to]
-                a = np.repeat(np.arange(at, to), count)
-                b = a + 1 + np.arange(len(a)) - np.repeat(upto[at:to] - upto[at], count)
-                ok = (component[a] != component[b]) & (~split[a] | (side[a] != side[b]))
+                a = np.repeat(np.arange(at, to), many[at:to])
+                b = a + 1 + np.arange(len(a)) - np.repeat(upto[at:to] - upto[at], many[at:to])
+                ok = (component[a] != component[b]) & (~split[a] | (side[a] != side[b])) & (np.bitwise_count((sketch[a] ^ sketch[b]).view(np.uint64)) <= apart)
                 ok &= 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
                 a, b = a[ok], b[ok]
-                alive = passing(sig, sig, a, b, least, batch)
-                a, b = node[a[alive]], node[b[alive]]
-                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                alive = passing(sig, sig, a, b, least, batch) if least else slice(None)
+                hit[a[alive]] = hit[b[alive]] = True
                 at = to
-
-        held = None
-        for rb in batches:
-            if not rb.num_rows:
-                continue
-            bucket, lo, hi, side, node, component, n = (rb.column(c).to_numpy(zero_copy_only=False) for c in range(7))
-            sig = np.frombuffer(b"".join(rb.column(7).to_pylist()), np.uint16).reshape(rb.num_rows, n_hashes)
-            new = [np.stack([bucket, lo, hi], axis=1).astype(np.int64), side, lo != hi, node, component, n, sig]
-            if held is not None:
-                new = [np.concatenate(x) for x in zip(held, new)]
-            key = new[0]
-            change = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-            if not len(change):
-                held = new
-                continue
-            last = change[-1]
-            group = np.zeros(last, np.int64)
-            group[change[:-1]] = 1
-            yield from compared(np.cumsum(group), *(x[:last] for x in new[1:]))
-            held = [x[last:] for x in new]
-        if held is not None:
-            yield from compared(np.zeros(len(held[0]), np.int64), *held[1:])
+            yield rb.filter(pa.array(hit)).select([0, 1, 2, 3, 4, 5])
 
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     met = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).alias("side"), "node", "component", "n", "signature")
-    return met.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInArrow(work, "a long, b long").distinct()
+    met = met.select(
+        "bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).alias("side"), "node", "component", "sketch", "n", *(["signature"] if n_hashes else [])
+    )
+    return met.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInArrow(work, MET)
+
+
+def spanning_links(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that join the components of each block of ``met`` which the exact similarity of their sets joins.
+
+    ``sets(node, hashes)`` has each node's distinct shingle hashes. Of a block's
+    links only as many are returned as join its components, one fewer than they are at most.
+    """
+
+    def work(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for group, rb in _groups(batches, 3):
+            split = rb.column(1).to_numpy() != rb.column(2).to_numpy()
+            side, node, component = (rb.column(c).to_numpy(zero_copy_only=False) for c in (3, 4, 5))
+            lists = rb.column(6)
+            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            bounds = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]])
+            links = []
+            for i, j in zip(bounds[:-1], bounds[1:]):
+                sizes = np.diff(offsets[i : j + 1])
+                _, word = np.unique(values[offsets[i] : offsets[j]], return_inverse=True)
+                row = np.repeat(np.arange(j - i), sizes)
+                both = np.zeros((j - i, j - i), np.float32)
+                for first in range(0, int(word.max()) + 1 if len(word) else 0, 8192):
+                    part = (word >= first) & (word < first + 8192)
+                    cells = np.zeros((j - i, 8192), np.float32)
+                    cells[row[part], word[part] - first] = 1
+                    both += cells @ cells.T
+                union = sizes[:, None] + sizes[None, :] - both
+                c = component[i:j]
+                ok = (100 * both >= percent * union) & (c[:, None] != c[None, :])
+                if split[i]:
+                    ok &= side[i:j, None] != side[None, i:j]
+                root: dict = {}
+
+                def top(x, root=root):
+                    while root.get(x, x) != x:
+                        root[x] = root.get(root[x], root[x])
+                        x = root[x]
+                    return x
+
+                for a, b in zip(*np.nonzero(np.triu(ok))):
+                    x, y = top(int(c[a])), top(int(c[b]))
+                    if x != y:
+                        root[max(x, y)] = min(x, y)
+                        links.append((int(node[i + a]), int(node[i + b])))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    met = met.join(sets, "node").select("bucket", "lo", "hi", "side", "node", "component", "hashes")
+    found = met.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInArrow(work, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def linked_components(
@@ -195,30 +257,35 @@ def linked_components(
     percent: int,
     likely: Callable[[DataFrame], DataFrame],
     confirm: Callable[[DataFrame, str], DataFrame],
-    signed: Callable[[DataFrame], DataFrame],
-    n_hashes: int,
-    batch: int,
-    miss: float,
+    hashed: Callable[[DataFrame], DataFrame],
+    signed: Callable[[DataFrame], DataFrame] | None = None,
+    n_hashes: int = 0,
+    batch: int = 1,
+    miss: float = 0.0,
+    apart: int = 64,
 ) -> DataFrame:
-    """(node, component) of the nodes that have a link, from ``members(bucket, node)``.
-
-    First each member of a bucket is compared with the next smaller one:
-    ``likely`` thins these pairs(a, b) and ``confirm`` compares them in full.
-    Members of a bucket that are still in different components then meet
-    each other, in blocks, by the signatures that ``signed`` gives for
-    ids(node) (node, n, signature), and what passes is compared in full. So no
-    link between components is left out, and no bucket expands into its pairs.
+    """(node, component) of the nodes that have a link, from ``members(bucket, node, sketch, n)``.
+
+    First each member of a bucket is compared with the next smaller one, unless
+    their sketches differ in more than ``apart`` bits: ``likely`` thins these
+    pairs(a, b) and ``confirm`` compares them in full. Members of a bucket that
+    are still in different components then meet each other, in blocks: by
+    their sketches and, if given, the signatures that ``signed`` adds to
+    rows(node), then exactly, by the sets that ``hashed`` gives for ids(node)
+    (node, hashes). The links found are confirmed in full. So no link between
+    components is left out, and no bucket expands into its pairs.
     """
-    chains = bucket_chains(members, scratch)
+    chains = bucket_chains(members, scratch, apart)
     first = chains.where("prev is not null").select(F.col("prev").alias("a"), F.col("node").alias("b")).distinct()
     links = confirm(likely(first), "chains").select(F.col("a").alias("u"), F.col("b").alias("v"))
     label = scratch.cut(connected_components(links, scratch, "cc-chains"), "labels")
 
-    tagged = chains.select("bucket", "node").distinct().join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    tagged = chains.select("bucket", "node", "sketch").distinct().join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     tagged = scratch.cut(tagged, "tagged")
     mixed = tagged.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo <> hi")
-    rest = scratch.cut(tagged.join(mixed.select("bucket", F.ceil(F.col("members") / MEMBERS).cast("int").alias("blocks")), "bucket"), "rest")
-    signatures = signed(rest.select("node").distinct())
-    second = compare_blocks(rest.join(signatures, "node"), percent, n_hashes, batch, miss)
-    more = confirm(second, "blocks").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    rest = tagged.join(mixed.select("bucket", F.ceil(F.col("members") / MEMBERS).cast("int").alias("blocks")), "bucket")
+    rest = signed(rest) if signed else rest.withColumn("n", F.lit(1))
+    met = scratch.cut(likely_members(rest, percent, apart, n_hashes, batch, miss), "met")
+    sets = scratch.cut(hashed(scratch.cut(met.select("node").distinct(), "ids-met")), "sets")
+    more = confirm(spanning_links(met, sets, percent), "blocks").select(F.col("a").alias("u"), F.col("b").alias("v"))
     return connected_components(label.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), scratch, "cc-all")

@@ -91,6 +91,24 @@ def confirm(pairs: DataFrame, k: int, percent: int) -> DataFrame:
     return pairs.select("a", "b", "ta", "tb").mapInArrow(work, "a long, b long")
 
 
+def hashed_sets(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id and the distinct 64-bit hashes of the k-word shingles of ``docs(doc_id, text)``."""
+
+    def work(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            data, offsets = textvec.string_buffers(batch.column(1))
+            for i, j in textvec.blocks(offsets):
+                h, bounds, _, _ = textvec.words(data, offsets[i : j + 1])
+                v, vb = textvec.distinct(*textvec.shingles(h, bounds, k))
+                values = pa.ListArray.from_arrays(pa.array(vb.astype(np.int32)), pa.array(v.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), values], names=["doc_id", "hashes"])
+
+    return docs.mapInArrow(work, "doc_id long, hashes array<long>")
+
+
 def near_duplicates(
     docs: DataFrame,
     k: int = 5,
@@ -124,7 +142,7 @@ def near_duplicates(
     )
     reps = sig.where("n_shingles > 0").join(classes.select(F.col("rep").alias("doc_id"), "n_shingles", "d1", "d2"), ["doc_id", "n_shingles", "d1", "d2"], "left_semi")
     reps = scratch.cut(reps.dropDuplicates(["doc_id", "d1", "d2"]), "reps")
-    members = reps.select(F.explode("band_keys").alias("bucket"), F.col("doc_id").alias("node"))
+    members = reps.select(F.explode("band_keys").alias("bucket"), F.col("doc_id").alias("node"), F.lit(0).cast("long").alias("sketch"))
 
     def likely(pairs: DataFrame) -> DataFrame:
         """Of distinct pairs(a, b) those that the signatures leave."""
@@ -146,11 +164,13 @@ def near_duplicates(
         )
         return scratch.cut(confirm(full, k, percent), f"links-{tag}")
 
-    def signed(ids: DataFrame) -> DataFrame:
-        known = reps.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "signature")
-        return known.join(ids, "node", "left_semi")
+    def signed(rows: DataFrame) -> DataFrame:
+        return rows.join(reps.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "signature"), "node")
+
+    def hashed(ids: DataFrame) -> DataFrame:
+        return hashed_sets(docs.join(ids.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), k).withColumnRenamed("doc_id", "node")
 
-    label = linked_components(members, scratch, percent, likely, confirmed, signed, bands * rows, batch, miss)
+    label = linked_components(members, scratch, percent, likely, confirmed, hashed, signed, bands * rows, batch, miss)
 
     return (
         sig.select("doc_id", "n_shingles", "d1", "d2")
