@@ -73,7 +73,7 @@ def _pieces(rb, column: int, size: int = 1 << 20):
 
 
 def line_keys(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """row, doc_id, digest, line_no, node, sketch, keys of every non-blank line of ``docs(row, doc_id, digest, text)``.
+    """row, doc_id, line_no, node, sketch, keys of every non-blank line of ``docs(row, doc_id, text)``.
 
     node names the line's text. keys are the hashes of the line's bands and
     sketch has the lowest bits of 64 hash functions; keys are empty where a line is
@@ -86,7 +86,7 @@ def line_keys(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int
         import pyarrow as pa
 
         for rb in batches:
-            for i, texts in _pieces(rb, 3):
+            for i, texts in _pieces(rb, 2):
                 row, number, node, lines = _lines(texts)
                 _, first, of = np.unique(node, return_index=True, return_inverse=True)
                 sig = textvec.min_hashes(*_shingles([lines[k] for k in first], width), bands * rows, SEED)
@@ -104,16 +104,16 @@ def line_keys(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int
                 pad = [None] * len(blank)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *(rb.column(c).take(at) for c in range(3)),
+                        *(rb.column(c).take(at) for c in range(2)),
                         pa.concat_arrays([pa.array(number), pa.array(pad, pa.int32())]),
                         pa.concat_arrays([pa.array(node), pa.array(pad, pa.int64())]),
                         pa.concat_arrays([pa.array(sketch[of].view(np.int64)), pa.array(pad, pa.int64())]),
                         pa.concat_arrays([packed, pa.array([[] for _ in pad], pa.list_(pa.int32()))]),
                     ],
-                    names=["row", "doc_id", "digest", "line_no", "node", "sketch", "keys"],
+                    names=["row", "doc_id", "line_no", "node", "sketch", "keys"],
                 )
 
-    return docs.select("row", "doc_id", "digest", "text").mapInArrow(work, "row long, doc_id long, digest long, line_no int, node long, sketch long, keys array<int>")
+    return docs.select("row", "doc_id", "text").mapInArrow(work, "row long, doc_id long, line_no int, node long, sketch long, keys array<int>")
 
 
 def named_lines(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -185,7 +185,7 @@ def fuzzy_lines(docs: DataFrame, width: int = WIDTH, percent: int = 80, bands: i
     ``width``-character shingles have 100 * intersection >= percent * union; a
     shorter line is one shingle. Of each component of equal or linked lines the
     first is kept: that of the smallest doc_id, then (among rows that share it)
-    of the smallest hash of the text, then of the smallest line_no. row numbers
+    of the row read first, then of the smallest line_no. row numbers
     the rows of ``docs``, so repeated rows are told apart, and only one of
     their copies is kept. Lines are known by a 64-bit hash: among n different
     lines two share one with probability n * n / 2^65.
@@ -198,7 +198,7 @@ def fuzzy_lines(docs: DataFrame, width: int = WIDTH, percent: int = 80, bands: i
     bounded_batches(spark)
     scratch = Scratch(spark, "fuzzy-lines")
     text = F.col("text").cast("string")
-    docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), text.alias("text"))
+    docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     table = scratch.cut(line_keys(docs, width, bands, rows), "lines")
     members = table.where("size(keys) > 0").select("node", "sketch", F.posexplode("keys").alias("band", "key"))
     members = members.select((F.shiftleft(F.col("band").cast("long"), 32) + F.col("key")).alias("bucket"), "node", "sketch")
@@ -211,17 +211,12 @@ def fuzzy_lines(docs: DataFrame, width: int = WIDTH, percent: int = 80, bands: i
         return scratch.cut(_confirm(full, width, percent), f"links-{tag}")
 
     label = linked_components(members, scratch, percent, lambda pairs: pairs, confirmed, lambda ids: _hashed(named_lines(docs, ids), width), apart=apart)
-    order = F.struct("doc_id", "digest", "row", "line_no")
-    nodes = table.where("line_no is not null").groupBy("node").agg(F.min(order).alias("first"), F.count("*").alias("n"))
-    shared = nodes.join(label, "node", "left").where("n > 1 or component is not null").withColumn("component", F.coalesce("component", "node"))
-    shared = scratch.cut(shared.select("node", "component", "first"), "shared")
-    first = shared.groupBy("component").agg(F.min("first").alias("first"))
-    known = shared.select("node", "component").join(first, "component").select(F.col("node").alias("shared"), "component", F.col("first.row").alias("first_row"), F.col("first.line_no").alias("first_line"))
-    kept = F.when(F.col("shared").isNull(), F.lit(True)).otherwise((F.col("row") == F.col("first_row")) & (F.col("line_no") == F.col("first_line")))
-    placed = table.select("row", "doc_id", "line_no", "node")
-    return placed.join(known, F.col("node") == F.col("shared"), "left").select(
-        "row", "doc_id", "line_no", F.coalesce("component", "node").alias("component"), F.when(F.col("line_no").isNotNull(), kept).alias("kept")
-    )
+    scratch.release()
+    placed = table.select("row", "doc_id", "line_no", "node").join(label, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node")
+    first = placed.where("line_no is not null").groupBy("component").agg(F.min(F.struct("doc_id", "row", "line_no")).alias("first"), F.count("*").alias("n"))
+    first = first.where("n > 1").select(F.col("component").alias("shared"), F.col("first.row").alias("first_row"), F.col("first.line_no").alias("first_line"))
+    kept = F.col("shared").isNull() | ((F.col("row") == F.col("first_row")) & (F.col("line_no") == F.col("first_line")))
+    return placed.join(first, F.col("component") == F.col("shared"), "left").select("row", "doc_id", "line_no", "component", F.when(F.col("line_no").isNotNull(), kept).alias("kept"))
 
 
 def lines_by_document(lines: DataFrame) -> DataFrame:

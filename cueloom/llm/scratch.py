@@ -6,6 +6,7 @@ again: a lost executor costs a re-read, never a recomputation of the chain.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -50,3 +51,8 @@ class Scratch:
         if path:
             p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+    def release(self) -> None:
+        """Lets Spark drop the shuffle files of finished jobs now, rather than at the driver's next full garbage collection."""
+        gc.collect()
+        self.spark._jvm.System.gc()
