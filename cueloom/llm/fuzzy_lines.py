@@ -18,8 +18,8 @@ from .scratch import Scratch
 
 #: Characters of a shingle; bands and rows: a pair of similarity 0.8 shares no band with probability 0.004.
 WIDTH, BANDS, ROWS = 5, 14, 5
-#: Most differing bits of the 64-bit sketches of a link: a pair of similarity 0.8 exceeds it with probability 2e-6.
-APART = 20
+#: Most differing bits of the 64-bit sketches of a link: a pair of similarity 0.8 exceeds it with probability 0.0001.
+APART = 16
 SEED = 77
 
 
