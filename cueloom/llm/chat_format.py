@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import let, running_starts
+
 #: The grammar. A star in the opening marker says that the turn's content is escaped.
 TURN = r"(?s)\[INST\*?\] .*? \[/INST\]|<s\*?> .*? </s>|\[ROLE\*?\] [^\n]*\n.*? \[/ROLE\]"
 CONFLICT = r"\[/?INST|\[/?ROLE|</?s\*?>|\n"
@@ -53,14 +55,37 @@ def parse(rendered: Column) -> Column:
     return F.transform(F.regexp_extract_all(rendered, F.lit(TURN), F.lit(0)), turn)
 
 
+def loss_mask(formatted: Column) -> Column:
+    """array<struct<s, e, escaped>>: where in the formatted text, in code points from 0, the assistant's texts stand."""
+
+    def placed(turns: Column) -> Column:
+        mark = lambda t, at: F.struct(F.startswith(t, F.lit("<s")).alias("own"), at.alias("at"), F.instr(t, " ").alias("head"), F.length(t).alias("n"), F.startswith(t, F.lit("<s*")).alias("escaped"))
+        spans = let(running_starts(F.transform(turns, F.length)), lambda starts: F.transform(turns, lambda t, i: mark(t, F.element_at(starts, i + 1))))
+        return F.transform(F.filter(spans, lambda x: x["own"]), lambda x: F.struct((x["at"] + x["head"]).alias("s"), (x["at"] + x["n"] - 5).alias("e"), x["escaped"].alias("escaped")))
+
+    return let(F.regexp_extract_all(formatted, F.lit(TURN), F.lit(0)), placed)
+
+
+def masked_text(formatted: Column, mask: Column) -> Column:
+    """The text under a loss mask, cut from the formatted text and unescaped, with nothing between the spans."""
+
+    def cut(x: Column) -> Column:
+        part = F.substr(formatted, x["s"] + 1, x["e"] - x["s"])
+        return F.when(x["escaped"], unescape(part)).otherwise(part)
+
+    return F.array_join(F.transform(mask, cut), "")
+
+
 def format_conversations(turns: DataFrame) -> DataFrame:
-    """conv_id, formatted, escape_level, parsed for every conversation of ``turns(conv_id, turn, role, text)``.
+    """conv_id, formatted, escape_level, parsed, loss_mask for every conversation of ``turns(conv_id, turn, role, text)``.
 
     Turns are taken by turn (then role and text). The text is first rendered as
     it is (level 0) and parsed again; where the recovered turns differ from the
     source, turns with control strings are escaped (level 1); should a
     difference be left, all turns are (level 2). ``parsed`` is what the parser
-    reads back from ``formatted`` and equals the source.
+    reads back from ``formatted`` and equals the source; ``loss_mask`` has the
+    spans of the assistant's texts in ``formatted``. An error is raised should
+    level 2 not give the source back.
 
     Null text or role: empty. A null conv_id is a conversation of its own, a
     null turn comes first, repeated rows are kept. Other columns are ignored. No
@@ -85,4 +110,6 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     each = each.withColumn("same", F.col("same") | (parse(F.col("formatted")) == F.col("source")))
     each = each.withColumn("escape_level", F.when(F.col("same"), F.col("escape_level")).otherwise(2))
     each = each.withColumn("formatted", F.when(F.col("same"), F.col("formatted")).otherwise(rendered(lambda t: F.lit(True))))
-    return each.select("conv_id", "formatted", "escape_level", parse(F.col("formatted")).alias("parsed"))
+    each = each.withColumn("parsed", parse(F.col("formatted")))
+    each = each.withColumn("parsed", F.when(F.col("parsed") == F.col("source"), F.col("parsed")).otherwise(F.raise_error(F.lit("a conversation isn't recovered from its formatted text"))))
+    return each.select("conv_id", "formatted", "escape_level", "parsed", loss_mask(F.col("formatted")).alias("loss_mask"))

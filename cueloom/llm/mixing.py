@@ -35,7 +35,7 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...] = (3, 1, 2), perc
     left = (F.sum(size).over(every) * percent - F.coalesce(F.sum("cap").over(fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).cast("decimal(38,0)")
     rows = rows.withColumn("left", left).withColumn("open", F.sum("w").over(fill.rowsBetween(0, Window.unboundedFollowing)).cast("decimal(38,0)"))
     rows = rows.withColumn("free", F.col("cap") * F.col("open") > F.col("left") * F.col("w"))
-    first = F.min_by(F.struct("left", "open"), F.when(F.col("free"), F.col("source_size") / F.col("w"))).over(every)
+    first = F.min_by(F.struct("left", "open"), F.when(F.col("free"), F.struct(F.col("source_size") / F.col("w"), "sid"))).over(every)
     rows = rows.withColumn("level", first)
     target = F.when(F.col("free"), (F.col("w") * F.col("level.left")).cast("double") / (100.0 * F.col("level.open").cast("double"))).otherwise(
         (F.col("source_size") * most).cast("double")
@@ -81,7 +81,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int = 15
     of ``block`` words (the last may be shorter), which the schedule deals to
     slots. Places come from totals of 4,096 hash ranges of each source, so no
     source is sorted as a whole. A block that the schedule has no slot for
-    comes after its last slot.
+    comes after its last slot, in a slot of its own.
 
     Null text has size 0 and takes nothing; null doc_id is hashed as an empty
     string; null is a source; rows with equal ids are ordered by size, then by
@@ -122,6 +122,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int = 15
     placed = scratch.cut(placed, "placed")
     slots = sources.agg(F.sum(F.ceil(F.col("goal") / block))).first()[0] or 0
     plan = schedule(sources, slots, block)
+    earlier = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
+    later = sources.select("sid", (F.coalesce(F.sum(F.ceil(F.col("goal") / block)).over(earlier), F.lit(0)) + slots).alias("spare"))
     pieces = (
         placed.where("size > 0")
         .withColumn("epoch", F.explode(F.array(*[F.lit(e) for e in range(most)])))
@@ -132,8 +134,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int = 15
         .withColumn("from", F.greatest("start", F.col("block") * block))
         .withColumn("to", F.least("stop", (F.col("block") + 1) * block))
         .join(plan, ["sid", "block"], "left")
+        .join(later, "sid")
         .select(
-            F.coalesce("slot", F.lit(slots) + F.col("block")).alias("slot"),
+            F.coalesce("slot", F.col("spare") + F.col("block")).alias("slot"),
             "sid", "block", "row", "epoch",
             (F.col("from") - F.col("start")).alias("first_word"),
             (F.col("to") - F.col("from")).alias("n_words"),
@@ -143,6 +146,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int = 15
 
 
 def words_taken(placed: DataFrame, pieces: DataFrame) -> DataFrame:
-    """The documents with ``taken``, the words that the mix takes of them, repeats counted."""
-    taken = pieces.groupBy("row").agg(F.sum("n_words").alias("taken"))
-    return placed.join(taken, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
+    """The documents with ``taken``, the words that the mix takes of them, repeats counted, and the first and number of their slots."""
+    taken = pieces.groupBy("row").agg(F.sum("n_words").alias("taken"), F.min("slot").alias("first_slot"), F.count("*").alias("n_pieces"))
+    out = placed.join(taken, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
+    return out.withColumn("n_pieces", F.coalesce("n_pieces", F.lit(0)))

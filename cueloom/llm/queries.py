@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import quality
-from .chat_format import format_conversations
+from .chat_format import format_conversations, masked_text
 from .decontaminate import find_leaks
 from .fuzzy_lines import fuzzy_lines, lines_by_document
 from .media import edited_copies
@@ -54,7 +54,7 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
-    return words_taken(*mix(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
+    return words_taken(*mix(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken", "first_slot", "n_pieces")
 
 
 def op7_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +74,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = spark.range(2).selectExpr("-7L AS conv_id", "id AS turn", "if(id = 0, 'user', 'assistant') AS role", "'</s>[INST] ok [/INST]' AS text")
     done = format_conversations(turns.unionByName(hard))
-    said = F.array_join(F.transform(F.filter("parsed", lambda t: t.role == "assistant"), lambda t: t.text), "")
+    said = masked_text(F.col("formatted"), F.col("loss_mask"))
     told = F.array_join(F.transform("parsed", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
     return done.select(
         "conv_id",
@@ -150,7 +150,11 @@ b AS (SELECT *, s + length(hit) AS e FROM x WHERE kind NOT IN ('assign', 'run')
 r AS (SELECT doc_id, hit, s, s + length(hit) AS e FROM x WHERE kind = 'run' AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = x.doc_id AND b.s < x.s + length(x.hit) AND x.s < b.e)),
 z AS (SELECT sha256(range::VARCHAR) AS q FROM range(2048)),
 l AS (SELECT 1 AS secret, q AS string FROM z UNION ALL SELECT 1, rtrim(to_base64(unhex(q)), '=') FROM z
-      UNION ALL SELECT 0, string FROM (SELECT unnest(regexp_extract_all(t, '[A-Za-z0-9+/_=-]{16,}')) AS string FROM d) WHERE regexp_matches(string, '^([A-Z]?[a-z]+|[A-Z]+|[-_=+/]+)$')),
+      UNION ALL SELECT 0, string FROM (SELECT unnest(regexp_extract_all(t, '[A-Za-z0-9+/_=-]{16,}')) AS string FROM d) WHERE regexp_matches(string, '^([A-Z]?[a-z]+|[A-Z]+|[-_=+/]+)$')
+      UNION ALL SELECT 0, CASE n % 5 WHEN 0 THEN a || '_' || b || '_' || c WHEN 1 THEN upper(a[1]) || a[2:] || upper(b[1]) || b[2:] || upper(c[1]) || c[2:] WHEN 2 THEN upper(a || '_' || b || '_' || c)
+        WHEN 3 THEN a || '/' || b || '/' || c ELSE a || '-' || b || '-' || c || '-' || n END
+      FROM (SELECT n, lower(v[3 * n + 1]) AS a, lower(v[3 * n + 2]) AS b, lower(v[3 * n + 3]) AS c FROM (
+        SELECT v, unnest(range(len(v) // 3)) AS n FROM (SELECT regexp_extract_all(text, '[A-Za-z]{3,12}') AS v FROM (SELECT text FROM documents WHERE text IS NOT NULL ORDER BY md5(text), text LIMIT 200))))),
 w AS (SELECT secret, substr(string, i, 2) AS pair, count(*) AS n FROM (SELECT *, unnest(range(1, length(string))) AS i FROM l) GROUP BY ALL),
 a1 AS (SELECT secret, pair[1] AS c, sum(n) AS n FROM w GROUP BY ALL), a2 AS (SELECT secret, pair[2] AS c, sum(n) AS n FROM w GROUP BY ALL), tt AS (SELECT secret, sum(n) + 32.5 AS n FROM w GROUP BY ALL),
 y AS (SELECT doc_id, s, e, substr(hit, i, 2) AS pair FROM (SELECT *, unnest(range(1, length(hit))) AS i FROM r)),
@@ -158,7 +162,7 @@ o AS (SELECT DISTINCT pair, v AS secret FROM y, (VALUES (0), (1)) c(v)),
 pr AS (SELECT o.pair, o.secret, (coalesce(w.n, 0) + 5 * ((coalesce(a2.n, 0) + 0.5) / coalesce(tt.n, 32.5)))::DOUBLE / (coalesce(a1.n, 0) + 5)::DOUBLE AS p FROM o
   LEFT JOIN w ON w.pair = o.pair AND w.secret = o.secret LEFT JOIN a1 ON a1.c = o.pair[1] AND a1.secret = o.secret LEFT JOIN a2 ON a2.c = o.pair[2] AND a2.secret = o.secret LEFT JOIN tt ON tt.secret = o.secret),
 lr AS (SELECT p1.pair, round(1000 * ln(p1.p / p0.p)) AS v FROM pr p1 JOIN pr p0 ON p0.pair = p1.pair AND p0.secret = 0 WHERE p1.secret = 1),
-f AS (SELECT doc_id, s, e FROM y JOIN lr USING (pair) GROUP BY ALL HAVING sum(v) >= 7000),
+f AS (SELECT doc_id, s, e FROM y JOIN lr USING (pair) GROUP BY ALL HAVING sum(v) >= 20000),
 ff AS (SELECT doc_id, kind, i, s, e FROM b UNION ALL SELECT doc_id, 'markov', 3, s, e FROM f),
 j AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
   coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, i) FILTER (i < 3), '') AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, i) AS spans FROM ff GROUP BY doc_id)
@@ -173,14 +177,23 @@ w AS (SELECT *, [3, 1, 2][sid % 3 + 1]::HUGEINT AS w FROM s),
 o AS (SELECT *, 200 * s AS cap, 150 * sum(s) OVER () - coalesce(sum(200 * s) OVER (ORDER BY s / w, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lft,
              sum(w) OVER (ORDER BY s / w, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS opn FROM w),
 g AS (SELECT *, cap * opn > lft * w AS free FROM o),
-l AS (SELECT arg_min(lft, s / w) AS lft, arg_min(opn, s / w) AS opn FROM g WHERE free),
-t AS (SELECT g.source, g.s::BIGINT AS source_size, CASE WHEN free THEN (g.w * l.lft)::DOUBLE / (100.0::DOUBLE * l.opn::DOUBLE) ELSE (2 * g.s)::DOUBLE END AS target FROM g LEFT JOIN l ON true),
+l AS (SELECT arg_min(lft, struct_pack(r := s / w, i := sid)) AS lft, arg_min(opn, struct_pack(r := s / w, i := sid)) AS opn FROM g WHERE free),
+t AS (SELECT g.sid, g.source, g.s::BIGINT AS source_size, CASE WHEN free THEN (g.w * l.lft)::DOUBLE / (100.0::DOUBLE * l.opn::DOUBLE) ELSE (2 * g.s)::DOUBLE END AS target FROM g LEFT JOIN l ON true),
 c AS (
-  SELECT d.*, source_size, target, floor(target + 0.5)::BIGINT AS goal,
+  SELECT d.*, sid, source_size, target, floor(target + 0.5)::BIGINT AS goal,
          (sum(size) OVER (PARTITION BY d.source ORDER BY digest, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size)::BIGINT AS cum
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       (greatest(0, least(cum + size, goal) - cum) + greatest(0, least(source_size + cum + size, goal) - source_size - cum))::BIGINT AS taken FROM c
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+b AS (SELECT sid, ceil(goal / 2048)::BIGINT AS n FROM (SELECT DISTINCT sid, goal FROM c)),
+v AS (SELECT sid, n, sum(n) OVER (ORDER BY sid) AS upto, sum(n) OVER () AS total FROM b),
+i AS (SELECT unnest(range((SELECT max(total) FROM v)::BIGINT)) AS slot),
+q AS (SELECT slot, ((slot + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE) % 1.0::DOUBLE AS u FROM i),
+sc AS (SELECT sid, slot, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS block FROM q JOIN v ON (upto - n)::DOUBLE / total::DOUBLE <= u AND u < upto::DOUBLE / total::DOUBLE),
+pc AS (SELECT doc_id, sid, cum + e * source_size AS a, least(cum + e * source_size + size, goal) AS z FROM c, (VALUES (0), (1)) ep(e) WHERE size > 0),
+pd AS (SELECT doc_id, sid, unnest(range(a // 2048, (z - 1) // 2048 + 1)) AS block FROM pc WHERE a < z),
+ps AS (SELECT doc_id, min(coalesce(slot, total + upto - n + block)) AS first_slot, count(*) AS n_pieces FROM pd JOIN v USING (sid) LEFT JOIN sc USING (sid, block) GROUP BY doc_id)
+SELECT c.doc_id, size, source_size, target,
+       (greatest(0, least(cum + size, goal) - cum) + greatest(0, least(source_size + cum + size, goal) - source_size - cum))::BIGINT AS taken, first_slot::BIGINT AS first_slot, coalesce(n_pieces, 0) AS n_pieces
+FROM c LEFT JOIN ps ON ps.doc_id = c.doc_id
 """,
     "op9_chat_format": r"""
 WITH t AS (

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .arrays import let, running_starts
+
 #: The base patterns.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -15,8 +17,10 @@ HEX = r"[0-9a-f]{24,}"
 #: Runs that the models judge, and ordinary runs that they learn from.
 RUN, ORDINARY = r"[A-Za-z0-9+/_=-]{20,}", r"[A-Za-z0-9+/_=-]{16,}"
 PLAIN = r"^([A-Z]?[a-z]+|[A-Z]+|[-_=+/]+)$"
-#: Random strings by rule, and the least log-likelihood ratio in thousandths (1,000 to 1).
-RANDOM_STRINGS, MARGIN = 2048, 7000
+#: Documents whose words make identifiers to learn from.
+SAMPLE = 200
+#: Random strings by rule, and the least log-likelihood ratio in thousandths.
+RANDOM_STRINGS, MARGIN = 2048, 20000
 SYMBOLS = 65
 
 
@@ -26,28 +30,49 @@ def spans(text: Column, pattern: str, present: Column) -> Column:
     The texts between the matches and the matches themselves are laid end to
     end, so that no match is searched for twice.
     """
-    gaps = F.split(text, pattern, -1)
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+    def placed(x: Column) -> Column:
+        starts = running_starts(F.flatten(F.transform(x, lambda p: F.array(p["gap"], F.length(p["hit"])))))
+        struct = lambda p, at: F.struct(at.alias("s"), (at + F.length(p["hit"])).alias("e"), p["hit"].alias("hit"))
+        return let(starts, lambda known: F.transform(x, lambda p, i: struct(p, F.element_at(known, 2 * i + 2))))
+
+    def paired(hits: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), 1, F.size(hits))
+        return F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("gap"), h.alias("hit")))
+
+    pairs = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), paired)
     none = F.array().cast("array<struct<s:int,e:int,hit:string>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    return F.when(present, let(pairs, placed)).otherwise(none)
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.length(x["gap"])
-        e = s + F.length(x["hit"])
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["hit"].alias("hit")))).alias("out"))
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    return F.when(present, F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(none)
+def identifiers(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(string): ordinary identifiers built from the words of ``sample`` documents, those of the smallest MD5 digests of their texts.
+
+    Every three words in a row make one, in turn as snake_case, CamelCase,
+    SCREAMING_CASE, a path, and with hyphens and a number.
+    """
+    chosen = docs.select(F.col("text").cast("string").alias("text")).where("text is not null").orderBy(F.md5(F.col("text").cast("binary")), "text").limit(sample)
+    words = chosen.select(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,12}"), F.lit(0)).alias("w")).where("size(w) >= 3")
+    three = words.select(F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - 2, F.lit(3)), lambda i: F.slice("w", i, 3))).alias("i", "w"))
+    low = F.transform("w", F.lower)
+    camel = F.array_join(F.transform(low, lambda x: F.concat(F.upper(F.left(x, F.lit(1))), F.substr(x, F.lit(2)))), "")
+    style = F.col("i") % 5
+    string = (
+        F.when(style == 0, F.array_join(low, "_")).when(style == 1, camel).when(style == 2, F.upper(F.array_join(low, "_"))).when(style == 3, F.array_join(low, "/"))
+        .otherwise(F.concat_ws("-", F.array_join(low, "-"), F.col("i")))
+    )
+    return three.select(string.alias("string"))
 
 
 def labelled_strings(docs: DataFrame) -> DataFrame:
-    """(string, secret): random strings by rule, labelled 1, and the plain long runs of all documents, labelled 0."""
+    """(string, secret): random strings by rule, labelled 1; labelled 0 the plain long runs of all documents and the identifiers built from their words."""
     spark = docs.sparkSession
     digest = F.sha2(F.col("id").cast("string"), 256)
     made = spark.range(RANDOM_STRINGS).select(F.explode(F.array(digest, F.regexp_replace(F.base64(F.unhex(digest)), "=+$", ""))).alias("string"), F.lit(1).alias("secret"))
     text = F.col("text").cast("string")
     seen = docs.where(text.rlike(ORDINARY)).select(F.explode(F.regexp_extract_all(text, F.lit(ORDINARY), F.lit(0))).alias("string"))
-    return made.unionByName(seen.where(F.col("string").rlike(PLAIN)).select("string", F.lit(0).alias("secret")))
+    seen = seen.where(F.col("string").rlike(PLAIN)).unionByName(identifiers(docs))
+    return made.unionByName(seen.select("string", F.lit(0).alias("secret")))
 
 
 def log_ratios(labelled: DataFrame) -> list[int]:
@@ -119,9 +144,10 @@ def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None, margin: int
         return F.aggregate(at, F.lit(0), lambda n, i: n + F.element_at(table, code(i) * 128 + code(i + 1) + 1))
 
     def free(x: Column) -> Column:
-        return ~F.exists(F.concat("assign", "access", "hex"), lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
+        return ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
 
-    return rows.withColumn("markov", F.filter("runs", lambda x: free(x) & (ratio(x) >= margin))).drop("runs")
+    rows = rows.withColumn("base", F.concat("assign", "access", "hex"))
+    return rows.withColumn("markov", F.filter("runs", lambda x: (ratio(x) >= margin) & free(x))).drop("runs", "base")
 
 
 def span_digest(scanned: DataFrame) -> DataFrame:

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import bisect
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .scratch import shared_folder
+
 #: Virtual slots; the map and the totals by slot have one entry each, so this bounds what the driver holds.
 SLOTS = 4096
 
@@ -31,7 +34,7 @@ class SlotMap:
         return out
 
     def rebalance(self, sizes: list[int], max_moves: int = 1 << 16) -> SlotMap:
-        """The next version: moves or swaps slots between the heaviest and the lightest shard while that narrows their gap."""
+        """The next version: moves or swaps slots between the heaviest and the lightest shard while that narrows their gap, ``max_moves`` times at most."""
         held = [sorted((sizes[s], s) for s, x in enumerate(self.shard_of) if x == shard and sizes[s]) for shard in range(self.shards)]
         load = self.loads(sizes)
         moved = False
@@ -137,7 +140,9 @@ def shard_documents(docs: DataFrame, shards: int = 8, slots: int = SLOTS, slot_m
 
     Records are hashed into fixed virtual slots. The map (by default the
     initial one, slot modulo shards) is edited until the bytes of the shards
-    are nearly equal, and every version goes to ``store`` if that is given.
+    are nearly equal. Every version is written to ``store`` (by default a
+    new folder in the shared one), and the shards come from the newest that is
+    read back. Equal texts are spread by their doc_id, not kept together.
     Sizes are UTF-8 bytes of the text plus 1. A row's place is the rows of its
     shard's earlier slots plus its rank in its own slot, so no shard is sorted
     as a whole.
@@ -151,9 +156,10 @@ def shard_documents(docs: DataFrame, shards: int = 8, slots: int = SLOTS, slot_m
     sizes, rows = slot_sizes(sized.select("size", "virtual_slot"), slots)
     first = slot_map or SlotMap.initial(shards, slots)
     final = first.rebalance(sizes)
-    if store:
-        for m in dict.fromkeys([first, final]):
-            m.save(spark, store)
+    store = store or f"{shared_folder(spark)}/cueloom-slot-maps-{uuid.uuid4().hex}"
+    for m in dict.fromkeys([first, final]):
+        m.save(spark, store)
+    final = SlotMap.load(spark, store)
     before, seen = [0] * slots, [0] * final.shards
     for s, shard in enumerate(final.shard_of):
         before[s] = seen[shard]

@@ -10,13 +10,14 @@ from cueloom.llm import decontaminate, lsh, quality
 from cueloom.llm.chat_format import format_conversations
 from cueloom.llm.fuzzy_lines import fuzzy_lines, lines_by_document
 from cueloom.llm.graph import connected_components
+from cueloom.llm import media
 from cueloom.llm.media import edited_copies
 from cueloom.llm.mixing import mix, words_taken
 from cueloom.llm.lsh import accept_table
 from cueloom.llm.near_dup import near_duplicates
 from cueloom.llm.queries import ORACLES, QUERIES
 from cueloom.llm.scratch import Scratch
-from cueloom.llm.secrets import scan_secrets, span_digest
+from cueloom.llm.secrets import labelled_strings, scan_secrets, span_digest
 from cueloom.llm.sharding import SlotMap, shard_documents
 from cueloom.llm.url_filter import judge_urls
 from tests.oracle import actual, expected
@@ -141,6 +142,23 @@ def test_secrets(docs, none, spark):
     assert span_digest(scan_secrets(none)).count() == 0
 
 
+def test_secret_models_tell_identifiers_from_random_strings(spark):
+    import time
+
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    names = ["ABSTRACT_CONNECTION_POOL_MANAGER", "src/main/java/com/company/product/service/impl", "getUserAccountSettingsFromRemoteCache", "max_retry_count_before_giving_up", "release-candidate-build-number-2024", "DefaultHttpRequestHandlerFactory"]
+    rnd = random.Random(12)
+    keys = ["".join(rnd.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=32)) for _ in range(40)]
+    rows = [(i, f"see {x} here") for i, x in enumerate(names + keys)]
+    extra = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id for r in scan_secrets(extra, labelled_strings(d)).where("size(markov) > 0").collect()}
+    assert not found & set(range(len(names))) and len(found) >= 0.9 * len(keys)
+    long = spark.createDataFrame([(1, " ".join(f"token=abcdef{i}" for i in range(8000)))], "doc_id long, text string")
+    began = time.time()
+    assert span_digest(scan_secrets(long, labelled_strings(d))).first().n_assign == 8000
+    assert time.time() - began < 30
+
+
 def test_quality(docs, none, spark):
     d, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
     model = quality.train(d, labels)
@@ -260,6 +278,13 @@ def test_pipeline_mixes_rows_not_ids(spark):
     assert out.groupBy("text").count().where("count > 2").count() == 0
 
 
+def test_slots_are_unique_for_equal_sources(spark):
+    rows = [(i, " ".join(["w"] * 10), s) for s in "abcd" for i in range(7)]
+    _, pieces = mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1,), percent=100, block=10)
+    slots = pieces.select("slot", "sid", "block").distinct().collect()
+    assert len(slots) == 28 and len({r.slot for r in slots}) == 28
+
+
 def test_schedule_is_even(docs):
     _, pieces = mix(docs, block=7)
     rows = sorted((r.slot, r.sid) for r in pieces.select("slot", "sid", "block").distinct().collect())
@@ -283,6 +308,8 @@ def test_sharding(docs, none, spark, tmp_path):
     grown = stored.grow(sizes)
     assert grown.shards == 9 and all(a == b or b == 8 for a, b in zip(stored.shard_of, grown.shard_of))
     assert shard_documents(docs, 8).count() == docs.count() and shard_documents(none, 8).count() == 0
+    few = shard_documents(docs, 8, slots=64).toPandas()
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in few.groupby("shard"))
 
 
 def test_chat_round_trip(spark):
@@ -356,14 +383,35 @@ def test_fuzzy_lines_equal_brute_force(spark):
 
 def test_media_copies(spark):
     e = spark.read.parquet(f"{SF}/embeddings.parquet")
-    extra = spark.createDataFrame([(None, [1.0], 0), (10_050, None, 0), (10_100, [], 0)], "vec_id long, embedding array<float>, label int")
-    found = edited_copies(e.unionByName(extra)).toPandas()
+    extra = spark.createDataFrame([(None, [1.0], 0), (10_050, None, 0), (10_100, [], 0)], "vec_id long, embedding array<float>, label int").withColumn("copies", F.lit(1))
+    found = edited_copies(e.unionByName(extra, allowMissingColumns=True).unionByName(e.limit(3), allowMissingColumns=True)).toPandas()
     asked = set(e.where("vec_id % 50 = 0").toPandas().vec_id)
-    assert asked <= set(found.query_id)
+    assert asked == set(found.query_id)
     assert sum(found.query_id == found.rep_id) >= 0.9 * len(asked)
     assert edited_copies(e.limit(0)).count() == 0
 
 
+def test_media_search_against_all_pairs_of_descriptors(spark):
+    """Every find has its matches among all pairs of descriptors, and most images that agree there are found."""
+    import numpy as np
+
+    rnd = np.random.Generator(np.random.PCG64(7))
+    vectors = rnd.standard_normal((24, 32)).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, v array<float>")
+    queries, index = media.descriptors(table, every=1), media.descriptors(table)
+    found = {(r["query"], r.id) for r in media.find_copies(queries, index).collect()}
+    q, d = queries.toPandas(), index.toPandas()
+    apart = np.bitwise_count((q.lo.values[:, None] ^ d.lo.values).view(np.uint64)) + np.bitwise_count((q.hi.values[:, None] ^ d.hi.values).view(np.uint64))
+    a, b = np.nonzero(apart <= media.DISTANCE)
+    corners: dict = {}
+    for x, y in zip(a, b):
+        corners.setdefault((q.id[x], d.id[y]), set()).add((int(q.x[x]), int(q.y[x])))
+    matching = {k for k, v in corners.items() if len(v) >= media.AGREE}
+    assert found <= matching
+    own = {(i, i) for i in range(24)}
+    assert len(found & own) >= 0.9 * 24 and len(found - own) == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
