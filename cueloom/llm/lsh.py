@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textvec
 from .graph import connected_components
 from .scratch import Scratch
 
@@ -154,7 +155,7 @@ def _groups(batches, n_keys: int):
         yield np.zeros(held.num_rows, np.int64), held
 
 
-MET = "bucket long, lo int, hi int, side boolean, node long, component long"
+MET = "met long, split boolean, side boolean, node long, component long"
 
 
 def likely_members(rest: DataFrame, percent: int, apart: int, n_hashes: int = 0, batch: int = 1, miss: float = 0.0) -> DataFrame:
@@ -164,7 +165,9 @@ def likely_members(rest: DataFrame, percent: int, apart: int, n_hashes: int = 0,
     is cut into ``blocks`` blocks by a hash of the node and every two blocks
     meet in a task. Of the pairs there, those count whose sketches differ in
     at most ``apart`` bits and, where there are signatures, that pass the
-    Bayesian batches. No pair leaves the task, only the members of such pairs.
+    Bayesian batches. No pair leaves the task, only the members of such pairs,
+    under a name (met) made of themselves: members that meet in several buckets
+    are listed once.
     """
     least = accept_table(n_hashes, batch, percent / 100, miss) if n_hashes else []
 
@@ -173,7 +176,7 @@ def likely_members(rest: DataFrame, percent: int, apart: int, n_hashes: int = 0,
         import pyarrow as pa
 
         for group, rb in _groups(batches, 3):
-            lo, hi, side, component, sketch, n = (rb.column(c).to_numpy(zero_copy_only=False) for c in (1, 2, 3, 5, 6, 7))
+            lo, hi, side, node, component, sketch, n = (rb.column(c).to_numpy(zero_copy_only=False) for c in range(1, 8))
             split = lo != hi
             sig = np.frombuffer(b"".join(rb.column(8).to_pylist()), np.uint16).reshape(rb.num_rows, n_hashes) if least else None
             many = np.searchsorted(group, group, side="right") - np.arange(len(group)) - 1
@@ -189,14 +192,18 @@ def likely_members(rest: DataFrame, percent: int, apart: int, n_hashes: int = 0,
                 alive = passing(sig, sig, a, b, least, batch) if least else slice(None)
                 hit[a[alive]] = hit[b[alive]] = True
                 at = to
-            yield rb.filter(pa.array(hit)).select([0, 1, 2, 3, 4, 5])
+            own = textvec.mix(node.view(np.uint64) * np.uint64(2) + (side & split).astype(np.uint64)) * hit.astype(np.uint64)
+            upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own, dtype=np.uint64)])
+            first, stop = np.searchsorted(group, group), np.searchsorted(group, group, side="right")
+            met = (upto[stop] - upto[first]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x[hit]) for x in (met, split, side, node, component)], names=["met", "split", "side", "node", "component"])
 
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     met = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select(
         "bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).alias("side"), "node", "component", "sketch", "n", *(["signature"] if n_hashes else [])
     )
-    return met.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInArrow(work, MET)
+    return met.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInArrow(work, MET).distinct()
 
 
 def spanning_links(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -210,10 +217,9 @@ def spanning_links(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        for group, rb in _groups(batches, 3):
-            split = rb.column(1).to_numpy() != rb.column(2).to_numpy()
-            side, node, component = (rb.column(c).to_numpy(zero_copy_only=False) for c in (3, 4, 5))
-            lists = rb.column(6)
+        for group, rb in _groups(batches, 1):
+            split, side, node, component = (rb.column(c).to_numpy(zero_copy_only=False) for c in (1, 2, 3, 4))
+            lists = rb.column(5)
             offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
             bounds = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]])
             links = []
@@ -247,8 +253,8 @@ def spanning_links(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                         links.append((int(node[i + a]), int(node[i + b])))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    met = met.join(sets, "node").select("bucket", "lo", "hi", "side", "node", "component", "hashes")
-    found = met.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInArrow(work, "a long, b long")
+    met = met.join(sets, "node").select("met", "split", "side", "node", "component", "hashes")
+    found = met.repartition("met").sortWithinPartitions("met").mapInArrow(work, "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

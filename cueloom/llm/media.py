@@ -232,14 +232,20 @@ def find_copies(queries: DataFrame, index: DataFrame, distance: int = DISTANCE,
 
     Descriptors meet in TABLES tables of 24 tests each, so every pair of
     descriptors that differs in fewer than TABLES tests meets for certain, and
-    others meet where one table agrees; matches differ in ``distance`` tests at
+    others meet where one table agrees, and each pair in its first such table; matches differ in ``distance`` tests at
     most. Each match votes for its turn (the two nearest of TURNS), zoom and shift, in overlapping cells;
     a corner of the query counts once in a cell, and the fullest cell counts.
     """
     q = queries.select(F.explode("slots").alias("slot"), F.col("id").alias("query"), *(F.col(c).alias(f"q{c}") for c in ("x", "y", "scale", "angle", "lo", "hi")))
     d = index.select(F.explode("slots").alias("slot"), "id", "x", "y", "scale", "angle", "lo", "hi")
     apart = F.bit_count(F.col("qlo").bitwiseXOR(F.col("lo"))) + F.bit_count(F.col("qhi").bitwiseXOR(F.col("hi")))
-    met = q.join(d, "slot").where(apart <= distance)
+    x, y, table = F.col("qlo").bitwiseXOR(F.col("lo")), F.col("qhi").bitwiseXOR(F.col("hi")), F.shiftright("slot", BITS)
+    part = lambda v, down, bits: F.shiftright(v, down).bitwiseAND(F.lit((1 << bits) - 1)) == 0
+    agree_in = [part(x, 0, 24), part(x, 24, 24), part(x, 48, 12) & part(y, 0, 12), part(y, 12, 24)]
+    again = F.lit(False)
+    for t, same in enumerate(agree_in):
+        again = again | ((table > t) & same)
+    met = q.join(d, "slot").where((apart <= distance) & ~again)
     zoom = F.col("scale") - F.col("qscale")
     part = (F.col("angle") - F.col("qangle")) / 6.283185307179586 * TURNS
     met = met.withColumn("turn", F.explode(F.array(F.floor(part), F.floor(part) + 1)))
@@ -257,13 +263,17 @@ def find_copies(queries: DataFrame, index: DataFrame, distance: int = DISTANCE,
 
 
 def edited_copies(embeddings: DataFrame, every: int = 50) -> DataFrame:
-    """query_id, edit, rep_id, agreeing, copies: which images an edited copy of each query image is found to come from.
+    """query_id, edit, rep_id, agreeing, n_reps, copies: which image an edited copy of each query image is found to come from.
+
+    rep_id is the image with the most agreeing corners (the smallest of several),
+    n_reps the number of images found and copies that of their members;
+    ``find_copies`` has all pairs.
 
     The images are derived from ``embeddings(vec_id, embedding)``. Queries are the rows whose
     vec_id is divisible by ``every``; each undergoes one of the EDITS, by turns
     of their ids, and is searched for among all images. Images of equal vectors are one
     class, searched once under its smallest vec_id, with the number of its
-    members. A query without a find has one row, with rep_id null. Descriptors
+    members. A query without a find has rep_id null. Descriptors
     of the index that share no table entry with any query are left out where
     they are made, by a bitmap of all table entries (10 MB whatever the input).
 
@@ -285,9 +295,9 @@ def edited_copies(embeddings: DataFrame, every: int = 50) -> DataFrame:
     index = descriptors(reps.repartition(shuffles, "id"), wanted=wanted)
     found = scratch.cut(find_copies(queries, index), "found")
     edit = F.element_at(F.array(*map(F.lit, EDITS)), (F.floor(F.col("query_id") / every) % len(EDITS)).cast("int") + 1)
-    return (
-        asked.select(F.col("id").alias("query_id"))
-        .join(found.withColumnRenamed("query", "query_id"), "query_id", "left")
-        .join(classes.select(F.col("rep").alias("id"), "copies"), "id", "left")
-        .select("query_id", edit.alias("edit"), F.col("id").alias("rep_id"), "agreeing", "copies")
+    sized = found.join(classes.select(F.col("rep").alias("id"), "copies"), "id")
+    best = sized.groupBy(F.col("query").alias("query_id")).agg(F.max(F.struct("agreeing", (-F.col("id")).alias("under"))).alias("best"), F.count("*").alias("n_reps"), F.sum("copies").alias("copies"))
+    return asked.select(F.col("id").alias("query_id")).join(best, "query_id", "left").select(
+        "query_id", edit.alias("edit"), (-F.col("best.under")).alias("rep_id"), F.col("best.agreeing").alias("agreeing"),
+        F.coalesce("n_reps", F.lit(0)).alias("n_reps"), F.coalesce("copies", F.lit(0)).alias("copies"),
     )

@@ -387,8 +387,9 @@ def test_media_copies(spark):
     found = edited_copies(e.unionByName(extra, allowMissingColumns=True).unionByName(e.limit(3), allowMissingColumns=True)).toPandas()
     asked = set(e.where("vec_id % 50 = 0").toPandas().vec_id)
     assert asked == set(found.query_id)
-    assert sum(found.query_id == found.rep_id) >= 0.9 * len(asked)
     assert edited_copies(e.limit(0)).count() == 0
+    more = edited_copies(e, every=3).toPandas()
+    assert sum(more.query_id == more.rep_id) >= 0.9 * len(more) and set(more.edit) == set(media.EDITS)
 
 
 def test_media_search_against_all_pairs_of_descriptors(spark):
