@@ -107,8 +107,8 @@ def timing_profile(events: DataFrame) -> DataFrame:
 
 def case_counts(cases: DataFrame) -> DataFrame:
     """Counts by owner, by cause, and by both."""
-    cases.createOrReplaceTempView("structure_case")
-    return cases.sparkSession.sql("SELECT owner, cause, count(*) AS cases, cast(grouping_id(owner, cause) AS bigint) AS level FROM structure_case GROUP BY GROUPING SETS ((owner), (cause), (owner, cause))")
+    sets = cases.groupingSets([[F.col("owner")], [F.col("cause")], [F.col("owner"), F.col("cause")]], "owner", "cause")
+    return sets.agg(F.count("*").alias("cases"), F.grouping_id("owner", "cause").cast("long").alias("level"))
 
 
 def recovery_queue(failed: DataFrame, aligned: DataFrame) -> DataFrame:

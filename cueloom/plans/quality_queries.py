@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cueloom.operators import quality as ql
@@ -18,6 +19,13 @@ def normalised(s, f):
     return tm.normalize_timing(d.cues(s, f))
 
 
+def echoed(s, f):
+    """Stage A, where every fifth cue says again what the cue before it said."""
+    before = F.lag("text").over(Window.partitionBy("media_id").orderBy("cue_id"))
+    text = F.when((F.col("media_id") + F.col("cue_id")) % 5 == 0, F.coalesce(before, F.col("text"))).otherwise(F.col("text"))
+    return d.cues(s, f).select("media_id", "cue_id", text.alias("text"))
+
+
 def scored(s, f):
     """Reading speed as a score."""
     return d.cues(s, f).select("media_id", "cue_id", F.round((F.col("end_ms") - F.col("start_ms")) / (F.length("text") + 1), 6).alias("score"))
@@ -38,7 +46,7 @@ QUERIES = {
     "quality_gate": lambda s, f: ql.quality_gate(checks(s, f)),
     "boundary_duplicates": lambda s, f: ql.boundary_duplicates(d.cues(s, f)),
     "introduced_duplicates": lambda s, f: ql.introduced_duplicates(d.regressed_cues(s, f), d.cues(s, f)),
-    "adjacent_duplicates": lambda s, f: ql.adjacent_duplicates(d.translated_cues(s, f).select("media_id", "cue_id", F.substring("text", 1, 2).alias("text"))),
+    "adjacent_duplicates": lambda s, f: ql.adjacent_duplicates(echoed(s, f)),
     "stage_metrics": lambda s, f: ql.stage_metrics(both_stages(s, f)),
     "stage_content_hash": lambda s, f: ql.content_hash(d.cues(s, f)),
     "worst_rows": lambda s, f: ql.worst_rows(scored(s, f), 3, "media_id"),
@@ -79,7 +87,7 @@ ORACLES = {
     "introduced_duplicates": q("cue_b", """SELECT t.media_id, t.cue_id, nth FROM (SELECT *, lower(trim(text)) AS k, row_number() OVER (PARTITION BY media_id, lower(trim(text)) ORDER BY cue_id) AS nth FROM cue) t
   LEFT JOIN (SELECT media_id, lower(trim(text)) AS k, count(*) AS n FROM cue_b GROUP BY ALL) s ON s.media_id = t.media_id AND s.k = t.k WHERE nth > coalesce(n, 0)"""),
     "adjacent_duplicates": q("cue", f"""SELECT media_id, cue_id, k AS key FROM (SELECT *, lag(k) OVER (PARTITION BY media_id ORDER BY cue_id) AS pk FROM (
-  SELECT media_id, cue_id, {KEY} AS k FROM (SELECT media_id, cue_id, substr(text, 1, 2) AS text FROM cue))) WHERE k = pk AND k <> ''"""),
+  SELECT media_id, cue_id, {KEY} AS k FROM (SELECT media_id, cue_id, CASE WHEN (media_id + cue_id) % 5 = 0 THEN coalesce(lag(text) OVER (PARTITION BY media_id ORDER BY cue_id), text) ELSE text END AS text FROM cue))) WHERE k = pk AND k <> ''"""),
     "stage_metrics": q("cue_b", f"""SELECT media_id, stage, count(*) AS items, sum(length(k))::BIGINT AS chars, count(*) FILTER (n = 1 AND k <> '') AS once, count(*) FILTER (end_ms <= start_ms) AS invalid_times,
   count(*) FILTER (start_ms < ps) AS non_monotonic, count(*) FILTER (k = pk AND k <> '') AS adjacent_duplicates FROM (
   SELECT *, count(*) OVER (PARTITION BY media_id, stage, k) AS n, lag(k) OVER w AS pk, lag(start_ms) OVER w AS ps FROM (

@@ -9,6 +9,7 @@ from cueloom.operators import quality as ql
 from cueloom.operators import stages as st
 from cueloom.operators import tokens as tk
 from cueloom.plans.text_queries import ERRORS, cue_bounds
+from cueloom.plans.quality_queries import ISSUES
 from cueloom.sources import derived as d
 from cueloom.sources.derived import with_tables as q
 
@@ -106,8 +107,9 @@ DIFF = f"""(SELECT media_id, cue_id, fell, i[1] AS severity, i[2] AS type FROM (
 
 ORACLES = {
     "match_dialogues": q("cue_b dialogue", f"SELECT * FROM {MATCHES}"),
-    "match_summary": q("cue_b dialogue", f"""SELECT *, CASE WHEN failed > 0 THEN 'FAIL' WHEN weak > 0 THEN 'WARN' ELSE 'PASS' END AS status FROM (SELECT media_id, count(*) AS lines, round(avg(score), 6) AS mean, round(median(score), 6) AS median, count(*) FILTER (level = 'high') AS high,
+    "match_summary": q("cue_b dialogue", f"""SELECT *, CASE WHEN failed > 0 THEN 'FAIL' WHEN weak > 0 THEN 'WARN' ELSE 'PASS' END AS status FROM (SELECT media_id, count(*) AS lines, sum(round(score * 10000)::BIGINT)::DOUBLE / (count(*) * 10000) AS mean, median(round(score * 10000)::BIGINT) / 10000 AS median, count(*) FILTER (level = 'high') AS high,
   count(*) FILTER (level = 'medium') AS medium, count(*) FILTER (level = 'low') AS low, count(*) FILTER (score >= 0.75) AS good, count(*) FILTER (score < 0.45) AS weak, count(*) FILTER (score < 0.20) AS failed FROM {MATCHES} GROUP BY media_id)"""),
+    "distinct_issues": q("cue", f"SELECT media_id, cue_id, i.s AS severity, i.t AS type, i.a AS amount FROM {ISSUES.format('cue')} QUALIFY row_number() OVER (PARTITION BY media_id, i.s, i.t, i.a ORDER BY cue_id) = 1"),
     "select_reference": q("dialogue", f"SELECT media_id, line_id, start_ms, end_ms, style, text FROM dialogue WHERE style IN ('assistant', 'system') AND {LATIN} <> '' QUALIFY row_number() OVER (PARTITION BY media_id, start_ms, end_ms, text ORDER BY line_id) = 1"),
     "mine_pairs": q("cue", """SELECT source, max(total)::BIGINT AS total, max(target) FILTER (rk = 1) AS target, max(n) FILTER (rk = 1) AS n, coalesce(string_agg(target, ',' ORDER BY rk) FILTER (rk > 1), '') AS alternates FROM (
   SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, m, c, target) AS rk, sum(n) OVER (PARTITION BY source) AS total FROM (
