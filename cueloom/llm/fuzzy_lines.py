@@ -162,20 +162,13 @@ def _confirm(pairs: DataFrame, width: int, percent: int) -> DataFrame:
     return pairs.select("a", "b", "ta", "tb").mapInArrow(work, "a long, b long")
 
 
-def _hashed(lines: DataFrame, width: int) -> DataFrame:
-    """node and the distinct hashes of the shingles of lines(node, line)."""
+def _shingled(width: int):
+    """A function from an Arrow column of lines to the distinct hashes of their shingles, and bounds."""
 
-    def work(batches):
-        import numpy as np
-        import pyarrow as pa
+    def of(lines):
+        return textvec.distinct(*_shingles(lines.to_pylist(), width))
 
-        for rb in batches:
-            for i, texts in _pieces(rb, 1):
-                v, vb = textvec.distinct(*_shingles(texts, width))
-                values = pa.ListArray.from_arrays(pa.array(vb.astype(np.int32)), pa.array(v.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([rb.column(0).slice(i, len(texts)), values], names=["node", "hashes"])
-
-    return lines.select("node", "line").mapInArrow(work, "node long, hashes array<long>")
+    return of
 
 
 def fuzzy_lines(docs: DataFrame, width: int = WIDTH, percent: int = 80, bands: int = BANDS, rows: int = ROWS, apart: int = APART) -> DataFrame:
@@ -208,9 +201,15 @@ def fuzzy_lines(docs: DataFrame, width: int = WIDTH, percent: int = 80, bands: i
         ids = scratch.cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"ids-{tag}")
         known = scratch.cut(named_lines(docs, ids), f"texts-{tag}")
         full = pairs.join(known.select(F.col("node").alias("b"), F.col("line").alias("tb")), "b").join(known.select(F.col("node").alias("a"), F.col("line").alias("ta")), "a")
-        return scratch.cut(_confirm(full, width, percent), f"links-{tag}")
+        links = scratch.cut(_confirm(full, width, percent), f"links-{tag}")
+        for done in ("pairs", "ids", "texts"):
+            scratch.delete(scratch.last[f"{done}-{tag}"])
+        return links
+
+    def contents(ids: DataFrame) -> DataFrame:
+        return named_lines(docs, ids).withColumnRenamed("line", "content")
 
-    label = linked_components(members, scratch, percent, lambda pairs: pairs, confirmed, lambda ids: _hashed(named_lines(docs, ids), width), apart=apart)
+    label = linked_components(members, scratch, percent, lambda pairs: pairs, confirmed, contents, _shingled(width), apart=apart)
     scratch.release()
     placed = table.select("row", "doc_id", "line_no", "node").join(label, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node")
     first = placed.where("line_no is not null").groupBy("component").agg(F.min(F.struct("doc_id", "row", "line_no")).alias("first"), F.count("*").alias("n"))

@@ -206,10 +206,17 @@ def likely_members(rest: DataFrame, percent: int, apart: int, n_hashes: int = 0,
     return met.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInArrow(work, MET).distinct()
 
 
-def spanning_links(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def listed(column):
+    """Values and bounds of the lists of an Arrow column."""
+    return column.values.to_numpy(), column.offsets.to_numpy()
+
+
+def spanning_links(met: DataFrame, sets: DataFrame, percent: int, shingled: Callable = listed) -> DataFrame:
     """(a, b): links that join the components of each block of ``met`` which the exact similarity of their sets joins.
 
-    ``sets(node, hashes)`` has each node's distinct shingle hashes. Of a block's
+    ``shingled`` makes the distinct shingle hashes and their bounds from a column
+    of the contents of ``sets(node, content)``; a text is a fraction of
+    its hashes, so what can be hashed in the task is shuffled as text. Of a block's
     links only as many are returned as join its components, one fewer than they are at most.
     """
 
@@ -219,8 +226,7 @@ def spanning_links(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
         for group, rb in _groups(batches, 1):
             split, side, node, component = (rb.column(c).to_numpy(zero_copy_only=False) for c in (1, 2, 3, 4))
-            lists = rb.column(5)
-            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            values, offsets = shingled(rb.column(5))
             bounds = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]])
             links = []
             for i, j in zip(bounds[:-1], bounds[1:]):
@@ -253,7 +259,7 @@ def spanning_links(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                         links.append((int(node[i + a]), int(node[i + b])))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    met = met.join(sets, "node").select("met", "split", "side", "node", "component", "hashes")
+    met = met.join(sets, "node").select("met", "split", "side", "node", "component", "content")
     found = met.repartition("met").sortWithinPartitions("met").mapInArrow(work, "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -264,7 +270,8 @@ def linked_components(
     percent: int,
     likely: Callable[[DataFrame], DataFrame],
     confirm: Callable[[DataFrame, str], DataFrame],
-    hashed: Callable[[DataFrame], DataFrame],
+    contents: Callable[[DataFrame], DataFrame],
+    shingled: Callable = listed,
     signed: Callable[[DataFrame], DataFrame] | None = None,
     n_hashes: int = 0,
     batch: int = 1,
@@ -278,8 +285,8 @@ def linked_components(
     pairs(a, b) and ``confirm`` compares them in full. Members of a bucket that
     are still in different components then meet each other, in blocks: by
     their sketches and, if given, the signatures that ``signed`` adds to
-    rows(node), then exactly, by the sets that ``hashed`` gives for ids(node)
-    (node, hashes). The links found are confirmed in full. So no link between
+    rows(node), then exactly, by the sets that ``shingled`` makes of what ``contents`` gives for ids(node)
+    (node, content). The links found are confirmed in full. So no link between
     components is left out, and no bucket expands into its pairs.
     """
     chains = bucket_chains(members, scratch, apart)
@@ -289,11 +296,13 @@ def linked_components(
 
     tagged = chains.select("bucket", "node", "sketch").distinct().join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     tagged = scratch.cut(tagged, "tagged")
+    scratch.delete(scratch.last["chains"])
     mixed = tagged.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo <> hi")
     rest = tagged.join(mixed.select("bucket", F.ceil(F.col("members") / MEMBERS).cast("int").alias("blocks")), "bucket")
     rest = signed(rest) if signed else rest.withColumn("n", F.lit(1))
     met = scratch.cut(likely_members(rest, percent, apart, n_hashes, batch, miss), "met")
     scratch.release()
-    sets = scratch.cut(hashed(scratch.cut(met.select("node").distinct(), "ids-met")), "sets")
-    more = confirm(spanning_links(met, sets, percent), "blocks").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    scratch.delete(scratch.last["tagged"])
+    sets = scratch.cut(contents(scratch.cut(met.select("node").distinct(), "ids-met")), "sets")
+    more = confirm(spanning_links(met, sets, percent, shingled), "blocks").select(F.col("a").alias("u"), F.col("b").alias("v"))
     return connected_components(label.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), scratch, "cc-all")

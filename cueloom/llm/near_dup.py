@@ -167,10 +167,10 @@ def near_duplicates(
     def signed(rows: DataFrame) -> DataFrame:
         return rows.join(reps.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "signature"), "node")
 
-    def hashed(ids: DataFrame) -> DataFrame:
-        return hashed_sets(docs.join(ids.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), k).withColumnRenamed("doc_id", "node")
+    def contents(ids: DataFrame) -> DataFrame:
+        return hashed_sets(docs.join(ids.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), k).select(F.col("doc_id").alias("node"), F.col("hashes").alias("content"))
 
-    label = linked_components(members, scratch, percent, likely, confirmed, hashed, signed, bands * rows, batch, miss)
+    label = linked_components(members, scratch, percent, likely, confirmed, contents, signed=signed, n_hashes=bands * rows, batch=batch, miss=miss)
 
     return (
         sig.select("doc_id", "n_shingles", "d1", "d2")
