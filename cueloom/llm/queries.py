@@ -12,6 +12,7 @@ from .fuzzy_lines import fuzzy_lines, lines_by_document
 from .media import edited_copies
 from .mixing import mix, words_taken
 from .near_dup import near_duplicates
+from .phrases import remove_repeats
 from .secrets import scan_secrets, span_digest
 from .sharding import shard_documents
 from .url_filter import judge_urls
@@ -91,6 +92,11 @@ def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines_by_document(fuzzy_lines(table(spark, sf_dir, "documents")))
 
 
+def op11_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that repeat a passage of an earlier one, and a digest of the rest."""
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -102,6 +108,7 @@ QUERIES = {
     "op8_media_copies": op8_media_copies,
     "op9_chat_format": op9_chat_format,
     "op10_fuzzy_lines": op10_fuzzy_lines,
+    "op11_repeated_phrases": op11_repeated_phrases,
 }
 
 ORACLES = {
@@ -211,5 +218,14 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        sum(body + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 9 ELSE head + 16 + 0 END)::BIGINT AS formatted_chars
 FROM x GROUP BY conv_id
+""",
+    "op11_repeated_phrases": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))) AS k, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13),
+m AS (SELECT k, min(doc_id) AS source FROM x GROUP BY k),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM x JOIN m USING (k) WHERE source < doc_id),
+p AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+k AS (SELECT p.doc_id, count(c.p) AS n, string_agg(word, ' ' ORDER BY p.p) FILTER (c.p IS NULL) AS kept FROM p LEFT JOIN c ON c.doc_id = p.doc_id AND c.p = p.p GROUP BY p.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON k.doc_id = d.doc_id
 """,
 }

@@ -6,36 +6,22 @@ ASCII, so the split is the same on UTF-8 bytes and on code points.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _BLOCK = 1 << 20
+#: Longer words are hashed one by one.
+_LONG = 256
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    fold = np.arange(256, dtype=np.uint64)
-    fold[65:91] += np.uint64(32)
-    fold += np.uint64(1)
-    fold *= np.uint64(0xBF58476D1CE4E5B9)
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    fold = np.arange(256, dtype=np.uint8)
+    fold[65:91] += np.uint8(32)
     space = np.zeros(256, dtype=bool)
     space[[9, 10, 11, 12, 13, 32]] = True
-    return fold, space
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-_CACHE: dict = {}
-
-
-def _cached(n: int) -> tuple:
-    if _CACHE.get("n", 0) < n:
-        _CACHE.update(n=n, up=_powers(_BASE, n), down=_powers(_INVERSE, n), tables=_tables())
-    return _CACHE["up"], _CACHE["down"], *_CACHE["tables"]
+    masks = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+    return fold, space, masks
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -75,15 +61,32 @@ def blocks(offsets: np.ndarray, size: int = _BLOCK):
         i = j
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of rows offsets[0]..offsets[-1]: 64-bit hashes of the words (A-Z folded), word bounds of each row (n+1), starts and ends in bytes."""
+def _hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges, eight bytes at a time, each mixed before the next: equal lengths of up to eight bytes never clash."""
+    n = ends - starts
+    eights = np.lib.stride_tricks.as_strided(np.concatenate([b, np.zeros(8, np.uint8)]), (len(b) + 1, 8), (1, 1))
+    h = mix(eights[starts].view(np.uint64)[:, 0] & masks[np.minimum(n, 8)]) + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    rest = np.flatnonzero((n > 8) & (n <= _LONG))
+    for done in range(8, _LONG, 8):
+        if not len(rest):
+            break
+        x = eights[starts[rest] + done].view(np.uint64)[:, 0] & masks[np.minimum(n[rest] - done, 8)]
+        h[rest] = mix(h[rest] * np.uint64(0xD6E8FEB86659FD93) + mix(x + np.uint64(done)))
+        rest = rest[n[rest] > done + 8]
+    for i in np.flatnonzero(n > _LONG):
+        h[i] = int.from_bytes(hashlib.blake2b(b[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return mix(h)
+
+
+def words(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows offsets[0]..offsets[-1]: 64-bit hashes of the words (A-Z folded unless told otherwise), word bounds of each row (n+1), starts and ends in bytes."""
     lo, hi = int(offsets[0]), int(offsets[-1])
     b = data[lo:hi]
     at = offsets - lo
     if not len(b):
         none = np.zeros(0, np.int64)
         return none.astype(np.uint64), np.zeros(len(offsets), np.int64), none, none
-    up, down, fold, space = _cached(len(b) + 1)
+    folded, space, masks = _tables()
     word = ~space[b]
     edge = np.zeros(len(b) + 1, dtype=bool)
     edge[at[:-1]] = True
@@ -96,10 +99,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     after[-1] = False
     after[:-1] = word[1:]
     ends = np.flatnonzero(word & (~after | edge[1:])) + 1
-    prefix = np.zeros(len(b) + 1, dtype=np.uint64)
-    np.cumsum(fold[b] * up[: len(b)], out=prefix[1:])
-    h = (prefix[ends] - prefix[starts]) * down[starts]
-    h = mix(h + (ends - starts).astype(np.uint64))
+    h = _hashes(folded[b] if fold else b, starts, ends, masks)
     return h, np.searchsorted(starts, at), starts + lo, ends + lo
 
 
