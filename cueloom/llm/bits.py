@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import shuffles_freed
+
 #: Two to this power bits: 16 MB, whatever the number of keys. A full bitmap lets everything through.
 POWER = 27
 
@@ -18,7 +20,8 @@ def bitmap(keys: DataFrame, power: int = POWER):
 
     at = F.pmod("key", F.lit(1 << power))
     words = keys.select(F.shiftright(at, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int")).alias("bit"))
-    got = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    with shuffles_freed(keys.sparkSession):
+        got = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(1 << (power - 6), np.int64)
     out[got.column(0).to_numpy()] = got.column(1).to_numpy()
     return keys.sparkSession.sparkContext.broadcast(out)

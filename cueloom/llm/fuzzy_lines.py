@@ -210,7 +210,6 @@ def fuzzy_lines(docs: DataFrame, width: int = WIDTH, percent: int = 80, bands: i
         return named_lines(docs, ids).withColumnRenamed("line", "content")
 
     label = linked_components(members, scratch, percent, lambda pairs: pairs, confirmed, contents, _shingled(width), apart=apart)
-    scratch.release()
     placed = table.select("row", "doc_id", "line_no", "node").join(label, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node")
     first = placed.where("line_no is not null").groupBy("component").agg(F.min(F.struct("doc_id", "row", "line_no")).alias("first"), F.count("*").alias("n"))
     first = first.where("n > 1").select(F.col("component").alias("shared"), F.col("first.row").alias("first_row"), F.col("first.line_no").alias("first_line"))

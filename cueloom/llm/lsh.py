@@ -128,7 +128,6 @@ def bucket_chains(members: DataFrame, scratch: Scratch, apart: int = 64) -> Data
 
     placed = members.select("bucket", "node", "sketch").repartitionByRange("bucket", "node").sortWithinPartitions("bucket", "node")
     found = scratch.cut(placed.mapInArrow(chain, "bucket long, node long, sketch long, prev long, part int, edge int"), "chains")
-    scratch.release()
     ends = sorted((r.part, r.bucket, r.node, r.sketch) for r in found.where("edge > 0").select("part", "bucket", "node", "sketch").collect())
     joints = [(y[1], y[2], y[3], x[2]) for x, y in zip(ends, ends[1:]) if x[0] < y[0] and x[1] == y[1]]
     out = found.select("bucket", "node", "sketch", "prev")
@@ -301,7 +300,6 @@ def linked_components(
     rest = tagged.join(mixed.select("bucket", F.ceil(F.col("members") / MEMBERS).cast("int").alias("blocks")), "bucket")
     rest = signed(rest) if signed else rest.withColumn("n", F.lit(1))
     met = scratch.cut(likely_members(rest, percent, apart, n_hashes, batch, miss), "met")
-    scratch.release()
     scratch.delete(scratch.last["tagged"])
     sets = scratch.cut(contents(scratch.cut(met.select("node").distinct(), "ids-met")), "sets")
     more = confirm(spanning_links(met, sets, percent, shingled), "blocks").select(F.col("a").alias("u"), F.col("b").alias("v"))

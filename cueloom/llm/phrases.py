@@ -233,16 +233,13 @@ def remove_repeats(docs: DataFrame, width: int = 13, group_bytes: int = GROUP) -
 
     keys = window_keys(known, width).groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key")
     marked = bitmap(keys)
-    scratch.release()
     found = scratch.cut(candidates(known, marked, width), "candidates")
     marked.unpersist()
     windows = found.select("doc_id", "shard", F.inline(F.arrays_zip("whole", "other", "pos")))
     first = windows.groupBy("whole", "other").agg(F.min("doc_id").alias("source"), F.min_by("pos", "doc_id").alias("at"), F.max("doc_id").alias("last"))
     first = scratch.cut(first.where("source < last").select("whole", "other", "source", F.expr(f"at div {PIECE}").cast("int").alias("piece")), "recurring")
-    scratch.release()
     wanted = windows.select("whole", "other", "doc_id", "shard").join(first.hint("shuffle_hash"), ["whole", "other"]).where("source < doc_id")
     wanted = scratch.cut(wanted.select("shard", "source", "piece").distinct(), "wanted")
-    scratch.release()
     scratch.delete(scratch.last["recurring"])
     pieces = found.select(F.col("doc_id").alias("source"), F.inline(F.arrays_zip("piece", "piece_text")))
     pieces = pieces.join(wanted, ["source", "piece"]).select("shard", F.lit(False).alias("doc"), F.col("source").alias("doc_id"), F.col("piece_text").alias("text"))

@@ -1,12 +1,13 @@
 """Written intermediate tables in the folder that all executors share.
 
 Lineage is cut by writing Parquet below ``spark.checkpoint.dir`` and reading it
-again: a lost executor costs a re-read, never a recomputation of the chain.
+again: a lost executor costs a re-read, never a recomputation of the chain. The
+shuffle files of the query that wrote a table go when the table is whole.
 """
 
 from __future__ import annotations
 
-import gc
+import contextlib
 import tempfile
 import uuid
 
@@ -29,6 +30,21 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+#: With it, Spark deletes a query's shuffle files as soon as the query has ended.
+_FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession):
+    """Queries that run inside leave no shuffle files; the session's own setting comes back afterwards."""
+    before = spark.conf.get(_FREED, None)
+    spark.conf.set(_FREED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_FREED) if before is None else spark.conf.set(_FREED, before)
+
+
 class Scratch:
     """Tables of one run of one operator, each written once under a name of its own."""
 
@@ -42,7 +58,8 @@ class Scratch:
         """Writes ``df`` and returns the table read back."""
         self.count += 1
         path = f"{self.path}/{self.count:03d}-{tag}"
-        df.write.parquet(path)
+        with shuffles_freed(self.spark):
+            df.write.parquet(path)
         self.last[tag] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -51,8 +68,3 @@ class Scratch:
         if path:
             p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-
-    def release(self) -> None:
-        """Lets Spark drop the shuffle files of finished jobs now, rather than at the driver's next full garbage collection."""
-        gc.collect()
-        self.spark._jvm.System.gc()
