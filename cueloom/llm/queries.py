@@ -15,7 +15,9 @@ from .near_dup import near_duplicates
 from .phrases import remove_repeats
 from .secrets import scan_secrets, span_digest
 from .sharding import shard_documents
+from .treap import rank_documents
 from .url_filter import judge_urls
+from .vafile import cluster_vectors
 
 #: The rules that op3 judges by.
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -97,6 +99,16 @@ def op11_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op12_va_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """40 clusters of the embeddings after five rounds."""
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))[0]
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -109,8 +121,32 @@ QUERIES = {
     "op9_chat_format": op9_chat_format,
     "op10_fuzzy_lines": op10_fuzzy_lines,
     "op11_repeated_phrases": op11_repeated_phrases,
+    "op12_va_clusters": op12_va_clusters,
+    "op13_ranked_search": op13_ranked_search,
 }
 
+
+def _cluster_sql(rounds: int = 5) -> str:
+    """Rounds of assignment and update, one after the other."""
+    nearest = """a{r} AS MATERIALIZED (
+  SELECT vec_id, row_id, any_value(x) AS x, arg_min(c, d * 64 + c) AS c, min(d)::BIGINT AS d FROM (
+    SELECT v.*, c, list_inner_product(v.x::DOUBLE[], v.x::DOUBLE[]) - 2 * list_inner_product(v.x::DOUBLE[], k.x::DOUBLE[]) + list_inner_product(k.x::DOUBLE[], k.x::DOUBLE[]) AS d FROM v, c{r} k)
+  GROUP BY vec_id, row_id)"""
+    update = """u{n} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i)::BIGINT[] AS x FROM (SELECT c, i, sum(y)::BIGINT AS s, count(*) AS n FROM (SELECT c, unnest(x) AS y, unnest(range(64)) AS i FROM a{r}) GROUP BY c, i) GROUP BY c),
+c{n} AS MATERIALIZED (SELECT k.c, coalesce(u.x, k.x) AS x FROM c{r} k LEFT JOIN u{n} u ON u.c = k.c)"""
+    steps = [t.format(r=r, n=r + 1) for r in range(rounds) for t in (nearest, update)]
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS row_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda c: isfinite(c))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), x) - 1 AS c, x FROM v ORDER BY sha256('2:' || vec_id), x LIMIT 40),
+{",\n".join(steps)},
+{nearest.format(r=rounds)}
+SELECT vec_id, a.c::INT AS cluster, d AS distance, sum(d) OVER (PARTITION BY a.c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(k.x, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} k ON k.c = a.c
+"""
+
+
 ORACLES = {
     "op2_minhash_near_dedup": r"""
 WITH RECURSIVE w AS (
@@ -227,5 +263,18 @@ c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM x JOIN m USING
 p AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
 k AS (SELECT p.doc_id, count(c.p) AS n, string_agg(word, ' ' ORDER BY p.p) FILTER (c.p IS NULL) AS kept FROM p LEFT JOIN c ON c.doc_id = p.doc_id AND c.p = p.p GROUP BY p.doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+""",
+    "op12_va_clusters": _cluster_sql(),
+    "op13_ranked_search": r"""
+WITH t AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+n AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM f GROUP BY doc_id),
+s AS (SELECT count(*) AS nn, sum(n)::BIGINT AS ll FROM n),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(nn) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM f, s GROUP BY term),
+m AS (SELECT doc_id, 100 - 50 + (50 * n * nn) // ll AS m FROM n, s),
+r AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score FROM q JOIN f USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY ALL)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0) WHERE rank <= 50
 """,
 }
