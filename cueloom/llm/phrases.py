@@ -17,6 +17,8 @@ also starts in a document with a smaller id. Work passes through four steps:
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -122,13 +124,31 @@ def candidates(docs: DataFrame, marked, width: int) -> DataFrame:
     return docs.select("doc_id", "shard", "text").mapInArrow(work, out)
 
 
-def _extend(ids: list, at: int, piece: list, off: int, tile: int) -> tuple[int, int]:
-    """The longest equal stretch around ids[at : at + tile] = piece[off : off + tile]."""
+#: Letters of a word's code.
+LETTERS = 64
+
+
+def _codes(words) -> dict:
+    """A code for each word: letters of one alphabet a place, so codes in a row match at their bounds only.
+
+    An automaton looks through the letters that may follow, so it is fast over few letters and slow over all words.
+    """
+    width = 1
+    while LETTERS**width < len(words):
+        width += 1
+    alphabets = [[chr(256 + LETTERS * place + i) for i in range(LETTERS)] for place in range(width)]
+    codes = ("".join(letters) for letters in itertools.product(*alphabets))
+    return dict(zip(words, codes)) | {None: chr(1) * width}
+
+
+def _extend(words: list, at: int, piece: list, off: int, tile: int) -> tuple[int, int]:
+    """The longest equal stretch around words[at : at + tile] = piece[off : off + tile]."""
     a, b = at, at + tile
     i, j = off, off + tile
-    while a > 0 and i > 0 and ids[a - 1] == piece[i - 1]:
+    while a > 0 and i > 0 and words[a - 1] == piece[i - 1]:
         a, i = a - 1, i - 1
-    while b < len(ids) and j < len(piece) and ids[b] == piece[j]:
+    stop = min(len(words), b + len(piece) - j)
+    while b < stop and words[b] == piece[j]:
         b, j = b + 1, j + 1
     return a, b
 
@@ -136,39 +156,41 @@ def _extend(ids: list, at: int, piece: list, off: int, tile: int) -> tuple[int,
 def _repeated(words: list, doc_id: int, shard: dict, width: int, tile: int) -> bytearray:
     """1 for each word that a stretch of ``width`` words or more of a piece of an earlier document covers."""
     gone = bytearray(len(words))
-    number = shard["words"].get
-    ids = [number(w, 0) for w in words]
-    for end, k in shard["automaton"].iter(tuple(ids)):
+    code, none = shard["codes"].get, shard["codes"][None]
+    letters = len(none)
+    for last, k in shard["automaton"].iter("".join([code(w, none) for w in words])):
+        end = last // letters
         at = end - tile + 1
-        lo, hi = max(0, at - (width - tile)), min(len(ids), end + 1 + width - tile)
+        lo, hi = max(0, at - (width - tile)), min(len(words), end + 1 + width - tile)
         if gone.count(1, lo, hi) == hi - lo:
             continue
         for source, piece, off in shard["tiles"][k]:
             if source < doc_id:
-                a, b = _extend(ids, at, piece, off, tile)
+                a, b = _extend(words, at, piece, off, tile)
                 if b - a >= width:
                     gone[a:b] = b"\x01" * (b - a)
     return gone
 
 
 def _compiled(pieces: list, tile: int) -> dict | None:
-    """The automaton over the tiles of (doc_id, text) pieces, whose words are numbered from 1."""
+    """The automaton over the tiles of (doc_id, text) pieces, in codes of their words."""
     import ahocorasick
 
-    number, places, tiles, automaton = {}, {}, [], ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for source, text in pieces:
-        ids = [number.setdefault(w, len(number) + 1) for w in text.split()]
-        for off in range(0, len(ids) - tile + 1, tile):
-            key = tuple(ids[off : off + tile])
+    split = [(source, text.split()) for source, text in pieces]
+    codes = _codes({w for _, words in split for w in words})
+    places, tiles, automaton = {}, [], ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for source, words in split:
+        for off in range(0, len(words) - tile + 1, tile):
+            key = "".join([codes[w] for w in words[off : off + tile]])
             if key not in places:
                 places[key] = len(tiles)
                 tiles.append([])
                 automaton.add_word(key, places[key])
-            tiles[places[key]].append((source, ids, off))
+            tiles[places[key]].append((source, words, off))
     if not tiles:
         return None
     automaton.make_automaton()
-    return {"words": number, "tiles": tiles, "automaton": automaton}
+    return {"codes": codes, "tiles": tiles, "automaton": automaton}
 
 
 def stream_shards(rows: DataFrame, width: int) -> DataFrame:
