@@ -46,6 +46,12 @@ def normalise(text: Column, kind: str) -> Column:
     return fold(text)
 
 
+def norm_strict(text: Column) -> Column:
+    """The strict normaliser; only texts beyond ASCII reach Python."""
+    plain = text.rlike(r"^[\x00-\x7F]*$")
+    return F.when(plain, F.regexp_replace(F.lower(text), "[^a-z0-9]", "")).otherwise(normalise(F.when(~plain, text), "strict"))
+
+
 def norm_latin(text: Column) -> Column:
     """The match normaliser for composed Latin text, by SQL functions only."""
     return F.regexp_replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), r"[^\p{L}\p{N}]", "")
