@@ -46,10 +46,18 @@ def normalise(text: Column, kind: str) -> Column:
     return fold(text)
 
 
-def norm_strict(text: Column) -> Column:
-    """The strict normaliser; only texts beyond ASCII reach Python."""
+def _by_script(text: Column, kind: str) -> Column:
+    """Texts in ASCII by SQL functions; only the others reach Python."""
     plain = text.rlike(r"^[\x00-\x7F]*$")
-    return F.when(plain, F.regexp_replace(F.lower(text), "[^a-z0-9]", "")).otherwise(normalise(F.when(~plain, text), "strict"))
+    return F.when(plain, F.regexp_replace(F.lower(text), "[^a-z0-9]", "")).otherwise(normalise(F.when(~plain, text), kind))
+
+
+def norm_strict(text: Column) -> Column:
+    return _by_script(text, "strict")
+
+
+def norm_match(text: Column) -> Column:
+    return _by_script(text, "match")
 
 
 def norm_latin(text: Column) -> Column:
