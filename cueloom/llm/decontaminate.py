@@ -7,6 +7,7 @@ import math
 import re
 from dataclasses import dataclass
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,19 +62,19 @@ def compare(item: list, answer: list, region: list) -> tuple[float, float]:
     """Best shares of the item's and its answer's words in order, over stretches of 5/4 of the item's length.
 
     ``region`` has (place, word) of the words that the item holds too; other
-    words can't be in a common subsequence.
+    words can't be in a common subsequence, so a best stretch begins at one of these.
     """
-    size, step = max(1, len(item) * 5 // 4), max(1, len(item) // 8)
+    size = max(1, len(item) * 5 // 4)
     best, at = 0, 0
     places = [p for p, _ in region]
-    for i in range(places[0], places[-1] + 1, step):
+    for i in places:
         lo, hi = bisect.bisect_left(places, i), bisect.bisect_left(places, i + size)
         if hi - lo <= best:
             continue
         got = lcs_length(item, [w for _, w in region[lo:hi]])
         if got > best:
             best, at = got, i
-    stop = at + size + step
+    stop = at + size + max(1, len(item) // 8)
     found = lcs_length(answer, [w for p, w in region if at <= p < stop]) / len(answer) if answer else 1.0
     return best / len(item), found
 
@@ -394,12 +395,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, sh
         index = build_index(docs, part, share=share)
         if not index:
             continue
-        shared = spark.sparkContext.broadcast(index)
+        shared = spark.sparkContext.broadcast(cloudpickle.dumps(index))
 
         def work(batches, shared=shared):
             import pyarrow as pa
 
-            index = shared.value
+            index = cloudpickle.loads(shared.value)
             for rb in batches:
                 data, offsets = textvec.string_buffers(rb.column(1))
                 for i, j in textvec.blocks(offsets):
@@ -422,14 +423,15 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
         index = build_index(docs, part, share=share)
         if not index:
             continue
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+        shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(index))
 
         def work(batches, shared=shared):
             import pyarrow as pa
 
+            index = cloudpickle.loads(shared.value)
             for rb in batches:
                 data, offsets = textvec.string_buffers(rb.column(at))
-                dirty = {i + g[0] for i, j in textvec.blocks(offsets) for g in shared.value.hits(data, offsets[i : j + 1], cosine, share, answer_share)}
+                dirty = {i + g[0] for i, j in textvec.blocks(offsets) for g in index.hits(data, offsets[i : j + 1], cosine, share, answer_share)}
                 yield rb.take(pa.array([n for n in range(rb.num_rows) if n not in dirty], pa.int64()))
 
         out = out.mapInArrow(work, docs.schema)
