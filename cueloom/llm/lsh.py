@@ -160,9 +160,10 @@ MET = "met long, split boolean, side boolean, node long, component long"
 def likely_members(rest: DataFrame, percent: int, apart: int, n_hashes: int = 0, batch: int = 1, miss: float = 0.0) -> DataFrame:
     """The members of blocks that may be linked with a member of another component in the block that they meet.
 
-    ``rest(bucket, node, component, blocks, sketch, n, signature)``: each bucket
-    is cut into ``blocks`` blocks by a hash of the node and every two blocks
-    meet in a task. Of the pairs there, those count whose sketches differ in
+    ``rest(bucket, node, component, main, blocks, main_blocks, sketch, n, signature)``: the members
+    outside a bucket's largest component (main) are cut into ``blocks`` blocks by a hash of the node,
+    those inside into ``main_blocks``. Every two of the first blocks meet in a task, and each of them meets each of the second.
+    Members of the largest component never meet each other, so a bucket with few members outside it makes few rows. Of the pairs there, those count whose sketches differ in
     at most ``apart`` bits and, where there are signatures, that pass the
     Bayesian batches. No pair leaves the task, only the members of such pairs,
     under a name (met) made of themselves: members that meet in several buckets
@@ -197,8 +198,10 @@ def likely_members(rest: DataFrame, percent: int, apart: int, n_hashes: int = 0,
             met = (upto[stop] - upto[first]).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(x[hit]) for x in (met, split, side, node, component)], names=["met", "split", "side", "node", "component"])
 
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    met = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    place, inside = F.xxhash64("node"), F.col("component") == F.col("main")
+    own = F.when(inside, F.col("blocks") + F.pmod(place, F.col("main_blocks"))).otherwise(F.pmod(place, F.col("blocks"))).cast("int")
+    last = F.col("blocks") + F.when(inside, 0).otherwise(F.col("main_blocks")) - 1
+    met = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     met = met.select(
         "bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).alias("side"), "node", "component", "sketch", "n", *(["signature"] if n_hashes else [])
     )
@@ -296,8 +299,10 @@ def linked_components(
     tagged = chains.select("bucket", "node", "sketch").distinct().join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     tagged = scratch.cut(tagged, "tagged")
     scratch.delete(scratch.last["chains"])
-    mixed = tagged.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo <> hi")
-    rest = tagged.join(mixed.select("bucket", F.ceil(F.col("members") / MEMBERS).cast("int").alias("blocks")), "bucket")
+    sizes = tagged.groupBy("bucket", "component").agg(F.count("*").alias("size"))
+    mixed = sizes.groupBy("bucket").agg(F.max_by("component", "size").alias("main"), F.max("size").alias("most"), F.sum("size").alias("members"), F.count("*").alias("components")).where("components > 1")
+    blocks = lambda n: F.ceil(n / MEMBERS).cast("int")
+    rest = tagged.join(mixed.select("bucket", "main", blocks(F.col("members") - F.col("most")).alias("blocks"), blocks(F.col("most")).alias("main_blocks")), "bucket")
     rest = signed(rest) if signed else rest.withColumn("n", F.lit(1))
     met = scratch.cut(likely_members(rest, percent, apart, n_hashes, batch, miss), "met")
     scratch.delete(scratch.last["tagged"])

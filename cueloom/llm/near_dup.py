@@ -21,9 +21,11 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def signatures(docs: DataFrame, k: int, bands: int, rows: int, seed: int) -> DataFrame:
-    """doc_id, n_shingles, two 64-bit digests of the shingle set, 16-bit signature (binary) and band keys."""
+    """doc_id, n_shingles, two 64-bit digests of the shingle set, SHA-256 of the text, 16-bit signature (binary) and band keys."""
 
     def work(batches):
+        import hashlib
+
         import numpy as np
         import pyarrow as pa
 
@@ -50,13 +52,14 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int, seed: int) -> Dat
                         pa.array(n.astype(np.int64)),
                         pa.array(d1.view(np.int64)),
                         pa.array(d2.view(np.int64)),
+                        pa.array([hashlib.sha256(data[a:b]).digest() for a, b in zip(offsets[i:j], offsets[i + 1 : j + 1])], pa.binary()),
                         pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), j - i, [None, pa.py_buffer(low.tobytes())]).cast(pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * bands), pa.array(keys.ravel().view(np.int64))),
                     ],
-                    names=["doc_id", "n_shingles", "d1", "d2", "signature", "band_keys"],
+                    names=["doc_id", "n_shingles", "d1", "d2", "sha", "signature", "band_keys"],
                 )
 
-    schema = "doc_id long, n_shingles long, d1 long, d2 long, signature binary, band_keys array<long>"
+    schema = "doc_id long, n_shingles long, d1 long, d2 long, sha binary, signature binary, band_keys array<long>"
     return docs.mapInArrow(work, schema)
 
 
@@ -123,7 +126,8 @@ def near_duplicates(
 
     Documents are linked when 100 * intersection >= percent * union of their
     sets of k-word shingles (A-Z folded); components are the classes of linked
-    documents and each keeps its smallest doc_id. Copies share a class from the
+    documents and each keeps its smallest doc_id. Equal texts, and texts whose
+    sets have equal digests and are equal in full, share a class from the
     start. Candidates share a band of their signatures and pass the Bayesian
     batches of ``batch`` hashes, which lose a true pair with a chance of ``miss``;
     every link is confirmed on the full sets.
@@ -137,10 +141,25 @@ def near_duplicates(
     scratch = Scratch(spark, "near-dup")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sig = scratch.cut(signatures(docs, k, bands, rows, seed), "signatures")
-    classes = scratch.cut(
-        sig.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep")), "classes"
-    )
-    reps = sig.where("n_shingles > 0").join(classes.select(F.col("rep").alias("doc_id"), "n_shingles", "d1", "d2"), ["doc_id", "n_shingles", "d1", "d2"], "left_semi")
+    text_key, set_key = ["n_shingles", "d1", "d2", "sha"], ["n_shingles", "d1", "d2"]
+
+    def confirmed(pairs: DataFrame, tag: str, least: int = percent) -> DataFrame:
+        """Links among distinct pairs(a, b)."""
+        pairs = scratch.cut(pairs, f"pairs-{tag}")
+        ids = scratch.cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"ids-{tag}")
+        texts = scratch.cut(docs.join(ids, "doc_id", "left_semi"), f"texts-{tag}")
+        full = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(
+            texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a"
+        )
+        return scratch.cut(confirm(full, k, least), f"links-{tag}")
+
+    texts = scratch.cut(sig.where("n_shingles > 0 and doc_id is not null").groupBy(*text_key).agg(F.min("doc_id").alias("own")), "texts")
+    first = scratch.cut(texts.groupBy(*set_key).agg(F.min("own").alias("rep")), "sets")
+    texts = texts.join(first, set_key)
+    equal = confirmed(texts.where("own <> rep").select(F.col("rep").alias("a"), F.col("own").alias("b")).distinct(), "equal", 100)
+    classes = texts.join(equal.select(F.col("b").alias("own"), F.col("a").alias("rep"), F.lit(True).alias("equal")).distinct(), ["own", "rep"], "left")
+    classes = scratch.cut(classes.select(*text_key, F.when(F.col("equal"), F.col("rep")).otherwise(F.col("own")).alias("rep")), "classes")
+    reps = sig.where("n_shingles > 0").join(classes.select(F.col("rep").alias("doc_id"), *set_key), ["doc_id", *set_key], "left_semi")
     reps = scratch.cut(reps.dropDuplicates(["doc_id", "d1", "d2"]), "reps")
     members = reps.select(F.explode("band_keys").alias("bucket"), F.col("doc_id").alias("node"), F.lit(0).cast("long").alias("sketch"))
 
@@ -154,16 +173,6 @@ def near_duplicates(
         )
         return bayes_prune(sized, bands * rows, percent / 100, batch, miss)
 
-    def confirmed(pairs: DataFrame, tag: str) -> DataFrame:
-        """Links among distinct pairs(a, b)."""
-        pairs = scratch.cut(pairs, f"pairs-{tag}")
-        ids = scratch.cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"ids-{tag}")
-        texts = scratch.cut(docs.join(ids, "doc_id", "left_semi"), f"texts-{tag}")
-        full = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(
-            texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a"
-        )
-        return scratch.cut(confirm(full, k, percent), f"links-{tag}")
-
     def signed(rows: DataFrame) -> DataFrame:
         return rows.join(reps.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "signature"), "node")
 
@@ -173,8 +182,8 @@ def near_duplicates(
     label = linked_components(members, scratch, percent, likely, confirmed, contents, signed=signed, n_hashes=bands * rows, batch=batch, miss=miss)
 
     return (
-        sig.select("doc_id", "n_shingles", "d1", "d2")
-        .join(classes, ["n_shingles", "d1", "d2"], "left")
+        sig.select("doc_id", *text_key)
+        .join(classes, text_key, "left")
         .withColumn("rep", F.coalesce("rep", "doc_id"))
         .join(label.select(F.col("node").alias("rep"), "component"), "rep", "left")
         .select(
