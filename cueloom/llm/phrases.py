@@ -5,8 +5,8 @@ also starts in a document with a smaller id. Work passes through four steps:
 
 1. The least hash of the nine 5-word runs inside a window is its key, so equal
    windows have equal keys and a key serves several windows in a row. Keys of two documents or more are marked in a bitmap of fixed size.
-2. Windows with a marked key are counted by their own hashes (96 bits), and
-   the first document of each is kept: these recurring passages are confirmed.
+2. Windows with a marked key are grouped by their own hashes (96 bits); those
+   that a later document holds too are the recurring passages, and the first document of each is kept.
 3. Documents are dealt into groups of a few megabytes. Each group gets the
    pieces of earlier documents that hold the windows found in it, each piece once.
 4. Each group is a shard: its pieces are cut into tiles of seven words, of
@@ -255,14 +255,14 @@ def remove_repeats(docs: DataFrame, width: int = 13, group_bytes: int = GROUP) -
 
     keys = window_keys(known, width).groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key")
     marked = bitmap(keys)
-    found = scratch.cut(candidates(known, marked, width), "candidates")
+    found = scratch.cut(candidates(known, marked, width), "candidates", "zstd")
     marked.unpersist()
     windows = found.select("doc_id", "shard", F.inline(F.arrays_zip("whole", "other", "pos")))
-    first = windows.groupBy("whole", "other").agg(F.min("doc_id").alias("source"), F.min_by("pos", "doc_id").alias("at"), F.max("doc_id").alias("last"))
-    first = scratch.cut(first.where("source < last").select("whole", "other", "source", F.expr(f"at div {PIECE}").cast("int").alias("piece")), "recurring")
+    first = windows.groupBy("whole", "other").agg(F.min("doc_id").alias("source"), F.min_by("pos", "doc_id").alias("at"))
+    first = scratch.cut(first.select("whole", "other", "source", F.expr(f"at div {PIECE}").cast("int").alias("piece")), "first", "zstd")
     wanted = windows.select("whole", "other", "doc_id", "shard").join(first.hint("shuffle_hash"), ["whole", "other"]).where("source < doc_id")
     wanted = scratch.cut(wanted.select("shard", "source", "piece").distinct(), "wanted")
-    scratch.delete(scratch.last["recurring"])
+    scratch.delete(scratch.last["first"])
     pieces = found.select(F.col("doc_id").alias("source"), F.inline(F.arrays_zip("piece", "piece_text")))
     pieces = pieces.join(wanted, ["source", "piece"]).select("shard", F.lit(False).alias("doc"), F.col("source").alias("doc_id"), F.col("piece_text").alias("text"))
     rows = docs.select("shard", F.lit(True).alias("doc"), "doc_id", F.col("text").cast("binary").alias("text")).unionByName(pieces)

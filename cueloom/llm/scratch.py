@@ -54,12 +54,12 @@ class Scratch:
         self.count = 0
         self.last: dict[str, str] = {}
 
-    def cut(self, df: DataFrame, tag: str) -> DataFrame:
+    def cut(self, df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
         """Writes ``df`` and returns the table read back."""
         self.count += 1
         path = f"{self.path}/{self.count:03d}-{tag}"
         with shuffles_freed(self.spark):
-            df.write.parquet(path)
+            df.write.option("compression", compression).parquet(path)
         self.last[tag] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
