@@ -295,6 +295,7 @@ def linked_components(
     first = chains.where("prev is not null").select(F.col("prev").alias("a"), F.col("node").alias("b")).distinct()
     links = confirm(likely(first), "chains").select(F.col("a").alias("u"), F.col("b").alias("v"))
     label = scratch.cut(connected_components(links, scratch, "cc-chains"), "labels")
+    scratch.release()
 
     tagged = chains.select("bucket", "node", "sketch").distinct().join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     tagged = scratch.cut(tagged, "tagged")
@@ -306,6 +307,7 @@ def linked_components(
     rest = signed(rest) if signed else rest.withColumn("n", F.lit(1))
     met = scratch.cut(likely_members(rest, percent, apart, n_hashes, batch, miss), "met")
     scratch.delete(scratch.last["tagged"])
+    scratch.release()
     sets = scratch.cut(contents(scratch.cut(met.select("node").distinct(), "ids-met")), "sets")
     more = confirm(spanning_links(met, sets, percent, shingled), "blocks").select(F.col("a").alias("u"), F.col("b").alias("v"))
     return connected_components(label.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), scratch, "cc-all")

@@ -161,6 +161,7 @@ def near_duplicates(
     classes = scratch.cut(classes.select(*text_key, F.when(F.col("equal"), F.col("rep")).otherwise(F.col("own")).alias("rep")), "classes")
     reps = sig.where("n_shingles > 0").join(classes.select(F.col("rep").alias("doc_id"), *set_key), ["doc_id", *set_key], "left_semi")
     reps = scratch.cut(reps.dropDuplicates(["doc_id", "d1", "d2"]), "reps")
+    scratch.release()
     members = reps.select(F.explode("band_keys").alias("bucket"), F.col("doc_id").alias("node"), F.lit(0).cast("long").alias("sketch"))
 
     def likely(pairs: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ shuffle files of the query that wrote a table go when the table is whole.
 from __future__ import annotations
 
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -68,3 +69,8 @@ class Scratch:
         if path:
             p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+    def release(self) -> None:
+        """Lets the driver forget the plans and generated classes of the queries that have ended; a long chain of queries keeps several hundred MB of them."""
+        gc.collect()
+        self.spark._jvm.System.gc()
