@@ -138,23 +138,37 @@ def proofread_summary(items: DataFrame, cues: DataFrame) -> DataFrame:
 
 
 def realign_summary(rows: DataFrame) -> DataFrame:
-    """Counts of rows(media_id, cue_id, status, method, local_status) by outcome, the failed ids in order, and the status that follows."""
+    """Counts of rows(media_id, cue_id, status, method, local_status, needs_realign) by outcome, the pending and failed ids in order, and the status that follows.
+
+    Pending is what still needs a realignment that isn't completed.
+    """
     count = lambda c, v: F.count_if(F.col(c) == v)
+    ids = lambda c: F.sort_array(F.collect_list(F.when(c, F.col("cue_id"))))
     out = rows.groupBy("media_id").agg(
         count("status", "completed").alias("completed"), count("status", "fallback").alias("fallback"), count("status", "failed").alias("failed"),
-        count("local_status", "unusable").alias("unusable"), count("local_status", "rejected").alias("rejected"), F.sort_array(F.collect_list(F.when(F.col("status") == "failed", F.col("cue_id")))).alias("failed_ids"),
+        count("local_status", "unusable").alias("unusable"), count("local_status", "rejected").alias("rejected"), ids(F.col("status") == "failed").alias("failed_ids"),
+        ids(F.coalesce("needs_realign", F.lit(False)) & (F.coalesce("status", F.lit("")) != "completed")).alias("pending_ids"),
     )
-    return out.withColumn("verdict", F.when(F.col("failed") > 0, "FAIL").when(F.col("fallback") + F.col("unusable") + F.col("rejected") > 0, "WARN").otherwise("PASS"))
+    return out.withColumn("verdict", F.when((F.col("failed") > 0) | (F.size("pending_ids") > 0), "FAIL").when(F.col("fallback") + F.col("unusable") + F.col("rejected") > 0, "WARN").otherwise("PASS"))
 
 
 def proofread_coverage(wanted: DataFrame, items: DataFrame) -> DataFrame:
-    """Of each media file the cues that are to be reviewed, those that a completed item reviewed, those left, and edits applied without evidence."""
-    done = items.where("status = 'completed'")
+    """Of each media file the cues to be reviewed, what the proofread items did of them, and the status.
+
+    FAIL: fewer cues among the items than are wanted, an item that failed, or fewer cues reviewed than
+    there are among the items. WARN: completed items without suggestions though they say something, or edits applied without evidence.
+    """
     targets = F.when(F.size("target_ids") > 0, F.col("target_ids")).otherwise(F.array("item_id"))
-    seen = done.select("media_id", F.explode(targets).alias("cue_id")).distinct().withColumn("seen", F.lit(True))
-    rows = wanted.select(*SEGMENT).distinct().join(seen, SEGMENT, "left").groupBy("media_id").agg(F.count("*").alias("wanted"), F.count("seen").alias("reviewed"))
-    bare = done.groupBy("media_id").agg(F.count_if((F.col("applied") > 0) & (F.trim("content") == "")).alias("unproved"))
-    return rows.join(bare, "media_id", "left").select("media_id", "wanted", "reviewed", (F.col("wanted") - F.col("reviewed")).alias("left"), F.coalesce("unproved", F.lit(0)).alias("unproved"))
+    asked = items.select("media_id", F.explode(targets).alias("cue_id"), (F.col("status") == "completed").alias("seen")).groupBy(*SEGMENT).agg(F.bool_or("seen").alias("seen"))
+    rows = wanted.select(*SEGMENT).distinct().withColumn("wanted", F.lit(1)).join(asked.withColumn("asked", F.lit(1)), SEGMENT, "full").groupBy("media_id").agg(
+        F.count("wanted").alias("wanted"), F.count_if(F.col("wanted").isNotNull() & F.col("seen")).alias("reviewed"), F.count("asked").alias("candidates"), F.count_if("seen").alias("completed"))
+    done = F.col("status") == "completed"
+    each = items.groupBy("media_id").agg(
+        F.count_if(F.col("status") == "failed").alias("failed"), F.count_if(done & (F.col("suggestions") == 0) & (F.trim("content") != "")).alias("unresolved"), F.count_if(done & (F.col("applied") > 0) & (F.trim("content") == "")).alias("unproved"))
+    out = rows.join(each, "media_id", "left").na.fill(0, ["failed", "unresolved", "unproved"])
+    bad = ((F.col("wanted") > 0) & (F.col("candidates") < F.col("wanted"))) | (F.col("failed") > 0) | (F.col("completed") < F.col("candidates"))
+    status = F.when(bad, "FAIL").when(F.col("unresolved") + F.col("unproved") > 0, "WARN").otherwise("PASS")
+    return out.select("media_id", "wanted", "reviewed", (F.col("wanted") - F.col("reviewed")).alias("left"), "candidates", "completed", "failed", "unresolved", "unproved", status.alias("status"))
 
 
 def align_cues_to_segments(cues: DataFrame, segments: DataFrame) -> DataFrame:
@@ -243,18 +257,21 @@ def coarse_cues(transcripts: DataFrame, shortest_ms: int = 1000, longest_ms: int
 
 
 def exact_recovery_guard(results: DataFrame, key: Callable[[Column], Column] = lambda c: normalise(c, "strict")) -> DataFrame:
-    """Whether results(media_id, cue_id, start_ms, end_ms, text, tokens, timing) may be taken as exact, else the first reason against it.
+    """Whether results(media_id, cue_id, start_ms, end_ms, text, tokens, timing, failed) may be taken as exact, else the first reason against it.
 
-    ``timing`` is the timing error of the tokens or ``ok``; neighbours are the file's other results.
+    ``timing`` is the timing error of the tokens or ``ok``. The range of the tokens must not reach into
+    the neighbouring segments, unless their own alignment ``failed``.
     """
     order = Window.partitionBy("media_id").orderBy("cue_id")
     starts = F.transform("tokens", lambda t: t["start_ms"])
-    r = results.withColumn("before", F.lag("end_ms").over(order)).withColumn("after", F.lead("start_ms").over(order))
+    counts = ~F.coalesce("failed", F.lit(False))
+    r = results.withColumn("before", F.lag(F.when(counts, F.col("end_ms"))).over(order)).withColumn("after", F.lead(F.when(counts, F.col("start_ms"))).over(order))
     r = r.withColumn("joined", key(F.array_join(F.transform("tokens", lambda t: t["token"]), " "))).withColumn("wanted", key(F.col("text")))
+    first, last = F.array_min(starts), F.array_max(F.transform("tokens", lambda t: t["end_ms"]))
     verdict = _first(
         (F.size("tokens") == 0, "no_tokens"), (F.exists("tokens", lambda t: t["end_ms"] <= t["start_ms"]), "not_positive"), (starts != F.array_sort(starts), "not_monotonic"),
         (F.exists("tokens", lambda t: (t["start_ms"] < F.col("start_ms")) | (t["end_ms"] > F.col("end_ms"))), "outside"), (F.col("timing") != "ok", "timing"),
-        (F.col("joined") != F.col("wanted"), "text_differs"), ((F.col("before") > F.col("start_ms")) | (F.col("after") < F.col("end_ms")), "neighbour_overlap"),
+        (F.col("joined") != F.col("wanted"), "text_differs"), ((first < F.col("before")) | (last > F.col("after")), "neighbour_overlap"),
         other="accepted",
     )
     return r.select(*SEGMENT, verdict.alias("verdict"))

@@ -70,9 +70,10 @@ def union_candidates(reports: dict[str, DataFrame]) -> DataFrame:
 
 
 def rank_candidates(candidates: DataFrame, k: int) -> DataFrame:
-    """The first ``k`` candidates of each media file by severity, report, start and id, each cue once, under its most urgent row."""
+    """The first ``k`` candidates of each media file by severity, report, start and id; of equal cue, times, text and type only the first report's counts."""
     order = [F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity")), F.col("report_rank"), F.col("start_ms"), F.col("cue_id"), F.col("type")]
-    once = candidates.withColumn("n", F.row_number().over(Window.partitionBy("media_id", "cue_id").orderBy(*order))).where("n = 1").drop("n")
+    same = [c for c in ("media_id", "cue_id", "start_ms", "end_ms", "text", "type") if c in candidates.columns]
+    once = candidates.withColumn("n", F.row_number().over(Window.partitionBy(*same).orderBy("report_rank", *order))).where("n = 1").drop("n")
     return once.withColumn("rank", F.row_number().over(Window.partitionBy("media_id").orderBy(*order)).cast("long")).where(F.col("rank") <= k)
 
 

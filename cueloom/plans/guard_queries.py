@@ -71,7 +71,7 @@ def items(s, f):
 def realigned(s, f):
     status = F.when(num() % 8 == 0, "failed").when(num() % 5 == 0, "fallback").otherwise("completed")
     local = F.when(num() % 7 == 0, "unusable").when(num() % 7 == 3, "rejected").otherwise("usable")
-    return d.cues(s, f).select("media_id", "cue_id", status.alias("status"), F.lit("local").alias("method"), local.alias("local_status"))
+    return d.cues(s, f).select("media_id", "cue_id", status.alias("status"), F.lit("local").alias("method"), local.alias("local_status"), (C("end_ms") - C("start_ms") > 5000).alias("needs_realign"))
 
 
 def short_segments(s, f):
@@ -110,7 +110,8 @@ def completed(s, f):
 def exact(s, f):
     t = d.tokens(s, f).where("cue_id % 6 <> 0 and (cue_id % 2 = 1 or end_ms > start_ms)").withColumn("end_ms", F.when(C("cue_id") % 5 == 0, F.greatest("end_ms", C("start_ms") + 1)).otherwise(C("end_ms")))
     errors = tk.token_timing_error(d.tokens(s, f), tq.cue_bounds(s, f)).select("media_id", "cue_id", C("error").alias("timing"))
-    return gd.exact_recovery_guard(al.nest_tokens(d.cues(s, f), t).join(errors, ["media_id", "cue_id"]))
+    rows = al.nest_tokens(d.cues(s, f), t).join(errors, ["media_id", "cue_id"])
+    return gd.exact_recovery_guard(rows.withColumn("failed", ~F.exists("tokens", lambda x: x["end_ms"] > x["start_ms"])))
 
 
 QUERIES = {
@@ -121,7 +122,7 @@ QUERIES = {
     "classify_case": cases,
     "episode_summary": lambda s, f: gd.episode_summary(sq.matches(s, f), sg.segment_warnings(d.segments(s, f))),
     "proofread_summary": lambda s, f: gd.proofread_summary(items(s, f), d.cues(s, f)),
-    "realign_summary": lambda s, f: gd.realign_summary(realigned(s, f)).withColumn("failed_ids", F.array_join("failed_ids", ",")),
+    "realign_summary": lambda s, f: gd.realign_summary(realigned(s, f)).withColumns({n: F.array_join(n, ",") for n in ("failed_ids", "pending_ids")}),
     "proofread_coverage": lambda s, f: gd.proofread_coverage(d.cues(s, f).where("(media_id + cue_id) % 4 = 1"), items(s, f)),
     "align_cues_to_segments": lambda s, f: gd.align_cues_to_segments(d.cues(s, f), short_segments(s, f)),
     "rank_for_diagnosis": to_diagnose,
@@ -178,10 +179,13 @@ ORACLES = {
   FROM (SELECT media_id, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, sum(CASE WHEN status = 'completed' THEN applied ELSE 0 END)::BIGINT AS applied, sum(CASE WHEN status = 'completed' THEN rejected ELSE 0 END)::BIGINT AS rejected,
     count(*) FILTER (status = 'failed' OR (suggestions = 0 AND NOT blank)) AS unresolved, sum(ms)::BIGINT AS elapsed FROM item GROUP BY 1)
   LEFT JOIN (SELECT media_id, count(*) AS r FROM reviewed GROUP BY 1) USING (media_id) LEFT JOIN (SELECT media_id, sum(end_ms - start_ms)::BIGINT AS ms FROM cue GROUP BY 1) USING (media_id)"""),
-    "realign_summary": q("cue", """SELECT *, CASE WHEN failed > 0 THEN 'FAIL' WHEN fallback + unusable + rejected > 0 THEN 'WARN' ELSE 'PASS' END AS verdict FROM (SELECT media_id, count(*) FILTER (n % 8 <> 0 AND n % 5 <> 0) AS completed, count(*) FILTER (n % 8 <> 0 AND n % 5 = 0) AS fallback,
+    "realign_summary": q("cue", """SELECT *, CASE WHEN failed > 0 OR pending_ids <> '' THEN 'FAIL' WHEN fallback + unusable + rejected > 0 THEN 'WARN' ELSE 'PASS' END AS verdict FROM (SELECT media_id, coalesce(string_agg(cue_id::VARCHAR, ',' ORDER BY cue_id) FILTER (end_ms - start_ms > 5000 AND (n % 8 = 0 OR n % 5 = 0)), '') AS pending_ids, count(*) FILTER (n % 8 <> 0 AND n % 5 <> 0) AS completed, count(*) FILTER (n % 8 <> 0 AND n % 5 = 0) AS fallback,
   count(*) FILTER (n % 8 = 0) AS failed, count(*) FILTER (n % 7 = 0) AS unusable, count(*) FILTER (n % 7 = 3) AS rejected, coalesce(string_agg(cue_id::VARCHAR, ',' ORDER BY cue_id) FILTER (n % 8 = 0), '') AS failed_ids FROM (SELECT *, media_id + cue_id AS n FROM cue) GROUP BY 1)"""),
-    "proofread_coverage": item_sql("""SELECT media_id, wanted, reviewed, wanted - reviewed AS left, unproved FROM (SELECT c.media_id, count(*) AS wanted, count(r.cue_id) AS reviewed FROM cue c LEFT JOIN reviewed r ON c.media_id = r.media_id AND c.cue_id = r.cue_id WHERE (c.media_id + c.cue_id) % 4 = 1 GROUP BY 1)
-  JOIN (SELECT media_id, count(*) FILTER (status = 'completed' AND applied > 0 AND blank) AS unproved FROM item GROUP BY 1) USING (media_id)"""),
+    "proofread_coverage": item_sql("""SELECT *, CASE WHEN candidates < wanted OR failed > 0 OR completed < candidates THEN 'FAIL' WHEN unresolved + unproved > 0 THEN 'WARN' ELSE 'PASS' END AS status FROM (
+  SELECT media_id, coalesce(wanted, 0) AS wanted, coalesce(reviewed, 0) AS reviewed, coalesce(wanted, 0) - coalesce(reviewed, 0) AS left, candidates, completed, failed, unresolved, unproved FROM (
+    SELECT media_id, count(DISTINCT t) AS candidates, count(DISTINCT t) FILTER (status = 'completed') AS completed FROM (SELECT media_id, status, unnest(seen) AS t FROM item) GROUP BY 1)
+  JOIN (SELECT media_id, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'completed' AND suggestions = 0 AND NOT blank) AS unresolved, count(*) FILTER (status = 'completed' AND applied > 0 AND blank) AS unproved FROM item GROUP BY 1) USING (media_id)
+  LEFT JOIN (SELECT c.media_id, count(*) AS wanted, count(r.cue_id) AS reviewed FROM cue c LEFT JOIN reviewed r ON c.media_id = r.media_id AND c.cue_id = r.cue_id WHERE (c.media_id + c.cue_id) % 4 = 1 GROUP BY 1) USING (media_id))"""),
     "align_cues_to_segments": q("cue segment", """SELECT media_id, coalesce(seg_idx, 1) AS seg_idx, coalesce(s, first) AS start_ms, coalesce(e, last) AS end_ms, cues, text FROM (
   SELECT media_id, nth, min(start_ms) AS first, max(end_ms) AS last, count(*) AS cues, string_agg(text, ' ' ORDER BY cue_id) AS text FROM (
     SELECT *, 1 + max(passed) OVER (PARTITION BY media_id ORDER BY cue_id) AS nth FROM (SELECT c.media_id, c.cue_id, any_value(c.text) AS text, any_value(c.start_ms) AS start_ms, any_value(c.end_ms) AS end_ms, count(o.media_id) AS passed
@@ -204,8 +208,9 @@ SELECT""", 1),
     "translation_payload": q("cue", """SELECT media_id, cue_id, text AS translation, n % 6 = 0 AS suspect, CASE WHEN n % 3 = 0 AND n % 5 <> 0 THEN least(n % 150 / 100.0, 1.0) ELSE 1.0 END::DOUBLE AS confidence FROM (SELECT *, media_id + cue_id AS n FROM cue)"""),
     "coarse_cues": f"""SELECT media_id, cue_id, start_ms, least(start_ms + 6000, greatest(start_ms + 1000, end_ms)) AS end_ms, wrapped AS text FROM ({q('cue', 'SELECT * FROM cue')}) JOIN ({tq.ORACLES['wrap_text']}) USING (media_id, cue_id) WHERE (media_id + cue_id) % 9 <> 0""",
     "exact_recovery_guard": q("token", f"""SELECT media_id, cue_id, CASE WHEN n IS NULL THEN 'no_tokens' WHEN empty THEN 'not_positive' WHEN back THEN 'not_monotonic' WHEN outside THEN 'outside' WHEN error <> 'ok' THEN 'timing'
-    WHEN {key('joined')} <> {key('text')} THEN 'text_differs' WHEN pe > start_ms OR fs < end_ms THEN 'neighbour_overlap' ELSE 'accepted' END AS verdict
-  FROM (SELECT *, lag(end_ms) OVER w AS pe, lead(start_ms) OVER w AS fs FROM cue WINDOW w AS (PARTITION BY media_id ORDER BY cue_id)) c JOIN (SELECT media_id, cue_id, error FROM {tq.ERRORS}) e USING (media_id, cue_id)
-  LEFT JOIN (SELECT media_id, cue_id, count(*) AS n, bool_or(e <= s) AS empty, bool_or(coalesce(s < ps, false)) AS back, bool_or(s < cue_start OR e > cue_end) AS outside, string_agg(token, ' ' ORDER BY pos) AS joined FROM (
-    SELECT *, lag(s) OVER (PARTITION BY media_id, cue_id ORDER BY pos) AS ps FROM (SELECT *, start_ms AS s, CASE WHEN cue_id % 5 = 0 THEN greatest(end_ms, start_ms + 1) ELSE end_ms END AS e FROM token WHERE cue_id % 6 <> 0 AND (cue_id % 2 = 1 OR end_ms > start_ms))) GROUP BY ALL) t USING (media_id, cue_id)"""),
+    WHEN {key('joined')} <> {key('text')} THEN 'text_differs' WHEN pe > lo OR fs < hi THEN 'neighbour_overlap' ELSE 'accepted' END AS verdict
+  FROM (SELECT *, lag(CASE WHEN fine THEN end_ms END) OVER w AS pe, lead(CASE WHEN fine THEN start_ms END) OVER w AS fs FROM cue LEFT JOIN (SELECT media_id, cue_id, count(*) AS n, bool_or(e > s) AS fine, min(s) AS lo, max(e) AS hi, bool_or(e <= s) AS empty, bool_or(coalesce(s < ps, false)) AS back,
+      bool_or(s < cue_start OR e > cue_end) AS outside, string_agg(token, ' ' ORDER BY pos) AS joined FROM (
+    SELECT *, lag(s) OVER (PARTITION BY media_id, cue_id ORDER BY pos) AS ps FROM (SELECT *, start_ms AS s, CASE WHEN cue_id % 5 = 0 THEN greatest(end_ms, start_ms + 1) ELSE end_ms END AS e FROM token WHERE cue_id % 6 <> 0 AND (cue_id % 2 = 1 OR end_ms > start_ms))) GROUP BY ALL) t USING (media_id, cue_id)
+    WINDOW w AS (PARTITION BY media_id ORDER BY cue_id)) JOIN (SELECT media_id, cue_id, error FROM {tq.ERRORS}) e USING (media_id, cue_id)"""),
 }

@@ -68,7 +68,7 @@ QUERIES = {
     "compare_runs": lambda s, f: rv.compare_runs(d.cues(s, f), d.regressed_cues(s, f)),
     "diagnostics_added": added,
     "union_candidates": candidates,
-    "rank_candidates": lambda s, f: rv.rank_candidates(candidates(s, f), 4),
+    "rank_candidates": lambda s, f: rv.rank_candidates(candidates(s, f).unionByName(candidates(s, f).withColumns({"report": F.lit("again"), "report_rank": F.lit(9)})), 4),
     "capped_samples": lambda s, f: rv.capped_samples(issues(s, f), 2).select("media_id", "cue_id", "type", "n", "total"),
     "suspect_types": lambda s, f: rv.suspect_types(suspects(s, f)).select("media_id", "cue_id", F.array_join("types", ",").alias("types")),
     "review_candidates": lambda s, f: rv.review_candidates(suspects(s, f)),
@@ -97,7 +97,7 @@ ORACLES = {
   FROM cue a LEFT JOIN cue_b b ON a.media_id = b.media_id AND a.cue_id = b.cue_id GROUP BY a.media_id)"""),
     "diagnostics_added": suspect_sql("SELECT media_id, cue_id, array_to_string(list_filter(more, lambda x: NOT list_contains(types, x)), ',') AS added FROM suspect"),
     "union_candidates": q("cue_b", f"SELECT * FROM {CANDIDATES}"),
-    "rank_candidates": q("cue_b", f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY {ORDER}) AS rank FROM (SELECT * FROM {CANDIDATES} QUALIFY row_number() OVER (PARTITION BY media_id, cue_id ORDER BY {ORDER}) = 1)) WHERE rank <= 4"),
+    "rank_candidates": q("cue_b", f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY {ORDER}) AS rank FROM {CANDIDATES}) WHERE rank <= 4"),
     "capped_samples": q("cue_b", f"SELECT * FROM (SELECT media_id, cue_id, i.t AS type, row_number() OVER (PARTITION BY media_id, i.t ORDER BY cue_id) AS n, count(*) OVER (PARTITION BY media_id, i.t) AS total FROM {ISSUES.format('cue_b')}) WHERE n <= 2"),
     "suspect_types": suspect_sql("SELECT media_id, cue_id, array_to_string(list_concat(types, list_filter(more, lambda x: NOT list_contains(types, x))), ',') AS types FROM suspect"),
     "review_candidates": suspect_sql("SELECT * FROM (SELECT media_id, cue_id, CASE WHEN flagged THEN 'flagged' WHEN len(list_filter(types, lambda x: x <> 'timing')) > 0 THEN 'type' WHEN confidence < 0.75 THEN 'confidence' END AS reason FROM suspect) WHERE reason IS NOT NULL"),

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 EVENT = "type string, segment_id bigint, seq bigint, value double, at timestamp"
 
@@ -18,20 +19,38 @@ def compact_journal(events: DataFrame, checkpoint: DataFrame | None = None) -> D
     return every.groupBy("segment_id").agg(F.max_by("type", "seq").alias("type"), F.max_by("value", "seq").alias("value"), F.max("seq").alias("seq"), F.min("seq").alias("first_seq"), F.count("*").alias("events"))
 
 
+def _versions(spark: SparkSession, table: str) -> list[int]:
+    """The versions of a table that are whole, the oldest first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/version=*/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    return sorted(int(f.getPath().getParent().getName().partition("=")[2]) for f in found)
+
+
 def compact_stream(events: DataFrame, table: str, checkpoint_dir: str):
-    """Merges each micro-batch into a table of the last event by segment, kept as one version folder for each batch."""
+    """Merges each micro-batch into a table of the last event by segment: a version folder for each batch, of which the last two stay.
+
+    A batch that is run again replaces its own version; what it merges into is the newest whole version before it.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = batch.groupBy("segment_id").agg(F.max_by(F.struct("type", "value", "seq"), "seq").alias("e")).select("segment_id", "e.*")
-        if number:
-            old = spark.read.parquet(f"{table}/version={number - 1}")
-            new = old.unionByName(new).groupBy("segment_id").agg(F.max_by(F.struct("type", "value", "seq"), "seq").alias("e")).select("segment_id", "e.*")
+        last = lambda d: d.groupBy("segment_id").agg(F.max_by(F.struct("type", "value", "seq"), "seq").alias("e")).select("segment_id", "e.*")
+        new, before = last(batch), [v for v in _versions(spark, table) if v < number]
+        if before:
+            new = last(spark.read.parquet(f"{table}/version={before[-1]}").unionByName(new))
         new.write.mode("overwrite").parquet(f"{table}/version={number}")
+        for old in before[:-1]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/version={old}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start()
 
 
+def compacted(spark: SparkSession, table: str) -> DataFrame:
+    """The newest whole version of a compacted journal."""
+    return spark.read.parquet(f"{table}/version={_versions(spark, table)[-1]}")
+
+
 def progress(events: DataFrame) -> DataFrame:
     """Done, failed and total by kind."""
     return events.groupBy("type").agg(F.count("*").alias("total"), F.count_if(F.col("value") >= 100).alias("done"), F.count_if(F.col("value") < 10).alias("failed"))
@@ -77,6 +96,64 @@ def review_state(edits: DataFrame, depth: int = 100) -> DataFrame:
     )
 
 
+class UndoStacks(StatefulProcessor):
+    """Keeps the edits of a cue that still stand, the newest last; a stack that rests for ``idle_ms`` is forgotten, its value stays."""
+
+    def __init__(self, depth: int, idle_ms: int | None):
+        self.depth, self.idle_ms = depth, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.stack = handle.getListState("stack", "revision bigint, value double")
+        self.told = handle.getValueState("told", "base double, revision bigint, edits bigint, timer bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        base, revision, edits, timer = tuple(self.told.get()) if self.told.exists() else (None, 0, 0, None)
+        stack = [tuple(x) for x in self.stack.get()] if self.stack.exists() else []
+        for r in sorted(rows, key=lambda r: r.revision):
+            revision = max(revision, r.revision)
+            if r.action == "edit":
+                edits += 1
+                stack.append((r.revision, r.value))
+                if len(stack) > self.depth:
+                    base = stack.pop(0)[1]
+            elif stack:
+                stack.pop()
+        if self.idle_ms is not None:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            timer = timerValues.getCurrentProcessingTimeInMs() + self.idle_ms
+            self.handle.registerTimer(timer)
+        self.stack.clear()
+        if stack:
+            self.stack.put(stack)
+        self.told.update((base, revision, edits, timer))
+        yield Row(cue_id=key[0], value=stack[-1][1] if stack else base, revision=revision, edits=edits, undo_depth=len(stack), dirty=edits > 0)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        base, revision, edits, _ = tuple(self.told.get())
+        stack = [tuple(x) for x in self.stack.get()] if self.stack.exists() else []
+        value = stack[-1][1] if stack else base
+        self.stack.clear()
+        self.told.update((value, revision, edits, None))
+        yield Row(cue_id=key[0], value=value, revision=revision, edits=edits, undo_depth=0, dirty=edits > 0)
+
+    def close(self) -> None:
+        pass
+
+
+def review_stream(edits: DataFrame, depth: int = 100, idle_ms: int | None = None) -> DataFrame:
+    """The stream twin of ``review_state``: each cue's value, revision, edits, undo depth and whether it was edited, after each batch with edits of it.
+
+    The standing edits are kept as state, at most ``depth`` of them; the oldest becomes the value below which no undo reaches. The
+    session needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass).
+    """
+    return edits.groupBy("cue_id").transformWithState(
+        statefulProcessor=UndoStacks(depth, idle_ms), outputStructType="cue_id bigint, value double, revision bigint, edits bigint, undo_depth int, dirty boolean",
+        outputMode="Update", timeMode="None" if idle_ms is None else "ProcessingTime",
+    )
+
+
 def run_now(stream: DataFrame, name: str, mode: str = "complete"):
     """Runs a stream over what is there and returns its rows."""
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
