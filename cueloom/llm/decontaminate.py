@@ -58,18 +58,19 @@ def lcs_length(a: list, b: list) -> int:
     return len(a) - row.bit_count()
 
 
-def compare(item: list, answer: list, region: list) -> tuple[float, float]:
+def compare(item: list, answer: list, region: list, least: int = 1) -> tuple[float, float]:
     """Best shares of the item's and its answer's words in order, over stretches of 5/4 of the item's length.
 
     ``region`` has (place, word) of the words that the item holds too; other
     words can't be in a common subsequence, so a best stretch begins at one of these.
+    Stretches of fewer than ``least`` such words aren't looked into, as they can't have as many in order.
     """
     size = max(1, len(item) * 5 // 4)
     best, at = 0, 0
     places = [p for p, _ in region]
     for i in places:
         lo, hi = bisect.bisect_left(places, i), bisect.bisect_left(places, i + size)
-        if hi - lo <= best:
+        if hi - lo <= best or hi - lo < least:
             continue
         got = lcs_length(item, [w for _, w in region[lo:hi]])
         if got > best:
@@ -200,7 +201,7 @@ class Index:
             words = h[lo:hi][places].tolist()
             if lcs_length(self.words[q], words) < share * size:
                 continue
-            got, answer = compare(self.words[q], self.answers[q], list(zip(places.tolist(), words)))
+            got, answer = compare(self.words[q], self.answers[q], list(zip(places.tolist(), words)), math.ceil(share * size - 1e-9))
             if got >= share and (answer >= answer_share or got >= 0.85):
                 if c < 0:
                     words = slice(int(begin[p]), min(int(begin[p]) + 2 * HALF, int(bounds[r + 1])))
