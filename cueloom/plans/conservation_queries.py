@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cueloom.functions.text import norm_strict
@@ -29,10 +30,10 @@ def common(s, f):
 
 
 def neighbours_common(s, f):
-    """Of the first words of neighbouring cues."""
-    c, n = d.cues(s, f), d.translated_cues(s, f)
-    j = c.select("media_id", "cue_id", F.lower("text").alias("a")).join(n.select("media_id", "cue_id", F.lower("translated").alias("b")), ["media_id", "cue_id"])
-    return j.select("media_id", "cue_id", cv.common_substring_len(C("a"), C("b")).cast("long").alias("chars"))
+    """Of each word and the next one of its cue."""
+    after = F.lead("token").over(Window.partitionBy("media_id", "cue_id").orderBy("pos"))
+    t = d.tokens(s, f).select("media_id", "cue_id", "pos", F.lower("token").alias("a"), F.lower(F.coalesce(after, F.lit(""))).alias("b"))
+    return t.select("media_id", "cue_id", "pos", cv.common_substring_len(C("a"), C("b")).cast("long").alias("chars"))
 
 
 QUERIES = {
@@ -59,6 +60,6 @@ ORACLES = {
     "text_occurrences": q("cue cue_b token", f"""SELECT DISTINCT media_id, key FROM (SELECT DISTINCT media_id, {NORM.format("token")} AS key FROM token) w
 JOIN (SELECT media_id, string_agg({NORM.format("text")}, '' ORDER BY cue_id) AS whole FROM cue_b GROUP BY media_id) USING (media_id) WHERE length(key) BETWEEN 1 AND 12 AND contains(whole, key)"""),
     "common_substring": q("cue cue_b", "SELECT media_id, cue_id, length(b.text) AS chars FROM cue JOIN cue_b b USING (media_id, cue_id)"),
-    "neighbours_common_substring": q("translated", """SELECT media_id, cue_id, coalesce(list_max(list_transform(range(1, length(a) + 1),
-  lambda i: len(list_filter(range(1, length(a) - i + 2), lambda n: contains(b, substr(a, i, n)))))), 0)::BIGINT AS chars FROM (SELECT media_id, cue_id, lower(text) AS a, lower(translated) AS b FROM translated)"""),
+    "neighbours_common_substring": q("token", """SELECT media_id, cue_id, pos, coalesce(list_max(list_transform(range(1, length(a) + 1), lambda i: len(list_filter(range(1, length(a) - i + 2), lambda n: contains(b, substr(a, i, n)))))), 0)::BIGINT AS chars
+  FROM (SELECT media_id, cue_id, pos, lower(token) AS a, lower(coalesce(lead(token) OVER (PARTITION BY media_id, cue_id ORDER BY pos), '')) AS b FROM token)"""),
 }
