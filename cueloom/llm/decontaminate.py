@@ -154,9 +154,16 @@ class Index:
             at, where = at[inside], half[inside]
             sums = np.zeros((len(begin), space.scaled.shape[1]), np.float32)
             cut = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
+            many = np.diff(np.append(cut, len(at)))
             for a in range(0, len(cut), 2048):
-                lo, hi = cut[a], cut[a + 2048] if a + 2048 < len(cut) else len(at)
-                sums[where[cut[a : a + 2048]]] = np.add.reduceat(space.scaled[at[lo:hi]], cut[a : a + 2048] - lo, axis=0)
+                # The longest halves first, so that the n-th words of all halves that have so many are added at once.
+                part = a + np.argsort(-many[a : a + 2048], kind="stable")
+                from_, left = cut[part], many[part]
+                acc = space.scaled[at[from_]]
+                for n in range(1, int(left[0])):
+                    m = int(np.searchsorted(-left, -n))
+                    acc[:m] += space.scaled[at[from_[:m] + n]]
+                sums[where[from_]] = acc
             vec = sums.copy()
             vec[joined] += sums[joined + 1]
             vec /= length
@@ -176,7 +183,8 @@ class Index:
             for w in np.unique(reach):
                 items = np.flatnonzero(reach == w)
                 end = np.minimum(np.arange(len(begin)) + w, last)
-                p, q = np.nonzero(upto[end][:, items] - upto[:-1, items] >= need[items])
+                own = upto[:, items]
+                p, q = np.nonzero(own[end] - own[:-1] >= need[items])
                 found.append((np.minimum(p + w // 2, last[p] - 1), items[q] + origin, np.full(len(p), -1.0, np.float32)))
         if not found:
             return
