@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for _name in ("interval_queries", "quality_queries", "text_queries", "stage_queries", "file_queries", "alignment_queries", "word_queries", "review_queries", "guard_queries", "building_queries", "conservation_queries", "suspect_queries"):
+for _name in ("interval_queries", "quality_queries", "text_queries", "stage_queries", "file_queries", "alignment_queries", "word_queries", "review_queries", "guard_queries", "building_queries", "conservation_queries", "suspect_queries", "rule_queries", "workdir_queries"):
     _module = importlib.import_module(f"cueloom.plans.{_name}")
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
