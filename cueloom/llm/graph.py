@@ -36,8 +36,9 @@ def connected_components(edges: DataFrame, scratch: Scratch, tag: str = "cc", ma
     """(node, component) for every node of ``edges(u, v)``; the component is its smallest node.
 
     Alternates the large-star and small-star steps until the edges are stars
-    around the smallest nodes. Each round's edges are written to the shared
-    folder, so lineage stays one round long. Minima are pre-aggregated on the
+    around the smallest nodes. Each step's rows are written to the shared
+    folder, so lineage stays one step long: in one plan, the minima would be repeated
+    for each of their uses, and the driver would hold some 40 broadcasts a round. Minima are pre-aggregated on the
     map side, and nodes of very many neighbours are joined by broadcast. Null
     ends and self loops are ignored; no edges give no rows.
     """
@@ -50,13 +51,20 @@ def connected_components(edges: DataFrame, scratch: Scratch, tag: str = "cc", ma
     state = _state(e)
     for _ in range(max_rounds if state[0] else 0):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")).select("u", F.least("u", "m").alias("m"), "degree")
-        large = _with_least(both.where("v > u"), low, 2 * state[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+        before = [scratch.last.get(tag)]
+
+        def step(df: DataFrame, name: str) -> DataFrame:
+            out = scratch.cut(df, f"{tag}-{name}")
+            before.append(scratch.last[f"{tag}-{name}"])
+            return out
+
+        low = step(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")).select("u", F.least("u", "m").alias("m"), "degree"), "low")
+        large = step(_with_least(both.where("v > u"), low, 2 * state[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"), "large")
+        low2 = step(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")), "low2")
         small = _with_least(large, low2, 2 * state[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        before = scratch.last.get(tag)
         e = scratch.cut(small.unionByName(low2.select("u", F.col("m").alias("v"))).distinct(), tag)
-        scratch.delete(before)
+        for done in before:
+            scratch.delete(done)
         now = _state(e)
         if now == state:
             break
