@@ -21,6 +21,8 @@ EDGE, RADIUS, STEPS = 13, 11, 60
 DISTANCE, AGREE = 16, 4
 #: Turns of a whole circle that matches vote for.
 TURNS = 24
+#: Least blocks that the images are dealt to, images of a block beyond that, and matches that a task counts at once.
+BLOCKS, IMAGES, MATCHES = 16, 4096, 1 << 17
 #: The edits of the query images: zoom, turn in degrees, shift of the centre as shares of the side, gain, lift, and share of the side under a banner.
 EDITS = {
     "crop 10 %": (1 / 0.9, 0, 0.04, -0.03, 0.8, 20, 0),
@@ -227,7 +229,34 @@ def descriptors(vectors: DataFrame, every: int = 0, wanted=None) -> DataFrame:
     return vectors.select("id", "v").mapInArrow(work, "id long, x float, y float, scale float, angle float, lo long, hi long, slots array<long>")
 
 
-def find_copies(queries: DataFrame, index: DataFrame, distance: int = DISTANCE, agree: int = AGREE) -> DataFrame:
+def _votes(rows, agree: int):
+    """Row, id and agreeing corners of the matches (row, id, zoom, part of a turn, qx, qy, x, y) of which ``agree`` or more fit one transform."""
+    import numpy as np
+
+    row, id, zoom, part, qx, qy, x, y = rows  # noqa: A001
+    turn, mid = np.floor(part), SIDE / 2
+    turn = np.concatenate([turn, turn + 1])
+    row, id, zoom, qx, qy, x, y = (np.tile(c, 2) for c in (row, id, zoom, qx, qy, x, y))  # noqa: A001
+    ratio, a = STEP**zoom, turn * (6.283185307179586 / TURNS)
+    corner = np.floor(qx).astype(np.int64) * 65536 + np.floor(qy).astype(np.int64)
+    qx, qy = qx - mid, qy - mid
+    sx = x - mid - ratio * (np.cos(a) * qx - np.sin(a) * qy)
+    sy = y - mid - ratio * (np.sin(a) * qx + np.cos(a) * qy)
+    ways = lambda v: np.stack([np.floor(v), np.floor(v + 0.5) + 100000])
+    cells = [np.broadcast_to(c, (2, 2, 2, len(row))).ravel() for c in (row, id, np.mod(turn, TURNS), ways(zoom / 2)[:, None, None], ways(sx / 16)[None, :, None], ways(sy / 16)[None, None, :], corner)]
+    cells = np.stack([c.astype(np.int64) for c in cells])
+    cells = cells[:, np.lexsort(cells[::-1])]
+    new = np.concatenate([[True], (cells[:, 1:] != cells[:, :-1]).any(axis=0)]) if cells.shape[1] else np.zeros(0, bool)
+    cells = cells[:6, new]
+    start = np.flatnonzero(np.concatenate([[True], (cells[:, 1:] != cells[:, :-1]).any(axis=0)])) if cells.shape[1] else np.zeros(0, np.int64)
+    many, pair = np.diff(np.append(start, cells.shape[1])), cells[:2, start]
+    first = np.flatnonzero(np.concatenate([[True], (pair[:, 1:] != pair[:, :-1]).any(axis=0)])) if len(start) else start
+    most = np.maximum.reduceat(many, first) if len(first) else many
+    keep = most >= agree
+    return pair[0, first][keep], pair[1, first][keep], most[keep]
+
+
+def find_copies(queries: DataFrame, index: DataFrame, distance: int = DISTANCE, agree: int = AGREE, blocks: int = BLOCKS) -> DataFrame:
     """(query, id, agreeing): pairs of images of which ``agree`` or more corners match and fit one similarity transform.
 
     Descriptors meet in TABLES tables of 24 tests each, so every pair of
@@ -235,31 +264,54 @@ def find_copies(queries: DataFrame, index: DataFrame, distance: int = DISTANCE,
     others meet where one table agrees, and each pair in its first such table; matches differ in ``distance`` tests at
     most. Each match votes for its turn (the two nearest of TURNS), zoom and shift, in overlapping cells;
     a corner of the query counts once in a cell, and the fullest cell counts.
+
+    The images are dealt to ``blocks``; a block's descriptors of a slot are one row, and a query's matches
+    with a block are counted in one task. So near copies meet a query as a block, not one by one: rows
+    grow with the number of blocks, and only comparisons inside a task with the number of pairs.
     """
     q = queries.select(F.explode("slots").alias("slot"), F.col("id").alias("query"), *(F.col(c).alias(f"q{c}") for c in ("x", "y", "scale", "angle", "lo", "hi")))
-    d = index.select(F.explode("slots").alias("slot"), "id", "x", "y", "scale", "angle", "lo", "hi")
-    apart = F.bit_count(F.col("qlo").bitwiseXOR(F.col("lo"))) + F.bit_count(F.col("qhi").bitwiseXOR(F.col("hi")))
-    x, y, table = F.col("qlo").bitwiseXOR(F.col("lo")), F.col("qhi").bitwiseXOR(F.col("hi")), F.shiftright("slot", BITS)
-    part = lambda v, down, bits: F.shiftright(v, down).bitwiseAND(F.lit((1 << bits) - 1)) == 0
-    agree_in = [part(x, 0, 24), part(x, 24, 24), part(x, 48, 12) & part(y, 0, 12), part(y, 12, 24)]
-    again = F.lit(False)
-    for t, same in enumerate(agree_in):
-        again = again | ((table > t) & same)
-    met = q.join(d, "slot").where((apart <= distance) & ~again)
-    zoom = F.col("scale") - F.col("qscale")
-    part = (F.col("angle") - F.col("qangle")) / 6.283185307179586 * TURNS
-    met = met.withColumn("turn", F.explode(F.array(F.floor(part), F.floor(part) + 1)))
-    ratio, a = F.pow(F.lit(STEP), zoom), F.col("turn") * (6.283185307179586 / TURNS)
-    qx, qy, mid = F.col("qx") - SIDE / 2, F.col("qy") - SIDE / 2, SIDE / 2
-    sx = F.col("x") - mid - ratio * (F.cos(a) * qx - F.sin(a) * qy)
-    sy = F.col("y") - mid - ratio * (F.sin(a) * qx + F.cos(a) * qy)
-    cell = lambda v, w: F.array(F.floor(v / w), F.floor(v / w + 0.5) + 100000)
-    corner = F.floor("qx") * 65536 + F.floor("qy")
-    votes = met.select("query", "id", corner.alias("corner"), F.pmod("turn", F.lit(TURNS)).alias("turn"), F.array(F.floor(zoom / 2), F.floor((zoom + 1) / 2) + 1000).alias("zoom"), cell(sx, 16.0).alias("cx"), cell(sy, 16.0).alias("cy"))
-    for axis in ("zoom", "cx", "cy"):
-        votes = votes.withColumn(axis, F.explode(axis))
-    counts = votes.groupBy("query", "id", "turn", "zoom", "cx", "cy", "corner").agg(F.lit(1).alias("one")).groupBy("query", "id", "turn", "zoom", "cx", "cy").agg(F.sum("one").alias("agreeing"))
-    return counts.groupBy("query", "id").agg(F.max("agreeing").alias("agreeing")).where(F.col("agreeing") >= agree)
+    d = index.select(F.explode("slots").alias("slot"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.struct("id", "x", "y", "scale", "angle", "lo", "hi").alias("d"))
+    d = d.groupBy("slot", "block").agg(F.collect_list("d").alias("met"))
+
+    def matches(d: Column) -> Column:
+        x, y, table = F.col("qlo").bitwiseXOR(d.lo), F.col("qhi").bitwiseXOR(d.hi), F.shiftright("slot", BITS)
+        part = lambda v, down, bits: F.shiftright(v, down).bitwiseAND(F.lit((1 << bits) - 1)) == 0
+        again = F.lit(False)
+        for t, same in enumerate([part(x, 0, 24), part(x, 24, 24), part(x, 48, 12) & part(y, 0, 12), part(y, 12, 24)]):
+            again = again | ((table > t) & same)
+        return (F.bit_count(x) + F.bit_count(y) <= distance) & ~again
+
+    def count(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for rb in batches:
+            if not rb.num_rows:
+                continue
+            corners = rb.column(1).flatten()  # a query's corners, each with its matches
+            per_row = np.diff(rb.column(1).offsets.to_numpy())
+            met = corners.field("met")
+            per_corner = np.diff(met.offsets.to_numpy())
+            met = met.flatten()
+            q = {c: np.repeat(corners.field(f"q{c}").to_numpy(), per_corner) for c in ("x", "y", "scale", "angle")}
+            d = {c: met.field(c).to_numpy() for c in ("id", "x", "y", "scale", "angle")}
+            row = np.repeat(np.repeat(np.arange(rb.num_rows), per_row), per_corner)
+            zoom = (d["scale"] - q["scale"]).astype(np.float64)
+            part = (d["angle"] - q["angle"]).astype(np.float64) / 6.283185307179586 * TURNS
+            # rows at a time, so that a batch of many matches doesn't swell the worker
+            upto = np.searchsorted(row, np.arange(rb.num_rows + 1))
+            at = 0
+            while at < rb.num_rows:
+                to = max(at + 1, int(np.searchsorted(upto, upto[at] + MATCHES, side="right")) - 1)
+                s = slice(upto[at], upto[to])
+                own, ids, most = _votes([row[s], d["id"][s], zoom[s], part[s], *(c[s].astype(np.float64) for c in (q["x"], q["y"], d["x"], d["y"]))], agree)
+                yield pa.RecordBatch.from_arrays([rb.column(0).take(pa.array(own)), pa.array(ids), pa.array(most.astype(np.int64))], names=["query", "id", "agreeing"])
+                at = to
+
+    met = q.join(d.withColumnRenamed("slot", "there"), (F.col("slot") == F.col("there")) & F.exists("met", matches))
+    hit = F.transform(F.filter("met", matches), lambda e: F.struct(*(e[c].alias(c) for c in ("id", "x", "y", "scale", "angle"))))
+    rows = met.groupBy("query", "block").agg(F.collect_list(F.struct("qx", "qy", "qscale", "qangle", hit.alias("met"))).alias("corners"))
+    return rows.select("query", "corners").mapInArrow(count, "query long, id long, agreeing long")
 
 
 def edited_copies(embeddings: DataFrame, every: int = 50) -> DataFrame:
@@ -293,7 +345,8 @@ def edited_copies(embeddings: DataFrame, every: int = 50) -> DataFrame:
     queries = scratch.cut(descriptors(asked.repartition(shuffles, "id"), every), "queries")
     wanted = bitmap(queries.select(F.explode("slots").alias("key")))
     index = descriptors(reps.repartition(shuffles, "id"), wanted=wanted)
-    found = scratch.cut(find_copies(queries, index), "found")
+    blocks = max(BLOCKS, -(-classes.count() // IMAGES))
+    found = scratch.cut(find_copies(queries, index, blocks=blocks), "found")
     edit = F.element_at(F.array(*map(F.lit, EDITS)), (F.floor(F.col("query_id") / every) % len(EDITS)).cast("int") + 1)
     sized = found.join(classes.select(F.col("rep").alias("id"), "copies"), "id")
     best = sized.groupBy(F.col("query").alias("query_id")).agg(F.max(F.struct("agreeing", (-F.col("id")).alias("under"))).alias("best"), F.count("*").alias("n_reps"), F.sum("copies").alias("copies"))
