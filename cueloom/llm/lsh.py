@@ -236,9 +236,10 @@ def spanning_links(met: DataFrame, sets: DataFrame, percent: int, shingled: Call
                 _, word = np.unique(values[offsets[i] : offsets[j]], return_inverse=True)
                 row = np.repeat(np.arange(j - i), sizes)
                 both = np.zeros((j - i, j - i), np.float32)
-                for first in range(0, int(word.max()) + 1 if len(word) else 0, 8192):
+                words = int(word.max()) + 1 if len(word) else 0
+                for first in range(0, words, 8192):
                     part = (word >= first) & (word < first + 8192)
-                    cells = np.zeros((j - i, 8192), np.float32)
+                    cells = np.zeros((j - i, min(8192, words - first)), np.float32)
                     cells[row[part], word[part] - first] = 1
                     both += cells @ cells.T
                 union = sizes[:, None] + sizes[None, :] - both

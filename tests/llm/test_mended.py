@@ -122,3 +122,23 @@ print("all by value")
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     got = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
     assert "all by value" in got.stdout, got.stderr[-2000:]
+
+
+def test_only_members_of_recurring_buckets_of_lines_are_sorted(spark):
+    """Every member of a bucket with two different lines is there, and hardly any other."""
+    import struct
+    from collections import defaultdict
+
+    from cueloom.llm.fuzzy_lines import line_keys, recurring_members
+
+    texts = [(i, i, "\n".join(f"line {(i * 7 + j * j) % 90} of {j % 3} has {'some' if i % 4 else 'more'} words {i * j * 7919}" for j in range(6)) + "\nsame in all\n \n") for i in range(120)]
+    table = line_keys(spark.createDataFrame([*texts, (900, 900, ""), (901, 901, None)], "row long, doc_id long, text string").repartition(5)).persist()
+    nodes = defaultdict(set)
+    for r in table.where("length(keys) > 0").collect():
+        for band, key in enumerate(struct.unpack("<14I", r["keys"])):
+            nodes[band << 32 | key].add(r.node)
+    got = {(r.bucket, r.node) for r in recurring_members(table).collect()}
+    want = {(b, n) for b, found in nodes.items() if len(found) > 1 for n in found}
+    alone = {(b, n) for b, found in nodes.items() if len(found) == 1 for n in found}
+    assert want and want <= got <= want | alone and len(got - want) < 0.01 * len(alone)
+    assert recurring_members(table.where("line_no is null")).count() == 0
