@@ -6,8 +6,11 @@ equal cues are anchors, and only the stretches between anchors are compared char
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import deque
 from collections.abc import Callable
 from difflib import SequenceMatcher
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -245,31 +248,61 @@ def common_substring_len(a: Column, b: Column) -> Column:
     return F.when(inside, F.least(F.length(a), F.length(b))).otherwise(F.coalesce(work(F.when(~inside, a), F.when(~inside, b)), F.lit(0)))
 
 
-def normalised_span(text: str, wanted: str) -> tuple[int, int] | None:
-    """Where a text says ``wanted`` (strictly normalised), with the signs after it; None if nowhere.
+def normalised_places(text: str, seen: dict | None = None) -> tuple[str, list[int]]:
+    """The strictly normalised text and the source character of each of its characters; ``seen`` keeps characters from text to text."""
+    seen = {} if seen is None else seen
+    norms = []
+    for c in text:
+        if c not in seen:
+            seen[c] = _keep(c, ())
+        norms.append(seen[c])
+    return "".join(norms), [i for i, n in enumerate(norms) for _ in n]
+
+
+def span_within(whole: str, places: list[int], wanted: str, i: int, k: int) -> tuple[int, int] | None:
+    """Where characters i to k of a text with these ``normalised_places`` say ``wanted``, with the signs after it; None if nowhere.
 
-    Each normalised character remembers its source character; a match must begin and end with whole source characters.
+    A match must begin and end with whole source characters.
     """
-    norms = [_keep(c, ()) for c in text]
-    places = [i for i, n in enumerate(norms) for _ in n]
-    whole, at = "".join(norms), -1
-    while wanted and (at := whole.find(wanted, at + 1)) >= 0:
+    first, last = bisect_left(places, i), bisect_left(places, k)
+    at = first - 1
+    while wanted and (at := whole.find(wanted, at + 1, last)) >= 0:
         stop = at + len(wanted)
-        if (at == 0 or places[at] != places[at - 1]) and (stop == len(places) or places[stop] != places[stop - 1]):
-            return places[at], places[stop] if stop < len(places) else len(text)
+        if (at == first or places[at] != places[at - 1]) and (stop == last or places[stop] != places[stop - 1]):
+            return places[at], places[stop] if stop < last else k
     return None
 
 
-def split_at_answer(part: tuple, start: int, end: int, wanted: str) -> list[tuple]:
-    """A part (text, start, end) cut at a protected answer that it holds."""
-    text, a, b = part
-    span = normalised_span(text, wanted) if a <= start and end <= b else None
-    if span is None:
-        return [part]
-    before, after = text[: span[0]], text[span[1] :]
-    out = [(before, a, start)] if before.strip() and start > a else []
-    out.append((text[span[0] : span[1]], start, max(start + 1, end)))
-    return out + ([(after, end, b)] if after.strip() and b > end else [])
+def normalised_span(text: str, wanted: str) -> tuple[int, int] | None:
+    """Where a text says ``wanted`` (strictly normalised), with the signs after it; None if nowhere."""
+    return span_within(*normalised_places(text), wanted, 0, len(text))
+
+
+def split_at_answers(text: str, start: int, end: int, answers: list[tuple], seen: dict | None = None) -> list[tuple]:
+    """The parts (text, start, end) of a cue cut at the protected answers (start, end, wanted), sorted by start, that its parts hold.
+
+    The cue is normalised once and parts are its stretches. First parts that end before all answers to come are left aside.
+    """
+    whole, places = normalised_places(text, seen)
+    to_come = [*accumulate((min(s, e) for s, e, _ in reversed(answers)), min)][::-1]
+    done, parts = [], deque([(0, len(text), start, end)])
+    for (s, e, wanted), least in zip(answers, to_come):
+        while parts and parts[0][3] < least:
+            done.append(parts.popleft())
+        cut = deque()
+        for i, k, a, b in parts:
+            span = span_within(whole, places, wanted, i, k) if a <= s and e <= b else None
+            if span is None:
+                cut.append((i, k, a, b))
+                continue
+            x, y = span
+            if text[i:x].strip() and s > a:
+                cut.append((i, x, a, s))
+            cut.append((x, y, s, max(s + 1, e)))
+            if text[y:k].strip() and b > e:
+                cut.append((y, k, e, b))
+        parts = cut
+    return [(text[i:k], a, b) for i, k, a, b in [*done, *parts]]
 
 
 def protect_answers(cues: DataFrame, answers: DataFrame) -> DataFrame:
@@ -278,23 +311,28 @@ def protect_answers(cues: DataFrame, answers: DataFrame) -> DataFrame:
     Where a cut would lose content, all cues of the file stay as they are.
     """
     c = cues.select("media_id", "cue_id", "start_ms", "end_ms", "text")
-    held = overlap_join(c, answers.select("media_id", F.col("start_ms"), F.col("end_ms"), F.col("text").alias("r_text")), 0, closed=True)
-    held = held.where("start_ms <= r_start and r_end <= end_ms and end_ms > start_ms").withColumn("wanted", norm_strict(F.col("r_text"))).where("wanted <> ''")
+    said = answers.select("media_id", "start_ms", "end_ms", norm_strict(F.col("text")).alias("wanted"))
+    held = overlap_join(c, said, 0, closed=True).where("start_ms <= r_start and r_end <= end_ms and end_ms > start_ms")
     items = held.groupBy("media_id", "cue_id").agg(F.array_sort(F.collect_list(F.struct(F.col("r_start").alias("s"), F.col("r_end").alias("e"), "wanted"))).alias("items"))
 
     @F.pandas_udf("array<struct<text string, s long, e long>>")
     def cut(text: pd.Series, s: pd.Series, e: pd.Series, items: pd.Series) -> pd.Series:
+        seen: dict = {}
+
         def one(t, a, b, found):
-            parts = [(t, a, b)]
-            for x in found:
-                parts = [p for part in parts for p in split_at_answer(part, x["s"], x["e"], x["wanted"])]
+            if t is None or found is None:
+                return None
+            parts = split_at_answers(t, a, b, [(x["s"], x["e"], x["wanted"]) for x in found], seen)
             return [{"text": t, "s": a, "e": max(b, a + 1)} for t, a, b in parts if t.strip()]
 
         return pd.Series([one(*x) for x in zip(text, s, e, items)])
 
-    done = c.join(items, ["media_id", "cue_id"]).withColumn("parts", cut("text", "start_ms", "end_ms", "items"))
+    # the cut is made once: a window tells whether any cue of the file would lose content
+    done = c.join(items, ["media_id", "cue_id"], "left").withColumn("parts", cut("text", "start_ms", "end_ms", "items")).drop("items")
     same = norm_strict(F.array_join(F.transform("parts", lambda p: p["text"]), "")) == norm_strict(F.col("text"))
-    bad = done.where(~same).select("media_id").distinct()
-    done = done.where("size(parts) > 1").join(bad, "media_id", "left_anti").select("media_id", "cue_id", F.posexplode("parts").alias("part", "p"))
-    kept = c.join(done.select("media_id", "cue_id").distinct(), ["media_id", "cue_id"], "left_anti").select("media_id", "cue_id", F.lit(0).alias("part"), "start_ms", "end_ms", "text")
-    return kept.unionByName(done.select("media_id", "cue_id", "part", F.col("p.s").alias("start_ms"), F.col("p.e").alias("end_ms"), F.col("p.text").alias("text")))
+    done = done.withColumn("bad", F.col("parts").isNotNull() & ~same)
+    done = done.withColumn("bad", F.bool_or("bad").over(Window.partitionBy("media_id")))
+    whole = F.array(F.struct("text", F.col("start_ms").alias("s"), F.col("end_ms").alias("e")))
+    done = done.withColumn("parts", F.when((F.size("parts") > 1) & ~F.col("bad"), F.col("parts")).otherwise(whole))
+    done = done.select("media_id", "cue_id", F.posexplode("parts").alias("part", "p"))
+    return done.select("media_id", "cue_id", "part", F.col("p.s").alias("start_ms"), F.col("p.e").alias("end_ms"), F.col("p.text").alias("text"))

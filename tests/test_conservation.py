@@ -1,6 +1,7 @@
 """Aligned lists, kept and lost content, protected answers: against tables, whole texts and plain loops."""
 
 import random
+import time
 from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
@@ -113,3 +114,20 @@ def test_protected_answers(spark):
         (1, 1, 0, 1000, "では、"), (1, 1, 1000, 1400, "はい。"), (1, 1, 1400, 4500, "行くよ、"), (1, 1, 4500, 5000, "うん"), (1, 2, 5000, 6000, "はい"),
         # the cut of file 2 would lose what stands before the answer, so nothing is cut there
         (2, 1, 0, 4000, "前はい"), (3, 1, 0, 1000, "ただの文")]
+
+
+def test_many_answers_in_a_long_cue(spark):
+    # each answer used to normalise the cue anew, four times over: minutes for this cue
+    words = [f"Wort{i}ß" for i in range(3000)]
+    c = [(1, 1, 0, 30_000, " ".join(words)), (1, 2, 30_000, 31_000, "rest")]
+    p = [(1, i * 10, i * 10 + 10, w) for i, w in enumerate(words) if i % 2]
+    began = time.time()
+    got = cv.protect_answers(spark.createDataFrame(c, CUES), spark.createDataFrame(p, "media_id long, start_ms long, end_ms long, text string")).orderBy("cue_id", "part").collect()
+    assert time.time() - began < 20
+    assert [r.text.strip() for r in got] == [*words, "rest"] and [r.start_ms for r in got] == [i * 10 for i in range(3000)] + [30_000]
+
+
+def test_answers_before_and_after_what_is_cut():
+    assert cv.split_at_answers("a b c", 0, 9, [(0, 3, "a"), (3, 6, "b"), (6, 6, "c")]) == [("a ", 0, 3), ("b ", 3, 6), ("c", 6, 7)]
+    # the first of equal words is taken in the part that holds the time; an answer that nothing says cuts nothing
+    assert cv.split_at_answers("ja x ja", 0, 9, [(2, 3, "y"), (4, 6, "x"), (7, 9, "ja")]) == [("ja ", 0, 4), ("x ", 4, 6), ("ja", 7, 9)]
