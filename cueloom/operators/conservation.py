@@ -140,18 +140,26 @@ def stage_retention(source: DataFrame, target: DataFrame, least: float = 0.90) -
     return out.withColumn("status", F.when((F.col("chars") > 0) & (F.col("retention") < least), "FAIL").otherwise("PASS"))
 
 
-def occurs_in(wanted: DataFrame, stage: DataFrame, longest: int = 12) -> DataFrame:
+def occurs_in(wanted: DataFrame, stage: DataFrame, longest: int = 12, block: int = 512) -> DataFrame:
     """The distinct rows of ``wanted(media_id, key)``, of at most ``longest`` characters, that stand in the stage's normalised text, over cue boundaries too.
 
-    Each cue is extended by what follows it; its stretches of the wanted lengths are joined as keys, so no text is searched for all of them.
+    Keys that are whole words of the stage, in ASCII, are found by grouping. Only the others are sought in the cues of their file, ``block`` of them
+    at a time; each cue is extended by the beginning of what follows it.
     """
+    words = stage.select("media_id", F.explode(F.split("text", r"\s+")).alias("word")).where(F.col("word").rlike(r"^[\x00-\x7F]+$"))
+    words = words.select("media_id", F.regexp_replace(F.lower("word"), "[^a-z0-9]", "").alias("key"), F.lit(False).alias("wanted"), F.lit(True).alias("there"))
+    keys = wanted.select("media_id", "key", F.lit(True).alias("wanted"), F.lit(False).alias("there")).unionByName(words).where("media_id is not null")
+    # the length is an aggregate so that its filter doesn't have the keys normalised twice
+    keys = keys.groupBy("media_id", "key").agg(F.max("wanted").alias("wanted"), F.max("there").alias("there"), F.max(F.length("key")).alias("size")).where(F.col("wanted") & F.col("size").between(1, longest))
+
+    nth = F.row_number().over(Window.partitionBy("media_id").orderBy("key"))
+    rest = keys.where("not there").withColumn("part", F.floor((nth - 1) / block)).groupBy("media_id", "part").agg(F.collect_list("key").alias("keys"))
     order = Window.partitionBy("media_id").orderBy("cue_id")
     s = stage.select("media_id", "cue_id", norm_match(F.col("text")).alias("key")).where("key <> ''")
-    after = F.array_join(F.collect_list("key").over(order.rowsBetween(1, longest - 1)), "")
-    s = s.select("media_id", F.length("key").alias("own"), F.concat("key", F.substring(after, 1, longest - 1)).alias("text"))
-    sizes = wanted.select("media_id", F.length("key").alias("size")).where(F.col("size").between(1, longest)).distinct()
-    at = s.join(sizes, "media_id").where("length(text) >= size").withColumn("at", F.explode(F.sequence(F.lit(1), F.least("own", F.length("text") - F.col("size") + 1))))
-    return wanted.join(at.select("media_id", F.expr("substring(text, at, size)").alias("key")), ["media_id", "key"], "left_semi").distinct()
+    after = F.array_join(F.collect_list(F.left("key", F.lit(longest - 1))).over(order.rowsBetween(1, longest - 1)), "")
+    s = s.select("media_id", F.concat("key", F.left(after, F.lit(longest - 1))).alias("text"))
+    sought = s.join(rest, "media_id").select("media_id", F.explode(F.filter("keys", lambda k: F.contains("text", k))).alias("key")).distinct()
+    return keys.where("there").select("media_id", "key").unionByName(sought)
 
 
 def repeats_at_boundaries(cues: DataFrame) -> DataFrame:

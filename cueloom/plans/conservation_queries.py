@@ -41,7 +41,7 @@ QUERIES = {
     "stage_anchors": lambda s, f: cv.anchors(d.cues(s, f), d.regressed_cues(s, f)),
     "stage_retention": lambda s, f: cv.stage_retention(d.cues(s, f), d.regressed_cues(s, f)),
     "content_conservation": lambda s, f: cv.content_conservation(d.cues(s, f), d.regressed_cues(s, f), ("split", "proofread"), responses=("de", "la", "the", "und")),
-    "text_occurrences": lambda s, f: cv.occurs_in(d.tokens(s, f).select("media_id", norm_strict(C("token")).alias("key")).where("key <> ''").distinct(), d.regressed_cues(s, f)),
+    "text_occurrences": lambda s, f: cv.occurs_in(d.tokens(s, f).select("media_id", "token").distinct().select("media_id", norm_strict(C("token")).alias("key")), d.regressed_cues(s, f)),
     "protect_answers": lambda s, f: cv.protect_answers(d.cues(s, f), word_answers(s, f)),
     "common_substring": common,
     "neighbours_common_substring": neighbours_common,

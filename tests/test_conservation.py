@@ -78,6 +78,21 @@ def test_occurrences_over_cue_boundaries(spark):
     assert sorted((r.media_id, r.key) for r in cv.occurs_in(w, s).collect()) == [(1, "abcd"), (1, "cdef"), (1, "f"), (2, "abcdef")]
 
 
+def test_occurrences_are_those_of_whole_texts(spark):
+    rnd = random.Random(21)
+    files = {m: ["".join(rnd.choice(["ab", "c", "de", "É", "ﬁ", "雨", " ", ". "]) for _ in range(rnd.randrange(0, 9))) for _ in range(12)] for m in range(8)}
+    rows = [(m, i, i, i + 1, t) for m, x in files.items() for i, t in enumerate(x)]
+    wanted = {(m, "".join(rnd.choice("abcdeéfi雨") for _ in range(rnd.randrange(0, 5)))) for m in range(9) for _ in range(60)}
+    for m, x in files.items():
+        whole = "".join(_keep(t, ()) for t in x)
+        wanted |= {(m, whole[i : i + n]) for i, n in ((rnd.randrange(len(whole)), rnd.randrange(1, 16)) for _ in range(40))} | {(m, _keep(w, ())) for t in x for w in t.split()}
+        files[m] = whole
+    want = {(m, k) for m, k in wanted if 1 <= len(k) <= 12 and k in files.get(m, "")}
+    # few keys at a time, so that a file has several blocks of keys
+    got = [tuple(r) for r in cv.occurs_in(spark.createDataFrame([*wanted, *wanted], "media_id long, key string"), spark.createDataFrame(rows, CUES), block=7).select("media_id", "key").collect()]
+    assert set(got) == want and len(got) == len(want) > 200
+
+
 def test_lost_content(spark):
     a = [(1, 1, 0, 1000, "はい。今日は雨が降っています"), (1, 2, 1000, 2000, "うん"), (1, 3, 7000, 7500, "川の道"), (1, 4, 10000, 12000, "山の上に月が出ています"), (1, 5, 20000, 21000, "ううん"), (1, 6, 30000, 31000, "長い道")]
     b = [(1, 1, 0, 1000, "今日は雨が降っています"), (1, 4, 10000, 12000, "山の上に月が出ています"), (1, 7, 12100, 13000, "出ています"), (1, 8, 15000, 16000, "うん"), (1, 9, 20000, 21000, "いや")]
