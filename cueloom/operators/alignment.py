@@ -143,6 +143,122 @@ def sentence_units(cues: DataFrame) -> DataFrame:
     return u.select("media_id", "cue_id", F.col("i").cast("long").alias("unit_no"), start.alias("start_ms"), F.col("end2").alias("end_ms"), F.regexp_replace("unit", r"[.。！？!?…]+$", "").alias("text"))
 
 
+def shared_run(a: str, b: str, least: int) -> tuple[int, int, int] | None:
+    """The longest common stretch (start in a, start in b, length) of two texts if it has 2 * least - 1 characters, the first in a and then in b of equal ones.
+
+    Such a stretch holds one of the blocks of ``least`` characters that a is cut into. Where blocks recur
+    so often that following them all would take long, the answer is that of ``longest_run``, which may be shorter.
+    """
+    blocks: dict[str, list[int]] = {}
+    for i in range(0, len(a) - least + 1, least):
+        blocks.setdefault(a[i : i + least], []).append(i)
+    best, met, reach = (0, 0, 0), 0, {}
+    for k in range(len(b) - least + 1):
+        for i in blocks.get(b[k : k + least], ()):
+            met += 1
+            if met > 4 * (len(a) + len(b)):
+                return longest_run(a, b)
+            # places of one diagonal that a found stretch covers lead to the same stretch
+            if reach.get(i - k, -1) <= i:
+                x, n = shared_start(a, i, b, k), shared_end(a, i, b, k)
+                reach[i - k] = i + n
+                best = max(best, (x + n, x - i, x - k))
+    return (-best[1], -best[2], best[0]) if best[0] >= 2 * least - 1 else None
+
+
+def shared_end(a: str, i: int, b: str, k: int) -> int:
+    """How many characters two texts share from a[i] and b[k] on: growing, then shrinking steps."""
+    n, step = 0, 64
+    while step:
+        x = a[i + n : i + n + step]
+        if len(x) == step and x == b[k + n : k + n + step]:
+            n, step = n + step, step * 2
+        else:
+            step //= 2
+    return n
+
+
+def shared_start(a: str, i: int, b: str, k: int) -> int:
+    """How many characters two texts share before a[i] and b[k]."""
+    n, step = 0, 64
+    while step:
+        if n + step <= min(i, k) and a[i - n - step : i - n] == b[k - n - step : k - n]:
+            n, step = n + step, step * 2
+        else:
+            step //= 2
+    return n
+
+
+def longest_run(a: str, b: str) -> tuple[int, int, int] | None:
+    """The longest common stretch of any length, in memory that grows with the lengths.
+
+    Stretches are numbered by the numbers of their halves, and only those that both texts
+    have are doubled; the greatest length lies between two doublings and is found by halving.
+    """
+    import numpy as np
+
+    n = len(a)
+    codes = np.frombuffer((a + b).encode("utf-32-le"), np.uint32).astype(np.int64)
+
+    def shared(at, left, right):
+        """Of the places ``at`` with a pair of numbers each: those whose pair stands in both texts, and the pairs' numbers."""
+        number = np.unique(left * (len(codes) + 1) + right, return_inverse=True)[1]
+        in_a, in_b = (np.bincount(number[side], minlength=number.max(initial=-1) + 1) > 0 for side in (at < n, at >= n))
+        keep = (in_a & in_b)[number]
+        return at[keep], number[keep]
+
+    def longer(size):
+        """Stretches of ``size``, from the numbers of those of ``power`` at both of their ends."""
+        end = at + size - power
+        ok = (end + power <= np.where(at < n, n, len(codes))) & (number_at[np.minimum(end, len(codes) - 1)] >= 0)
+        return shared(at[ok], number[ok], number_at[end[ok]])
+
+    at, number = shared(np.arange(len(codes)), np.zeros(len(codes), np.int64), np.unique(codes, return_inverse=True)[1])
+    if not len(at):
+        return None
+    power = 1
+    while True:
+        number_at = np.full(len(codes), -1, np.int64)
+        number_at[at] = number
+        more = longer(2 * power)
+        if not len(more[0]):
+            break
+        (at, number), power = more, 2 * power
+    low, high, best = power, 2 * power - 1, (at, number)
+    while low < high:
+        mid = (low + high + 1) // 2
+        found = longer(mid)
+        if len(found[0]):
+            low, best = mid, found
+        else:
+            high = mid - 1
+    i = best[0].min()
+    k = best[0][(best[1] == best[1][best[0].argmin()]) & (best[0] >= n)].min() - n
+    return int(i), int(k), low
+
+
+def matched_in_order(a: str, b: str, small: int = 200_000) -> int:
+    """Characters in the matching blocks that ``SequenceMatcher`` finds: the longest common stretch, then those on both sides of it.
+
+    The same stretches are found without a comparison of all places with all; only small rests are left to ``SequenceMatcher``.
+    """
+    kept, todo = 0, [(0, len(a), 0, len(b))]
+    while todo:
+        i, j, k, m = todo.pop()
+        if i == j or k == m:
+            continue
+        x, y = a[i:j], b[k:m]
+        if x == y:
+            kept += len(x)
+        elif len(x) * len(y) <= small:
+            kept += sum(t.size for t in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks())
+        elif run := shared_run(x, y, 32) or longest_run(x, y):
+            s, t, n = run
+            kept += n
+            todo += [(i, i + s, k, k + t), (i + s + n, j, k + t + n, m)]
+    return kept
+
+
 def content_retention(source: DataFrame, target: DataFrame, least: float = 0.90) -> DataFrame:
     """Share of each media file's normalised text that its later stage keeps in order.
 
@@ -156,10 +272,9 @@ def content_retention(source: DataFrame, target: DataFrame, least: float = 0.90)
 
     @F.pandas_udf("long")
     def matched(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([sum(m.size for m in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks()) for x, y in zip(a, b)])
+        return pd.Series([matched_in_order(x, y) for x, y in zip(a, b)], dtype="int64")
 
     j = joined(source, "a").join(joined(target, "b"), "media_id", "left").withColumn("b", F.coalesce("b", F.lit("")))
-    same = j.where("a = b").select("media_id", F.length("a").cast("long").alias("kept"), F.length("a").alias("chars"))
-    rest = j.where("a <> b").select("media_id", matched("a", "b").alias("kept"), F.length("a").alias("chars"))
-    out = same.unionByName(rest).withColumn("retention", F.round(F.col("kept") / F.greatest(F.lit(1), F.col("chars")), 6))
+    j = j.select("media_id", matched("a", "b").alias("kept"), F.length("a").alias("chars"))
+    out = j.withColumn("retention", F.round(F.col("kept") / F.greatest(F.lit(1), F.col("chars")), 6))
     return out.withColumn("status", F.when((F.col("chars") > 0) & (F.col("retention") < least), "FAIL").otherwise("PASS"))

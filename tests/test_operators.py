@@ -1,5 +1,10 @@
 """Small cases with known results."""
 
+import random
+import time
+from difflib import SequenceMatcher
+
+from cueloom.operators import alignment as al
 from cueloom.operators import matching as mt
 from cueloom.operators import segments as sg
 from cueloom.operators import timing as tm
@@ -78,6 +83,41 @@ def test_retention(spark):
     assert got == {1: (0.6, "FAIL"), 2: (1.0, "PASS")}
 
 
+def test_matched_characters_are_those_of_all_places_with_all():
+    rnd = random.Random(3)
+
+    def edited(a, letters):
+        b = list(a)
+        for _ in range(rnd.randrange(0, 6)):
+            at = rnd.randrange(len(b) + 1)
+            b[at : at + rnd.randrange(8)] = rnd.choice(letters) * rnd.randrange(2)
+        return "".join(b) or "z"
+
+    for n in range(900):
+        letters = ("ab", "abcdefgh", "あ川é😀")[n % 3]
+        a = "".join(rnd.choice(letters) for _ in range(rnd.randrange(1, 80)))
+        b = edited(a, letters) if n % 2 else "".join(rnd.choice(letters) for _ in range(rnd.randrange(1, 80)))
+        m = SequenceMatcher(None, a, b, autojunk=False)
+        first = m.find_longest_match()
+        want = (first.a, first.b, first.size) if first.size else None
+        assert al.longest_run(a, b) == want
+        assert al.shared_run(a, b, 3) in ([want] if first.size >= 5 else [want, None])
+        assert al.matched_in_order(a, b, 0) == al.matched_in_order(a, b) == sum(t.size for t in m.get_matching_blocks())
+
+
+def test_retention_of_a_long_file(spark):
+    # comparing all places of equal letters took many minutes for such a file
+    rnd = random.Random(4)
+    cues = ["".join(rnd.choice("etaoinshr ") for _ in range(300)) for _ in range(400)]
+    schema = "media_id long, cue_id long, text string"
+    b = [(1, i, t[: 180 if i % 13 == 0 else 300]) for i, t in enumerate(cues) if i % 11]
+    began = time.time()
+    got = al.content_retention(spark.createDataFrame([(1, i, t) for i, t in enumerate(cues)], schema), spark.createDataFrame(b, schema)).collect()
+    assert time.time() - began < 60
+    whole, rest = (sum(len(t.replace(" ", "")) for t in x) for x in (cues, [t for _, _, t in b]))
+    assert [(r.kept, r.chars) for r in got] == [(rest, whole)]
+
+
 def test_responses_pair_with_the_nearest_unused(spark):
     from cueloom.operators.words import pair_responses
 
