@@ -1,4 +1,4 @@
-"""Similar texts without comparing all with all: postings of short character runs, then the exact ratio."""
+"""Similar texts without comparing all with all: postings of short pieces, then the exact ratio."""
 
 from __future__ import annotations
 
@@ -7,43 +7,56 @@ from pyspark.sql import functions as F
 
 from cueloom.functions.text import norm_kana, norm_match
 from cueloom.operators.intervals import overlap_join
-from cueloom.operators.matching import ratio, text_similarity
+from cueloom.operators.matching import ratio, text_similarity, window_ratio
 
 #: A reference of at most so many characters isn't sought inside a text that has over ``EXTRA`` more.
 SHORT, EXTRA = 4, 6
 
 
-def _grams(texts: DataFrame, size: Column) -> DataFrame:
-    """Adds gram and its place: the runs of ``size`` characters of ``key``."""
-    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("key") - size + 1))
-    return texts.withColumn("size", size).withColumn("place", F.explode(at)).withColumn("gram", F.expr("substring(key, place, size)"))
-
-
 def similar_pairs(left: DataFrame, right: DataFrame, least: float = 0.92) -> DataFrame:
     """media_id, key, r_key, similarity: the distinct texts ``left(media_id, key)`` and ``right(media_id, r_key)`` of a similarity of ``least`` or more.
 
     The similarity is that of the shorter text with the most similar stretch of the longer. With a
     ratio of ``least`` the shorter text, of n characters, differs from that stretch by at most
-    e = 2 (1 - least) / least * n insertions and deletions, rounded down, and each of these touches at most three of
-    its runs of three characters. So of any 3 e + 1 runs one is left whole, and the rarest
-    are looked up among all runs of the longer text. Texts of one or two characters are one run. No pair is lost, and pairs
-    without a common rare run never meet.
+    e = 2 (1 - least) / least * n insertions and deletions, rounded down, and each of these touches at most one of
+    e + 1 pieces that it is cut into. So one piece stands whole in the longer text. Pieces are looked up by their first four
+    characters (or what all have) among all runs of the longer text; the first piece that is there makes the pair, so
+    that pairs needn't be made distinct, and those whose edit distance is too large go no further. No pair is lost.
+    Both sides' texts are joined once, each with its sides; equal and contained texts need no comparison.
     """
-    a, b = left.select("media_id", "key").where("key <> ''").distinct(), right.select("media_id", F.col("r_key").alias("key")).where("key <> ''").distinct()
-    edits = F.floor(F.lit(2 * (1 - least) / least + 1e-9) * F.length("key"))
-    own = F.least(F.lit(3), F.length("key"))
-
-    def found(short: DataFrame, long: DataFrame) -> DataFrame:
-        sizes = short.select("media_id", own.alias("size")).distinct()
-        every = _grams(long.join(sizes, "media_id").where("length(key) >= size").withColumnRenamed("size", "wanted"), F.col("wanted")).select("media_id", "gram", F.col("key").alias("other")).distinct()
-        often = every.groupBy("media_id", "gram").agg(F.count("*").alias("n"))
-        mine = _grams(short, own).join(often, ["media_id", "gram"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-        rank = F.row_number().over(Window.partitionBy("media_id", "key").orderBy("n", "place"))
-        mine = mine.withColumn("rank", rank).where(F.col("rank") <= 3 * edits + 1).where("n > 0")
-        return mine.select("media_id", "gram", "key").join(every, ["media_id", "gram"]).where("length(key) <= length(other)").select("media_id", "key", "other").distinct()
-
-    met = found(a, b).select("media_id", "key", F.col("other").alias("r_key")).unionByName(found(b, a).select("media_id", F.col("other").alias("key"), F.col("key").alias("r_key"))).distinct()
-    return text_similarity(met).where(F.col("similarity") >= least)
+    side = lambda d, key, n: d.select("media_id", F.col(key).alias("key"), F.lit(n).alias("sides")).where("media_id is not null and key <> ''")
+    texts = side(left, "key", 1).unionByName(side(right, "r_key", 2)).groupBy("media_id", "key").agg(F.bit_or("sides").alias("sides"))
+    n, m = F.length("key"), F.length("other")
+    edits = F.least(F.floor(F.lit(2 * (1 - least) / least + 1e-9) * n).cast("int"), n - 1)
+    start = lambda i: F.floor(i * n / (edits + 1)).cast("int")
+    piece = lambda i: F.substr("key", start(i) + 1, start(i + 1) - start(i))
+    texts = texts.withColumn("size", F.least(F.lit(4), F.floor(n / (edits + 1)).cast("int")))
+    texts = texts.withColumn("sizes", F.collect_set("size").over(Window.partitionBy("media_id")))
+
+    short = texts.select("media_id", "key", "sides", "size", F.explode(F.sequence(F.lit(0), edits)).alias("nth"))
+    short = short.select("media_id", F.left(piece(F.col("nth")), F.col("size")).alias("gram"), "key", "sides", "nth")
+    runs = F.flatten(F.transform(F.filter("sizes", lambda k: k <= n), lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda at: F.substr("key", at, k))))
+    long = texts.select("media_id", F.explode(F.array_distinct(runs)).alias("gram"), F.col("key").alias("other"), F.col("sides").alias("other_sides"))
+
+    across = (F.col("sides").bitwiseAND(1) * F.col("other_sides").bitwiseAND(2) > 0) | (F.col("sides").bitwiseAND(2) * F.col("other_sides").bitwiseAND(1) > 0)
+    met = short.join(long, ["media_id", "gram"]).where((n <= m) & (F.col("key") != F.col("other")) & across & F.contains("other", piece(F.col("nth"))))
+    # the whole of both is compared up to 1.3 of the shorter one's length, else a stretch, outside which everything is inserted
+    whole = m <= n * 1.3
+    far = F.when(whole, F.floor(F.lit(1 - least + 1e-9) * (n + m))).otherwise(m - n + 2 * edits)
+    met = met.where(F.levenshtein("key", "other") <= far)
+    met = met.where((F.col("nth") == 0) | ~F.exists(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("nth") - 1)), lambda i: F.contains(F.col("other"), piece(i))))
+
+    inside = F.contains("other", "key")
+    same = texts.where("sides = 3").select("media_id", "key", F.col("key").alias("r_key"), F.lit(1.0).alias("similarity"))
+    held = F.when(whole, F.lit(2.0) * n / (n + m)).otherwise(1.0)
+    compared = window_ratio(F.when(~inside, F.col("key")), F.when(~inside, F.col("other")), least)
+    met = met.withColumn("compared", compared).withColumn("similarity", F.when(inside, held).otherwise(F.col("compared")))
+    found = met.where(F.col("similarity") >= least)
+    # of two texts of one length, either is the shorter of a pair of its own
+    forth = F.when((F.col("sides").bitwiseAND(1) > 0) & (F.col("other_sides").bitwiseAND(2) > 0), F.struct("key", F.col("other").alias("r_key")))
+    back = F.when((n < m) & (F.col("sides").bitwiseAND(2) > 0) & (F.col("other_sides").bitwiseAND(1) > 0), F.struct(F.col("other").alias("key"), F.col("key").alias("r_key")))
+    pairs = found.select("media_id", F.explode(F.array_compact(F.array(forth, back))).alias("p"), "similarity").select("media_id", "p.key", "p.r_key", "similarity")
+    return same.unionByName(pairs).select("key", "r_key", "media_id", "similarity")
 
 
 def estimate_offset(dialogues: DataFrame, cues: DataFrame, least: float = 0.92, bucket_ms: int = 500, tried: int = 5, window_ms: int = 1200) -> DataFrame:

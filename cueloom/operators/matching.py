@@ -136,31 +136,41 @@ def ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b, autojunk=False).ratio()
 
 
-def best_window_ratio(a: str, b: str) -> float:
-    """Similarity of the shorter text with the most similar stretch (0.7 to 1.3 of its length) of the longer one."""
+def best_window_ratio(a: str, b: str, least: float = 0.0) -> float:
+    """Similarity of the shorter text with the most similar stretch (0.7 to 1.3 of its length) of the longer one.
+
+    Below ``least`` the answer may be 0: only stretches of lengths that can reach it are tried then.
+    """
     if not a or not b:
         return 0.0
     a, b = sorted((a, b), key=len)
     if len(b) <= len(a) * 1.3:
         return ratio(a, b)
-    best = 0.0
+    best = floor = max(0.0, least - 1e-9)
     match = SequenceMatcher(None, "", a, autojunk=False)
     for size in range(max(1, round(len(a) * 0.7)), min(len(b), round(len(a) * 1.3)) + 1):
+        if 2 * min(size, len(a)) / (size + len(a)) <= best:
+            continue
         for at in range(len(b) - size + 1):
             match.set_seq1(b[at : at + size])
             if match.real_quick_ratio() > best and match.quick_ratio() > best:
                 best = max(best, ratio(a, b[at : at + size]))
-    return best
+    return best if best > floor else 0.0
 
 
-def text_similarity(pairs: DataFrame) -> DataFrame:
-    """Adds ``similarity`` to pairs(key, r_key): each distinct pair is compared once, equal keys without a comparison."""
+def window_ratio(a: Column, b: Column, least: float = 0.0) -> Column:
+    """``best_window_ratio`` of two columns."""
 
     @F.pandas_udf("double")
-    def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([best_window_ratio(x or "", y or "") for x, y in zip(a, b)])
+    def score(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([best_window_ratio(s or "", t or "", least) for s, t in zip(x, y)], dtype="float64")
 
-    distinct = pairs.select("key", "r_key").where("key <> r_key").distinct().withColumn("s", score("key", "r_key"))
+    return score(a, b)
+
+
+def text_similarity(pairs: DataFrame) -> DataFrame:
+    """Adds ``similarity`` to pairs(key, r_key): each distinct pair is compared once, equal keys without a comparison."""
+    distinct = pairs.select("key", "r_key").where("key <> r_key").distinct().withColumn("s", window_ratio(F.col("key"), F.col("r_key")))
     return pairs.join(distinct, ["key", "r_key"], "left").withColumn("similarity", F.when(F.col("key") == F.col("r_key"), F.when(F.col("key") == "", 0.0).otherwise(1.0)).otherwise(F.coalesce("s", F.lit(0.0)))).drop("s")
 
 

@@ -21,6 +21,31 @@ def test_pairs_are_those_of_all_with_all(spark):
     assert {(r.media_id, r.key, r.r_key) for r in got} == want and len(got) == len(want) > 40
 
 
+def test_pairs_are_looked_up_by_few_pieces(spark):
+    rnd = random.Random(14)
+    texts = ["".join(rnd.choice(["an", "the", "ou", "re", "tion", "sh"]) for _ in range(rnd.randrange(3, 7))) for _ in range(70)]
+    edited = ["".join(rnd.choice([c, c, c, c, c, c, "", c + "x"]) for c in t) for t in texts]
+    a, b = texts[:50] + edited[:10], edited[:40] + texts[20:]
+    frames = [spark.createDataFrame([(1, t) for t in x], f"media_id long, {name} string") for x, name in ((a, "key"), (b, "r_key"))]
+    want = {(x, y): best_window_ratio(x, y) for x in a for y in b}
+    want = {k: v for k, v in want.items() if v >= 0.92}
+    found = fz.similar_pairs(*frames)
+    got = found.collect()
+    assert {(r.key, r.r_key): r.similarity for r in got} == want and len(got) == len(want) > 60
+    # the runs of all texts are listed once; they used to be for either side, to be compared and again to be counted
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") <= 3 and "row_number" not in plan
+
+
+def test_similarity_from_a_least_one_on():
+    rnd = random.Random(15)
+    for _ in range(1500):
+        a, b = ("".join(rnd.choice("abc") for _ in range(rnd.randrange(0, n))) for n in (12, 30))
+        b = b[:5] + a[: rnd.randrange(8, 12)] + b[5:]
+        whole = best_window_ratio(a, b)
+        assert best_window_ratio(a, b, 0.8) == whole or whole < 0.8
+
+
 def test_offsets_by_similar_texts(spark):
     rnd = random.Random(12)
     rows, lines = [], []
